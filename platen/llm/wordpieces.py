@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct words that a Python worker remembers; beyond that it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 #: Characters that normalisation only lower-cases, one by one.
 _PLAIN = re.compile("[\x21-\x7e¡-įı-ž]+")
 _loaded: dict[str, "WordPieces"] = {}
@@ -79,11 +79,16 @@ class WordPieces:
     def _learn(self, words: list[str]) -> None:
         plain = [w for w in words if _PLAIN.fullmatch(w)]
         if plain:
-            parts = [self.split.findall(w) for w in " ".join(plain).lower().split(" ")]
-            flat = " ".join([" ".join(p) for p in parts]).encode().decode("latin-1").translate(self.shown)
+            low = " ".join(plain).lower().split(" ")
+            counts = np.ones(len(low), np.int64)
+            for i in [i for i, w in enumerate(low) if not w.isalpha()]:  # letters alone are never split
+                parts = self.split.findall(low[i])
+                counts[i], low[i] = len(parts), " ".join(parts)
+            flat = " ".join(low)
+            flat = flat if flat.isascii() else flat.encode().decode("latin-1").translate(self.shown)
             ids = np.array(self.model.encode_batch_fast([flat], add_special_tokens=False)[0].ids, dtype=self.dtype)
             stops = np.flatnonzero(self.ends[ids]) + 1
-            upto = np.cumsum([len(p) for p in parts])
+            upto = np.cumsum(counts)
             if len(stops) == upto[-1]:
                 self._add(plain, ids, np.diff(stops[upto - 1], prepend=0))
                 words = [w for w in words if w not in self.slots]
@@ -101,9 +106,13 @@ class WordPieces:
         names = words.dictionary.to_pylist()
         if len(self.slots) > REMEMBERED:
             self.forget()
-        if unknown := [w for w in names if w not in self.slots]:
-            self._learn(unknown)
-        slot = np.fromiter((self.slots[w] for w in names), dtype=np.int64, count=len(names))[words.indices.to_numpy(zero_copy_only=False)] if len(words) else np.empty(0, np.int64)
+        get = self.slots.get
+        slot = np.array([get(w, -1) for w in names], dtype=np.int64)
+        if (unknown := np.flatnonzero(slot < 0)).size:
+            new = [names[i] for i in unknown.tolist()]
+            self._learn(new)
+            slot[unknown] = [self.slots[w] for w in new]
+        slot = slot[words.indices.to_numpy(zero_copy_only=False)] if len(words) else slot
         sizes = self.sizes[slot].astype(np.int64)
         upto = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.ids[np.repeat(self.starts[slot] - upto[:-1], sizes) + np.arange(upto[-1])]
