@@ -90,7 +90,7 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain.alias("plain"))
     lines = F.split("plain", " ?[\x01\x02]+ ?")
     joined = F.split(F.regexp_replace("plain", "(?<=[^\x01\x02]) ?\x02+ ?", " "), "[ \x02]*\x01[ \x01\x02]*")
-    rows = rows.select("doc_id", _identifiers(F.transform(lines, F.trim)).alias("a"), _identifiers(F.transform(joined, F.trim)).alias("b"))
+    rows = rows.select("doc_id", _identifiers(F.transform(lines, lambda s: F.trim(s))).alias("a"), _identifiers(F.transform(joined, lambda s: F.trim(s))).alias("b"))
     rows = rows.select("doc_id", F.when(F.size("b") > F.size("a"), F.col("b")).otherwise(F.col("a")).alias("ids"), F.concat_ws("|", F.lit(""), F.array_join("a", "|"), F.lit("-"), F.array_join("b", "|"), F.lit("")).alias("sequence"))
     rules = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(k).alias("kind"), F.lit("|" + "|".join(ids) + "|").alias("ids")) for n, k, ids in RULES])
     found = F.when(F.size("ids") > 0, F.filter(rules, lambda r: F.col("sequence").contains(r["ids"])))
