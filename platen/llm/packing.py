@@ -4,7 +4,7 @@ Documents follow each other in ascending doc_id order. Windows of at most ``size
 sentence ends or, at a price, anywhere; the cuts minimise padding plus truncation penalties. With f(j) the least cost
 up to cut j, f(j) = penalty(j) + min over the cuts i within reach of f(i) + size - (p(j) - p(i)): the part that depends
 on i is kept in a monotone queue, so each cut enters and leaves it once. A window whose length is a power of two needs
-no padding, which is looked at cut by cut. What remains at a partition's end is cut into powers of two as long as a
+no padding, which is looked at cut by cut for halves and quarters of ``size``. What remains at a partition's end is cut into powers of two as long as a
 cut costs less than the padding that it saves.
 
 Partitions are ranges of doc_id and are packed alone; the number of sequences of each gives the global sequence_id.
@@ -17,7 +17,6 @@ first; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -38,27 +37,31 @@ RUN = 1 << 20
 def best_cuts(places: np.ndarray, costs: np.ndarray, size: int = SIZE) -> list[int]:
     """Indexes of the cuts chosen from ``places`` (ascending; the first is 0, no gap over ``size``); the first and last are always chosen."""
     n = len(places)
-    p, cost, whole = places.tolist(), costs.tolist(), set((1 << np.arange(size.bit_length())).tolist())
+    p, cost = places.tolist(), costs.tolist()
     exact: dict[int, list[int]] = {}
-    for u in sorted(whole - {size}):
+    for u in (size // 4, size // 2) if size & (size - 1) == 0 else ():
         at = np.searchsorted(places, places - u)
         for j in np.flatnonzero((places >= u) & (places[np.minimum(at, n - 1)] == places - u)).tolist():
             exact.setdefault(j, []).append(int(at[j]))
-    f, back, queue = [0.0] * n, [0] * n, deque([(0.0, 0)])
+    f, back = [0.0] * n, [0] * n
+    queue, keys, head = [0], [0.0], 0  # cuts within reach and their f(i) + p(i), ascending from head
     for j in range(1, n):
-        low = p[j] - size
-        while p[queue[0][1]] < low:
-            queue.popleft()
-        least, i = queue[0]
-        least += size - p[j]
-        for k in exact.get(j, ()):
-            if f[k] < least:
-                least, i = f[k], k
-        f[j], back[j] = least + cost[j], i
-        key = f[j] + p[j]
-        while queue and queue[-1][0] >= key:
-            queue.pop()
-        queue.append((key, j))
+        here = p[j]
+        while p[queue[head]] < here - size:
+            head += 1
+        i = queue[head]
+        least = keys[head] + size - here
+        if j in exact:
+            for k in exact[j]:
+                if f[k] < least:
+                    least, i = f[k], k
+        f[j] = least = least + cost[j]
+        back[j] = i
+        least += here
+        while len(keys) > head and keys[-1] >= least:
+            del keys[-1], queue[-1]
+        keys.append(least)
+        queue.append(j)
     cuts, j = [n - 1], n - 1
     while j:
         j = back[j]
@@ -109,7 +112,8 @@ class _Packer:
         ids = np.concatenate(self.ids)
         edges = np.concatenate([[0], np.cumsum([n for _, _, n, _ in self.docs])])
         sentence = np.flatnonzero(self.stops[ids]) + 1
-        places = np.union1d(edges, sentence)
+        places = np.sort(np.concatenate([edges, sentence]))
+        places = places[np.diff(places, prepend=-1) > 0]
         gaps = np.diff(places)
         if (wide := np.flatnonzero(gaps > self.size)).size:
             more = [np.arange(places[i], places[i + 1], self.size)[1:] for i in wide]
