@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,3 +49,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def small(df: DataFrame, most: int) -> DataFrame:
     """``df`` with a broadcast hint if it is proven to have at most ``most`` rows, else as it is."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def release() -> None:
+    """Give memory that a Python worker has freed back to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

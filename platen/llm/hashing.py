@@ -9,7 +9,7 @@ _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
 _INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
 #: Bytes of text hashed at once; longer texts go block by block.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 SHINGLE = 5
 _WEIGHTS = np.random.default_rng(20240501).integers(1, 2**63, size=16, dtype=np.uint64) * _U(2) + _U(1)
 _powers: dict[str, np.ndarray] = {}

@@ -27,14 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import graph
-from .common import tune, written
+from .common import release, tune, written
 from .hashing import bounded, mix, shingle_sets
 
 ROWS = 6
 #: Chance that two texts exactly as similar as asked share no band; more similar ones share one more surely.
 MISSED = 3e-5
 #: Members of a cell that one task compares at once, and shingles of all of them together.
-CHUNK, CHUNK_SHINGLES = 1024, 2_000_000
+CHUNK, CHUNK_SHINGLES = 1024, 1_000_000
 _U = np.uint64
 
 
@@ -98,6 +98,7 @@ def sketches(docs: DataFrame, rows: int, bands: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.array(keys.view(np.int64)))
                 pairs = np.array(digests, dtype=np.uint64).reshape(-1, 2).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), lists], names=["doc_id", "n_shingles", "h1", "h2", "bands"])
+        release()
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>")
 
@@ -161,6 +162,8 @@ def _cells(percent: int):
         cell = rows[0][0][0]
         centre = next((k for k, x in enumerate(ids) if x == cell), None) if sides[0] is None else None
         links, shared = compare(ids, roots, sides, sets, percent, centre)
+        if sum(map(len, sets)) > CHUNK_SHINGLES // 8:
+            release()
         out = [(ids[i], ids[j], None, None, None, None) for i, j in links]
         if centre is not None and rows[0][0][1] >= 0:  # this cell has more chunks
             out += [(None, ids[j], s, len(sets[centre]), len(sets[j]), cell) for j, s in shared.items()]
@@ -182,6 +185,8 @@ def _cells(percent: int):
             out += finish(rows)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=names)
+        rows.clear()
+        release()
 
     return run
 
