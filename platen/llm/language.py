@@ -22,7 +22,7 @@ from .common import tune
 from .hashing import bounded
 
 BUCKETS = 1 << 15
-PER_LANGUAGE = 2000
+PER_LANGUAGE = 1000
 UNKNOWN = "und"
 _U = np.uint64
 _MULTIPLIERS = np.random.default_rng(11).integers(1, 2**63, size=3, dtype=np.uint64) * _U(2) + _U(1)
