@@ -1 +1,34 @@
-"""Queries on PDF files."""
+"""Queries on PDF files, which are made from the documents table."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from ..operators import layout
+from ..sources import reader
+from ..sources.pdf import writer
+from . import bridge
+from .queries import _query
+
+
+def _files(spark, sf_dir):
+    @F.pandas_udf("binary")
+    def write(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: writer.text_pages(t or ""))
+
+    docs = bridge.table(spark, sf_dir, "documents").repartition("doc_id")  # decoding costs far more than dealing texts
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit("made").alias("path"), write("text").alias("content"))
+
+
+@_query
+def s1_decode(spark, sf_dir):
+    chars = reader.decode(_files(spark, sf_dir), "chars").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    pages = reader.decode(_files(spark, sf_dir), "pages").groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"))
+    return pages.join(chars, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n"), "pages")
+
+
+@_query
+def l4_flow(spark, sf_dir):
+    chars = bridge.text_chars(bridge.table(spark, sf_dir, "documents"))
+    return layout.analyse(chars).groupBy("doc_id", "object_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
