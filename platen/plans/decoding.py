@@ -17,7 +17,9 @@ def _files(spark, sf_dir):
     def write(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: writer.text_pages(t or ""))
 
-    docs = bridge.table(spark, sf_dir, "documents").repartition("doc_id")  # decoding costs far more than dealing texts
+    docs = bridge.table(spark, sf_dir, "documents")
+    # decoding costs far more than dealing texts; a number keeps the partitions from being put together again
+    docs = docs.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "doc_id")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit("made").alias("path"), write("text").alias("content"))
 
 
