@@ -43,7 +43,7 @@ DROPPED_ROLES = set("navigation banner contentinfo complementary search form men
 DROPPED_WORDS = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices newsletter subscribe subscription sidebar aside widget widgets menu nav navbar navigation navigations breadcrumb breadcrumbs footer masthead share sharing social related recommended recommendations comment comments commentlist reply replies respond disqus popup modal overlay paywall login signup hidden skip toolbar pagination pager".split())
 HEADER_WORDS = set("header".split())
 #: A container is chosen if it has this part of its parent's text.
-MOST = 0.6
+MOST = 0.85
 
 
 class Node:

@@ -4,9 +4,10 @@ Base rules fail texts that are too short or repeat themselves. Beyond them each
 a text above the cutoff of its stratum (its language) is rejected. Cutoffs come from labelled documents: for each
 stratum, signal and cutoff the good documents that it would reject are counted, and the exact (Clopper-Pearson) upper
 bound of the false-rejection rate is taken at confidence 1 - DELTA / (number of all bounds taken), so that all hold at
-once with confidence 1 - DELTA. The lowest cutoff whose bound is at most ALPHA / (number of signals) is used; where none
-is, the signal rejects nothing in that stratum. The false rejections of a stratum's cutoffs together thus stay under
-ALPHA. The driver gets counts by stratum and cutoff only.
+once with confidence 1 - DELTA. Of the cutoffs whose bound is at most ALPHA / (number of signals), the one is used that
+rejects most labelled bad documents, a good one counting against WEIGHT bad ones (of equals the highest); where none gains
+anything, the signal rejects nothing in that stratum. The false rejections of a stratum's cutoffs together thus stay
+under ALPHA. The driver gets counts by stratum and cutoff only.
 
 Defined cases: a null text has no words; an unlabelled stratum rejects by the base rules only, as do all where labels
 are empty; of repeated labels of a document the highest quality counts; null qualities are ignored; other columns
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 WORD, NOT_WORD = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
-ALPHA, DELTA = 0.02, 0.05
+ALPHA, DELTA, WEIGHT = 0.02, 0.05, 10
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 #: Cutoffs tried for each signal (fixed values).
 SIGNALS = {
@@ -110,29 +111,33 @@ def upper_bound(k: int, n: int, delta: float) -> float:
     return high
 
 
-def choose(seen: dict[str, tuple[int, dict[str, list[int]]]], alpha: float = ALPHA, delta: float = DELTA) -> dict[str, dict[str, float]]:
-    """Cutoffs by stratum and signal, from (good documents, by signal how many of them each cutoff rejects)."""
+def choose(seen: dict[str, tuple[int, dict[str, list[tuple[int, int]]]]], alpha: float = ALPHA, delta: float = DELTA) -> dict[str, dict[str, float]]:
+    """Cutoffs by stratum and signal, from (good documents, by signal how many good and bad ones each cutoff rejects)."""
     tests = sum(len(SIGNALS[s]) for _, by in seen.values() for s in by)
     out: dict[str, dict[str, float]] = {}
     for stratum, (n, by) in seen.items():
         for signal, rejected in by.items():
-            for cutoff, k in zip(SIGNALS[signal], rejected):
+            best = 0
+            for cutoff, (good, bad) in zip(SIGNALS[signal], rejected):
                 # most counts are far beyond what could pass: their bound need not be taken
-                if k <= alpha / len(SIGNALS) * n and upper_bound(k, n, delta / tests) <= alpha / len(SIGNALS):
+                gains = bad - WEIGHT * good >= max(best, 1) and good <= alpha / len(SIGNALS) * n
+                if gains and upper_bound(good, n, delta / tests) <= alpha / len(SIGNALS):
+                    best = bad - WEIGHT * good
                     out.setdefault(stratum, {})[signal] = cutoff
-                    break
     return out
 
 
 def calibrate(made: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[str, dict[str, float]]:
     """Cutoffs from the labelled documents that pass the base rules."""
-    good = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality")).filter("quality = 1").select("doc_id")
-    known = made.filter(~failed()).join(good, "doc_id")
-    aggregates = [F.count(F.lit(1)).alias("n")]
+    known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
+    known = made.filter(~failed()).join(known, "doc_id")
+    good = F.col("quality") == 1
+    aggregates = [F.count_if(good).alias("n")]
     for name, value in _signals().items():
-        aggregates += [F.count_if(value > c).alias(f"{name}:{k}") for k, c in enumerate(SIGNALS[name])]
+        for k, c in enumerate(SIGNALS[name]):
+            aggregates += [F.count_if(good & (value > c)).alias(f"{name}:{k}"), F.count_if(~good & (value > c)).alias(f"{name}:{k}:bad")]
     rows = known.groupBy("stratum").agg(*aggregates).collect()
-    return choose({r["stratum"]: (r["n"], {s: [r[f"{s}:{k}"] for k in range(len(c))] for s, c in SIGNALS.items()}) for r in rows}, alpha, delta)
+    return choose({r["stratum"]: (r["n"], {s: [(r[f"{s}:{k}"], r[f"{s}:{k}:bad"]) for k in range(len(c))] for s, c in SIGNALS.items()}) for r in rows}, alpha, delta)
 
 
 def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:

@@ -1,0 +1,372 @@
+"""Kernels against plain versions, and defined results of odd input for every operator."""
+
+import base64
+import hashlib
+import html as reference
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from platen.llm import bytepairs, chat, graph, hashing, html, itq, language, licences, minhash, packing, quality, sequences, wordpieces
+from platen.llm.common import new_dir
+from platen.llm.queries import BYTES, WORDS
+
+ODD = ["", None, "  a  b ", "ΑΣ ΣΑΣ İstanbul ŉ", "é ́x", "a\x1cb \x85 q\xa0r", "<|endoftext|> it's DON'T 123 4.5 日本語 😀😀 ﬁ", "x" * 3000, "Ünïcödé straße ÀÉ", "a. b! c?", "[/INST] </s> \\[INST]"]
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, rep string, cell string, bands string, words string, stratum string, h1 string"
+
+
+def docs(spark, texts, langs=None):
+    """A documents table with extra columns of clashing names."""
+    return spark.createDataFrame([(i, t, (langs or {}).get(i, "en"), None, None, "r", "c", "b", "w", "s", "h") for i, t in enumerate(texts)], DOCS)
+
+
+def labels(spark, rows=()):
+    return spark.createDataFrame(list(rows), "doc_id long, quality int, toxic int")
+
+
+def words_of(text):
+    lower = (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    return re.findall(r"[^\x20\x09-\x0D]+", lower)
+
+
+def shingles(text):
+    w = words_of(text)
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def components(n, links):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+@pytest.fixture(scope="module")
+def full():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(WORDS)
+    t.encode_special_tokens = True
+    return lambda x: t.encode(x or "", add_special_tokens=False).ids
+
+
+@pytest.fixture(scope="module")
+def tiktoken_encode():
+    import tiktoken
+
+    with open(BYTES, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
+def test_word_pieces_equal_the_whole_tokenizer(full):
+    t = wordpieces.load(WORDS)
+    ids, begin = t.encode(pa.array(ODD), 2)
+    for i, x in enumerate(ODD):
+        assert ids[begin[i] : begin[i + 1]].tolist() == full(x) + [2]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(max_size=60))
+def test_tokenizers_on_any_text(full, tiktoken_encode, text):
+    ids, begin = wordpieces.load(WORDS).encode(pa.array([text]))
+    assert ids.tolist() == full(text)
+    pairs = bytepairs.load(BYTES, P.PATTERN)
+    raw = pairs.encode(text)
+    assert np.frombuffer(raw, "<u4").tolist() == tiktoken_encode(text) and pairs.decode(raw) == text.encode()
+
+
+def test_shingle_sets_equal_plain_sets():
+    random.seed(3)
+    texts = [" ".join(random.choice(["The", "cat", "sat", "é", "x" * 9]) for _ in range(random.randrange(0, 30))) for _ in range(200)] + ["a\x1cb", "A\x0bB", None, "", " "]
+    got = list(hashing.shingle_sets(pa.array(texts)))
+    for a in range(0, len(texts), 7):
+        assert len(got[a]) == len(shingles(texts[a]))
+        for b in range(len(texts)):
+            assert len(np.intersect1d(got[a], got[b])) == len(shingles(texts[a]) & shingles(texts[b]))
+    hashing.BLOCK, kept = 16, hashing.BLOCK
+    assert all((x == y).all() for x, y in zip(got, hashing.shingle_sets(pa.array(texts))))
+    hashing.BLOCK = kept
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_packing_equals_brute_force(seed):
+    r = np.random.default_rng(seed)
+    size, places = 16, np.unique(np.concatenate([[0], np.cumsum(r.integers(1, 9, size=14))]))
+    costs = r.integers(0, 6, size=len(places)).astype(float)
+    pad = lambda u: 0 if u in (4, 8, 16) else size - u
+    price = lambda cuts: sum(pad(int(places[b] - places[a])) + costs[b] for a, b in zip(cuts, cuts[1:]))
+    f = [0.0] + [1e9] * (len(places) - 1)
+    for j in range(1, len(places)):
+        f[j] = min([f[i] + pad(int(places[j] - places[i])) + costs[j] for i in range(j) if places[j] - places[i] <= size], default=1e9)
+    assert price(packing.best_cuts(places, costs, size)) == pytest.approx(f[-1])
+
+
+def test_tail():
+    assert packing.tail(3000) == [2048, 512, 256, 128, 32, 16, 8] and packing.tail(4000) == [4000] and packing.tail(4096) == [4096]
+
+
+def test_upper_bound_is_exact():
+    from math import comb
+
+    for k, n in ((0, 50), (3, 100), (10, 40)):
+        p = quality.upper_bound(k, n, 0.05)
+        assert sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)) == pytest.approx(0.05, rel=1e-6)
+    assert quality.upper_bound(5, 5, 0.05) == 1 and quality.upper_bound(0, 0, 0.05) == 1
+
+
+def test_components(spark):
+    random.seed(1)
+    links = [(i, i + 1) for i in range(40)] + [(random.randrange(100, 160), random.randrange(100, 160)) for _ in range(50)] + [(200, k) for k in range(201, 260)] + [(7, 7)]
+    expected = components(300, links)
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: expected[x] for pair in links for x in pair if pair[0] != pair[1]}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def near_texts(n, seed=5):
+    """Copies with more and more changes, chains of similarity, and loners."""
+    r = random.Random(seed)
+    base = [[r.choice("abcdefghijklmnop") + str(r.randrange(99)) for _ in range(120)] for _ in range(4)]
+    out = []
+    for k in range(n):
+        w = list(base[k % 4])
+        for _ in range(r.randrange(0, 6)):
+            w[r.randrange(len(w))] = f"new{r.randrange(10**6)}"
+        out.append(" ".join(w))
+    return out + ["alone here", "alone here", "", None, "one two three four five six", "ONE two three four five six"]
+
+
+@pytest.mark.parametrize("chunk", [1024, 7])
+def test_near_duplicates_equal_brute_force(spark, chunk):
+    texts = near_texts(60)
+    sets = [shingles(t) for t in texts]
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    rows = minhash.near_duplicates(docs(spark, texts), chunk=chunk).orderBy("doc_id").collect()
+    assert [r.n_shingles for r in rows] == [len(s) for s in sets]
+    assert [r.component_id for r in rows] == components(len(texts), links)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    empty = docs(spark, ["x"]).filter("false")
+    assert minhash.near_duplicates(empty).count() == 0 and minhash.keep_one(empty).count() == 0
+    df = docs(spark, ["a b c d e f", "g h i j k l"])
+    df = df.union(df.filter("doc_id = 0")).union(df.filter("doc_id = 1").withColumn("doc_id", F.lit(None).cast("long"))).union(df.filter("doc_id = 1").withColumn("doc_id", F.lit(0).cast("long")))
+    rows = minhash.near_duplicates(df).collect()
+    assert len(rows) == 5 and all(r.kept for r in rows if r.doc_id is None)
+    assert {(r.doc_id, r.component_id) for r in rows if r.doc_id is not None} == {(0, 0), (1, 0)}
+    assert minhash.keep_one(df).columns == df.columns and minhash.keep_one(df).filter("doc_id IS NOT NULL").count() == 1
+
+
+def test_vectors_equal_brute_force(spark):
+    r = np.random.default_rng(2)
+    x = r.normal(size=(120, 16))
+    x[40:80] = x[:40] + r.normal(size=(40, 16)) * 0.08
+    x[80:90] = x[0]
+    lab = r.integers(0, 3, size=120)
+    lab[40:90] = np.concatenate([lab[:40], np.repeat(lab[0], 10)])
+    rows = [(i, [float(v) for v in np.float32(x[i])], int(lab[i]), "n", "k") for i in range(120)]
+    rows += [(120, None, 1, "", ""), (121, [], 1, "", ""), (122, [0.0] * 16, 1, "", ""), (123, [float("nan")] * 16, 1, "", ""), (124, rows[0][1], None, "", ""), (125, [1.0, None], 1, "", ""), (126, [1.0, 0.0], 1, "", ""), (127, [2.0, 0.0], 1, "", "")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, node string, key string")
+    u = np.float32(x).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    links = [(a, b) for a in range(120) for b in range(a) if lab[a] == lab[b] and u[a] @ u[b] >= 0.93] + [(127, 126)]
+    degree = np.bincount([i for pair in links for i in pair], minlength=128)
+    for block in (2048, 5):
+        got = itq.near_vectors(df, block=block).orderBy("vec_id").collect()
+        assert [g.n_links for g in got] == degree.tolist() and [g.component_id for g in got] == components(128, links)
+    assert itq.near_vectors(df.filter("false")).count() == 0
+
+
+def test_rotation_is_orthogonal_and_plan_grows():
+    m, turn = itq.learn_rotation(np.random.default_rng(0).normal(size=(100, 8)), 1)
+    assert np.allclose(turn @ turn.T, np.eye(8)) and itq.table_plan(10) == (8, 16) and itq.table_plan(10**8)[0] == 19
+
+
+def expected_pieces(full, texts):
+    out, start = [], 0
+    for i, t in enumerate(texts):
+        ids = np.array(full(t) + [2], "<u4")
+        out.append((i, start, len(ids), zlib.crc32(ids)))
+        start += len(ids)
+    return out
+
+
+def test_sequences_round_trip(spark, full):
+    texts = ODD * 30
+    folder = new_dir(spark, "test")
+    made = sequences.write_sequences(docs(spark, texts), folder, WORDS, length=64)
+    assert [tuple(r) for r in sequences.read_documents(spark, made).orderBy("doc_id").collect()] == expected_pieces(full, texts)
+    f = sequences.SequenceFile(f"{folder}/shard-{made.shards[0][0]:06d}.arrow")
+    ids = [i for t in texts for i in full(t) + [2]]
+    if len(made.shards) == 1:
+        for k in (0, len(f) // 2, len(f) - 1):
+            got, mask = f[k]
+            assert got[mask].tolist() == ids[k * 64 : k * 64 + 64] and not got.flags.owndata
+    assert sequences.read_documents(spark, sequences.write_sequences(docs(spark, ["x"]).filter("false"), new_dir(spark, "none"), WORDS)).count() == 0
+
+
+def test_packing_covers_every_id_once(spark, full):
+    random.seed(4)
+    texts = ODD * 3 + [" ".join(random.choice(["One.", "two", "three!", "four"]) for _ in range(random.randrange(3000))) for _ in range(30)] + ["word " * 20000]
+    rows = packing.pack(docs(spark, texts), WORDS).orderBy("sequence_id", "offset").collect()
+    spans = {}
+    for r in rows:
+        ids = full(texts[r.doc_id]) + [2]
+        assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4"))
+        spans.setdefault(r.doc_id, []).append((r.start, r.length))
+    for i, t in enumerate(texts):
+        at = 0
+        for start, n in sorted(spans[i]):
+            assert start == at and n > 0
+            at += n
+        assert at == len(full(t)) + 1
+    used, at = {}, None
+    for r in rows:
+        assert r.offset == used.get(r.sequence_id, 0)
+        used[r.sequence_id] = r.offset + r.length
+    assert sorted(used) == list(range(len(used))) and max(used.values()) <= 4096
+    padding = sum(0 if u & (u - 1) == 0 else 4096 - u for u in used.values())
+    assert padding < 0.02 * sum(used.values()) and at is None
+    assert packing.pack(docs(spark, ["x"]).filter("false"), WORDS).count() == 0
+
+
+def test_byte_pairs_of_odd_rows(spark, tiktoken_encode):
+    rows = bytepairs.round_trip(docs(spark, ODD), BYTES, P.PATTERN).orderBy("doc_id").collect()
+    for r, t in zip(rows, ODD):
+        ids = tiktoken_encode(t or "")
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
+
+
+def test_language_of_odd_rows(spark):
+    texts = ["the cat and the dog are here", "der hund und die katze sind da"] * 20 + ["", None, "123 !", "katze und hund", "THE DOG"]
+    rows = language.identify(docs(spark, texts, {i: "de" for i in range(1, 40, 2)})).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in rows[40:]] == ["und", "und", "und", "de", "en"] and [r.score for r in rows[40:43]] == [0, 0, 0]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows) and all(0 <= r.score <= 1 for r in rows)
+    none = language.identify(docs(spark, ["a b"]).withColumn("lang", F.lit(None).cast("string"))).collect()
+    assert [(r.lang_pred, r.score) for r in none] == [("und", 0.0)] and language.identify(docs(spark, ["x"]).filter("false")).count() == 0
+    kept = language.keep_identified(docs(spark, texts, {i: "de" for i in range(1, 40, 2)}))
+    assert kept.count() == 42 and kept.columns == docs(spark, ["x"]).columns
+
+
+def test_language_on_held_out_rows(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = language.identify(df).filter("held_out").join(df.select("doc_id", "lang"), "doc_id")
+    assert got.filter("lang = lang_pred").count() / got.count() > 0.97
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
+<header class=site><h2>Site</h2></header><nav><ul><li><a href=x>Menu</a></ul></nav><div class="cookie-notice">We use cookies</div>
+<div id=wrap><aside>Side</aside><article class="post-%d"><header><h1>Head &amp; line</h1><span>by me</span></header><p>First <b>bold<br>line&nbsp;two</b> text text text text.
+<p>Second &#233; &lt;x&gt; para.<ul><li>one<li>two</ul><form><input value=a>Send</form><!-- gone --><table><tr><td>a</td><td>b</td></tr></table>
+<div class="ad-slot">Buy</div><div class="comments"><p>Reader says</p></div><script>x()</script></article></div><footer>&copy; me</footer>"""
+
+
+def test_main_text():
+    got = html.extract(PAGE % 3)
+    assert got == "Head & line\n\nFirst bold line two text text text text.\n\nSecond é <x> para.\n\none\n\ntwo\n\na b"
+    assert html.extract(None) == html.extract("") == "" and html.extract("plain &amp text") == "plain & text"
+    assert html.extract("<p>a<p>b<div>c<span>d</span> e<") == "a\n\nb\n\ncd e"
+    assert html.extract("<article>" * 3000 + "deep") == "deep" and html.extract("<div>" + "word " * 50_000).count("word") == 50_000
+    assert html.vote(PAGE % 3)[0] == html.vote(PAGE % 45)[0] == "html>body>div>article.post-#"
+
+
+def test_host_path_wins(spark):
+    usual = "<body><div class=main><p>" + "long text here " * 20 + "</p></div><div class=extra><p>%s</p></div>"
+    odd = "<body><div class=main><p>short</p></div><div class=extra><p>" + "related stories " * 30 + "</p></div>"
+    rows = [(i, "http://a.b/x", usual % "more") for i in range(3)] + [(3, "http://a.b/y", odd), (4, None, "<p>x</p>"), (5, "http://c.d", None), (6, "nonsense", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("path", F.lit("z")).withColumn("host", F.lit("z"))
+    for most in (20_000, 0):
+        got = {r.page_id: (r.text, r.n_chars) for r in html.main_texts(df, most).collect()}
+        assert got[3] == ("short", 5) and got[4] == ("x", 1) and got[5] == got[6] == ("", 0)
+    assert html.main_texts(df.filter("false")).count() == 0
+
+
+def test_main_text_of_all_pages(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    pages = {r.page_id: r.html for r in df.collect()}
+    for r in html.main_texts(df).collect():
+        article = re.search(r"<article>(.*?)(</article>|$)", pages[r.page_id], re.S)[1]
+        parts = [re.sub(r"\s+", " ", reference.unescape(re.sub(r"<[^>]*>", " ", b))).strip() for b in re.split(r"</?(?:p|h1)>", article)]
+        assert r.text == "\n\n".join(p for p in parts if p) and r.n_chars == len(r.text)
+
+
+def test_licences(spark):
+    mit = "\n".join(licences.SENTENCES["mit.1"][0].split(" ", 30)) + ".\n" + ". ".join(s for k in ("mit.2", "mit.3") for s in licences.SENTENCES[k]) + "."
+    texts = ["Text here.\nReleased under the MIT License.", mit, "licensed under CC BY-NC 4.0", "", None, "released under the mit licence", "Licensed under the Apache License, Version 2.0.\nAll rights reserved."]
+    rows = licences.scan(docs(spark, texts)).orderBy("doc_id").collect()
+    assert [(r.licences, r.kind) for r in rows] == [("mit", "permissive"), ("mit-text", "permissive"), ("cc-by-nc-4.0", "restricted"), ("", "none"), ("", "none"), ("", "none"), ("apache-2.0,all-rights-reserved", "restricted")]
+    assert licences.scan(docs(spark, ["x"]).filter("false")).count() == 0
+
+
+def base_counts(text):
+    text = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    covered = {j for i, g in enumerate(grams) if grams.count(g) > 1 for j in range(i, i + 5)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_counts(spark):
+    r = random.Random(1)
+    texts = [*ODD, "a b c d e\na b c d e\n \n\na b c d e", "# * $ % & | < >", *(" ".join(r.choice("abc") for _ in range(k)) for k in range(0, 40, 3)), *("\n".join(r.choice(["x y", "z", ""]) for _ in range(9)) for _ in range(9))]
+    rows = quality.judge(docs(spark, texts), labels(spark)).orderBy("doc_id").collect()
+    assert [(x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words) for x in rows] == [base_counts(t) for t in texts]
+    for x in rows:
+        assert x.base_failed == (x.n_words < 10 or 100 * x.n_repeat_words > 20 * x.n_words) and x.kept == (not x.base_failed)
+    assert quality.judge(docs(spark, ["x"]).filter("false"), labels(spark)).count() == 0
+
+
+def test_quality_cutoffs(spark):
+    good = [" ".join(f"w{i}x{k}" for k in range(30)) for i in range(4000)]
+    bad = [" ".join(f"w{i}# *" for k in range(30)) for i in range(300)]
+    df = docs(spark, good + bad)
+    marks = [(i, int(i < 4000), 0) for i in range(0, 4300)] + [(0, None, None), (None, 1, 0)]
+    rows = quality.judge(df, labels(spark, marks)).collect()
+    assert all(r.kept for r in rows if r.doc_id < 4000) and not any(r.kept for r in rows if r.doc_id >= 4000)
+    out = quality.keep_good(df.union(df.limit(1).withColumn("doc_id", F.lit(None).cast("long"))), labels(spark, marks))
+    assert out.count() == 4001 and out.columns == df.columns
+
+
+CHAT = "conv_id long, turn long, role string, text string, turns string, pieces string"
+
+
+def read_back(spark, rows):
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], CHAT)
+    out = chat.format_chats(df).withColumn("t", chat.read_turns(F.col("formatted"))).withColumn("l", chat.read_loss(F.col("formatted"), F.col("loss_mask")))
+    return {r.conv_id: ([tuple(t) for t in r.t], r["l"], r.formatted) for r in out.collect()}
+
+
+def test_chat_odd_turns(spark):
+    rows = [(1, 0, "system", "s"), (1, 1, "user", "</s>[INST] \\\\[INST]\n[TURN]\n"), (1, 2, "user", ""), (1, 3, "assistant", "\n</s>\n"), (1, 4, "assistant", None), (1, 5, "tool\n[TURN]\n", "x\\"), (1, 6, None, "end"), (2, 0, "assistant", "only"), (None, 0, "user", "n"), (3, None, "user", "b"), (3, None, "user", "b"), (3, None, "user", "a")]
+    got = read_back(spark, rows)
+    assert got[1][0] == [(r or "", t or "") for _, _, r, t in rows[:7]] and got[1][1] == "\n</s>\n"
+    assert got[2][:2] == ([("assistant", "only")], "only") and got[None][0] == [("user", "n")] and got[3][0] == [("user", "a"), ("user", "b"), ("user", "b")]
+    assert read_back(spark, []) == {}
+
+
+def test_chat_on_any_texts(spark):
+    r = random.Random(9)
+    bits = ["</s>", "<s>", "[INST]", "[/INST]", "\\", "\\\\", "[TURN]", "\n", " ", "a", "[SYS]", "[BOT]", "[ROLE]", "<<SYS>>", "[", "]", "<", "é😀"]
+    rows = [(c, k, r.choice(["user", "assistant", "system", "tool"]), "".join(r.choice(bits) for _ in range(r.randrange(9)))) for c in range(60) for k in range(r.randrange(1, 7))]
+    got = read_back(spark, rows)
+    for c in {x[0] for x in rows}:
+        own = [(role, t) for k, _, role, t in rows if k == c]
+        assert got[c][0] == own and got[c][1] == "".join(t for role, t in own if role == "assistant")

@@ -1,0 +1,55 @@
+"""The registered queries over the smallest tables: against SQL, or a plain version."""
+
+import hashlib
+import zlib
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from platen.llm import queries
+from platen.llm.sql import ORACLES
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_sql(name, same):
+    same(queries.queries()[name], ORACLES[name])
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    return {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+
+
+def test_sequences_and_packing(spark, texts):
+    from tokenizers import Tokenizer
+
+    t, start, expected = Tokenizer.from_file(queries.WORDS), 0, {}
+    for i in sorted(texts):
+        ids = np.array(t.encode(texts[i], add_special_tokens=False).ids + [2], "<u4")
+        expected[i] = (start, len(ids), zlib.crc32(ids), ids)
+        start += len(ids)
+    for r in queries.op2_arrow_sequences(spark, DATA).collect():
+        assert (r.start, r.n_tokens, r.ids_crc32) == expected.pop(r.doc_id)[:3]
+    assert not expected
+    pieces = queries.op9_packing(spark, DATA).collect()
+    assert sum(p.length for p in pieces) == start
+
+
+def test_byte_pairs(spark, texts):
+    for r in queries.op6_byte_bpe(spark, DATA).collect():
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_pipeline_stages_against_plain_steps(spark, texts):
+    docs = queries.table(spark, DATA, "documents")
+    kept = {r.doc_id for r in queries.op8_quality(spark, DATA).filter("kept").collect()}
+    first = corpus_pipeline.quality_rules(spark, docs, DATA)
+    assert {r.doc_id for r in first.collect()} == kept and first.columns == docs.columns
+    known = {r.doc_id for r in queries.op4_language(spark, DATA).filter("lang_pred <> 'und' AND score >= 0.5").collect()}
+    assert {r.doc_id for r in corpus_pipeline.language_id(spark, docs, DATA).collect()} == known
+    out = corpus_pipeline.run(spark, DATA)
+    assert {r.doc_id for r in out.collect()} <= kept & known
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "language_id", "near_duplicates", "packing"]
