@@ -106,13 +106,12 @@ def word_chars(chars: DataFrame, o: WordOptions = WordOptions()) -> DataFrame:
     df = df.withColumn("__blank", blank).withColumn("__alone", alone)
     apart = _breaks(ways[0], x, y, over) if ways[0] == ways[1] else _either(_breaks(ways[0], x, y, over), _breaks(ways[1], x, y, over))
     new = F.lag("__blank", 1, True).over(over) | F.col("__alone") | F.lag("__alone", 1, False).over(over) | F.coalesce(apart, F.lit(True))
-    df = df.withColumn("__new", new.cast("int"))
-    df = df.withColumn("__word", F.sum("__new").over(over.rowsBetween(Window.unboundedPreceding, 0)))
-    df = df.withColumn("place", F.row_number().over(over)).filter("NOT __blank")
-    page = Window.partitionBy(*PAGE).orderBy("run", "line", "__word")
-    df = df.withColumn("word_seq", F.dense_rank().over(page) - 1)
+    df = df.withColumn("__new", (new & ~F.col("__blank")).cast("int")).withColumn("place", F.row_number().over(over))
+    # one order serves both windows: the page's words are numbered along lines and runs
+    page = Window.partitionBy(*PAGE).orderBy("run", "line", *order).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("word_seq", F.sum("__new").over(page) - 1).filter("NOT __blank")
     direction = _either(F.lit(o.chars(True)), F.lit(o.chars(False)))
-    return df.withColumn("direction", direction).drop("__blank", "__alone", "__new", "__word")
+    return df.withColumn("direction", direction).drop("__blank", "__alone", "__new")
 
 
 def extract_words(chars: DataFrame, o: WordOptions = WordOptions(), return_chars: bool = False, limit: int | None = None, slice: tuple | None = None) -> DataFrame:
