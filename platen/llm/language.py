@@ -18,11 +18,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import release, tune
 from .hashing import bounded
 
 BUCKETS = 1 << 15
 PER_LANGUAGE = 1000
+#: Bytes of text scored at once; features take over a hundred bytes of memory for each.
+PART = 1 << 20
 UNKNOWN = "und"
 _U = np.uint64
 _MULTIPLIERS = np.random.default_rng(11).integers(1, 2**63, size=3, dtype=np.uint64) * _U(2) + _U(1)
@@ -70,13 +72,14 @@ def learn(docs: DataFrame, most: int = PER_LANGUAGE) -> tuple[list[str], np.ndar
         total = np.zeros((len(languages), BUCKETS), np.int64)
         texts = np.zeros(len(languages), np.int64)
         for batch in batches:
-            for part in bounded(batch, "text"):
+            for part in bounded(batch, "text", PART):
                 grams, where = features(part.column("text").to_pylist())
                 lang = np.array([number[x] for x in part.column("lang").to_pylist()])
                 texts += np.bincount(lang, minlength=len(languages))
                 total += np.bincount(lang[where] * BUCKETS + grams, minlength=total.size).reshape(total.shape)
         flat = np.concatenate([total.reshape(-1), texts])
         at = np.flatnonzero(flat)
+        release()
         yield pa.RecordBatch.from_pydict({"k": at, "n": flat[at]})
 
     drawn = known.filter(F.col("h") <= F.element_at(limit, F.col("lang")))
@@ -122,9 +125,10 @@ def identify(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in bounded(batch, "text"):
+            for part in bounded(batch, "text", PART):
                 names, chance = predict(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(names, pa.string()), pa.array(chance)], names=["doc_id", "held_out", "lang_pred", "score"])
+        release()
 
     rows = docs.select("doc_id", held_out("doc_id").alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
@@ -137,8 +141,9 @@ def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in bounded(batch, "text"):
+            for part in bounded(batch, "text", PART):
                 names, chance = predict(part.column("text"))
                 yield part.filter(pc.and_(pa.array([x != UNKNOWN for x in names], pa.bool_()), pa.array(chance >= least)))
+        release()
 
     return docs.mapInArrow(run, docs.schema)

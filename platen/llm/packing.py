@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, tune, written
+from .common import release, small, tune, written
 from .hashing import bounded
 from .sequences import END, by_ranges
 
@@ -177,6 +177,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int = END, size: int = SIZE) -> D
             for x in bounded(batch, "text"):
                 yield from tagged(packer.add(x.column("doc_id").to_pylist(), *words.encode(x.column("text"), end)))
         yield from tagged(packer.end())
+        release()
 
     pieces = written(by_ranges(docs).mapInArrow(run, PIECES + ", part long"), "pieces")
     counts = sorted(pieces.groupBy("part").agg((F.max("sequence_id") + 1).alias("n")).collect())

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import release, tune
 from .hashing import bounded
 
 #: Ids in a sequence, and sequences in a record batch.
@@ -111,6 +111,7 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer: str, end: int = END
                 out.add(part.column("doc_id"), *words.encode(part.column("text"), end))
         if out:
             out.close()
+            release()
             yield pa.RecordBatch.from_pydict({"shard": [task.partitionId()], "n": [out.count], "tokens": [out.tokens]})
 
     rows = by_ranges(docs).mapInArrow(write, "shard long, n long, tokens long").collect()
