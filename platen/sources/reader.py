@@ -27,10 +27,6 @@ SCHEMAS = {"documents": schema.DOCUMENTS, "pages": schema.PAGES, "chars": schema
 ROWS = 20_000
 
 
-def names(kind: str) -> list[str]:
-    return _parse_datatype_string(SCHEMAS[kind]).names
-
-
 def decode_file(doc_id: int, path: str, data: bytes, kind: str, pages: set[int] | None = None, password: str = "", unicode_norm: str | None = None, failfast: bool = False) -> list[dict]:
     """Rows of one kind of one file."""
     try:
@@ -100,8 +96,8 @@ class _Files(InputPartition):
 
 
 class PdfReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.options, self.kind, self.pages = options, options.get("kind", "chars"), None
+    def __init__(self, options: dict, fields: list[str]):
+        self.options, self.kind, self.fields, self.pages = options, options.get("kind", "chars"), fields, None
         if options.get("pages"):
             self.pages = {int(x) for x in options["pages"].split(",")}
 
@@ -122,13 +118,12 @@ class PdfReader(DataSourceReader):
         return [_Files(found[i : i + 8]) for i in range(0, len(found), 8)]
 
     def read(self, partition):
-        fields = names(self.kind)
         for path in partition.paths:
             with open(path, "rb") as f:
                 data = f.read()
             doc_id = zlib.crc32(path.encode())
             for r in decode_file(doc_id, path, data, self.kind, self.pages, self.options.get("password", ""), self.options.get("unicode_norm"), self.options.get("mode", "").upper() == "FAILFAST"):
-                yield tuple(_nested(r.get(f), f) for f in fields)
+                yield tuple(_nested(r.get(f), f) for f in self.fields)
 
 
 def _nested(x, field: str):
@@ -154,7 +149,7 @@ class PdfDataSource(DataSource):
         return SCHEMAS[self.options.get("kind", "chars")]
 
     def reader(self, schema):
-        return PdfReader(dict(self.options))
+        return PdfReader(dict(self.options), schema.names)
 
 
 def register(spark: SparkSession) -> None:
