@@ -9,7 +9,8 @@ as a pair at the threshold of 0.93 needs to meet with a chance of 1 - MISSED (16
 more surely.
 
 Exact copies are one class first, with a count. A bucket larger than BLOCK is dealt as pairs of blocks, so no task gets
-more than two blocks of it; which buckets those are is counted beforehand. A pair is counted in the first table where it
+more than two blocks of it; which buckets those are is counted beforehand and joined to the index, by broadcast only
+up to HOT of them. A pair is counted in the first table where it
 meets. Tasks return a row for each vector with links, its count and one link into the bucket's local component: never
 the pairs.
 
@@ -26,9 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import graph
-from .common import tune, written
+from .common import small, tune, written
 
 BLOCK = 2048
+#: Large buckets that are broadcast; more of them are joined by shuffling.
+HOT = 100_000
 #: Chance that a pair at the threshold of 0.93 meets in no table.
 MISSED = 0.001
 #: Vectors that the rotation is learnt from, and rounds.
@@ -79,43 +82,36 @@ def _by_length(batch: pa.RecordBatch):
         yield d, batch.filter(pa.array(sizes == d))
 
 
-def _index(models: dict, tables: int, bits: int, hot: dict | None):
-    """Rows (label, d, t, code, k1, k2, node, n, codes, vector); with ``hot`` None only the bucket's name."""
+def _index(models: dict, tables: int, bits: int, full: bool):
+    """Rows (label, d, t, code, node, n, codes, vector), one for each vector and table; if not ``full`` the bucket's name only."""
 
     def run(batches):
         for batch in batches:
             for d, part in _by_length(batch):
                 codes = substrings(_unit(_matrix(part.column("vector"), d)), models.get(d) or [(np.zeros(d), np.eye(d))], tables, bits)
                 n = part.num_rows
-                take = np.repeat(np.arange(n), tables)
-                t = np.tile(np.arange(tables, dtype=np.int32), n)
-                labels = part.column("label").take(pa.array(take))
-                if hot is None:
-                    yield pa.RecordBatch.from_arrays([labels, pa.array(np.full(len(take), d, np.int32)), pa.array(t), pa.array(codes.reshape(-1))], names=["label", "d", "t", "code"])
-                    continue
-                k1, k2, side, more = [np.full(len(take), v, np.int32) for v in (0, 0, 0)] + [[]]
-                if hot:
-                    lab = labels.to_pylist()
-                    deal = (part.column("node").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-                    sel = []
-                    for i, (b, tt, c) in enumerate(zip(lab, t.tolist(), codes.reshape(-1).tolist())):
-                        blocks = hot.get((b, d, tt, c))
-                        if not blocks:
-                            sel.append((i, 0, 0, 0))
-                        else:
-                            own = int(deal[take[i]]) % blocks
-                            sel += [(i, min(own, o), max(own, o), own) for o in range(blocks)]
-                    rows, k1, k2, side = np.array(sel, dtype=np.int64).T
-                    take, t, labels = take[rows], t[rows], labels.take(pa.array(rows))
-                    k1, k2, side = (x.astype(np.int32) for x in (k1, k2, side))
-                at = pa.array(take)
-                packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * tables), n, [None, pa.py_buffer(np.ascontiguousarray(codes))]).cast(pa.binary())
-                code = codes[take, t]
-                yield pa.RecordBatch.from_arrays([labels, pa.array(np.full(len(take), d, np.int32)), pa.array(t), pa.array(code), pa.array(k1), pa.array(k2), pa.array(side), part.column("node").take(at), part.column("n").take(at), packed.take(at), part.column("vector").take(at)], names=["label", "d", "t", "code", "k1", "k2", "side", "node", "n", "codes", "vector"])
+                at = pa.array(np.repeat(np.arange(n), tables))
+                t = pa.array(np.tile(np.arange(tables, dtype=np.int32), n))
+                named = [part.column("label").take(at), pa.array(np.full(n * tables, d, np.int32)), t, pa.array(codes.reshape(-1))]
+                names = ["label", "d", "t", "code"]
+                if full:
+                    packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * tables), n, [None, pa.py_buffer(np.ascontiguousarray(codes))]).cast(pa.binary())
+                    named += [part.column("node").take(at), part.column("n").take(at), packed.take(at), part.column("vector").take(at)]
+                    names += ["node", "n", "codes", "vector"]
+                yield pa.RecordBatch.from_arrays(named, names=names)
 
     return run
 
 
+def _deal(index: DataFrame, hot: DataFrame) -> DataFrame:
+    """``index`` with k1, k2 and side: a row of a bucket of several blocks has its block as side and comes once for each
+    pair of blocks (k1, k2) that its own is part of."""
+    joined = index.join(small(hot, HOT), ["label", "d", "t", "code"], "left")
+    blocks = F.coalesce("blocks", F.lit(1))
+    dealt = joined.withColumn("side", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return dealt.withColumns({"k1": F.least("side", "other"), "k2": F.greatest("side", "other")}).drop("other", "blocks")
+
+
 def _bucket(t: int, k1: int, k2: int, side: np.ndarray, node: np.ndarray, n: np.ndarray, codes: np.ndarray, x: np.ndarray, least: float):
     """Links of one bucket (or pair of its blocks): per vector with links its weighted count and the local root."""
     x = _unit(x)
@@ -206,13 +202,11 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, block: int = BLOCK, sa
         drawn.setdefault(len(r.vector), []).append(r.vector)
     models = {d: [learn_rotation(_unit(np.array(v, np.float64)), seed) for seed in range(-(-tables * bits // d))] for d, v in drawn.items() if d <= 4096}
 
-    hot: dict = {}
-    names = classes.mapInArrow(_index(models, tables, bits, None), "label string, d int, t int, code int")
-    for r in names.groupBy("label", "d", "t", "code").count().filter(F.col("count") > block).toLocalIterator():
-        hot[r.label, r.d, r.t, r.code] = -(-r["count"] // block)
-
+    names = classes.mapInArrow(_index(models, tables, bits, False), "label string, d int, t int, code int")
+    hot = names.groupBy("label", "d", "t", "code").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).filter("blocks > 1")
     kind = "float" if stored else "double"
-    index = classes.mapInArrow(_index(models, tables, bits, hot), f"label string, d int, t int, code int, k1 int, k2 int, side int, node long, n long, codes binary, vector array<{kind}>")
+    index = classes.mapInArrow(_index(models, tables, bits, True), f"label string, d int, t int, code int, node long, n long, codes binary, vector array<{kind}>")
+    index = _deal(index, written(hot, "hot"))
     keys = ["label", "d", "t", "code", "k1", "k2"]
     met = index.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_link(tables, least), "node long, links long, root long")
     met = written(met, "met")
