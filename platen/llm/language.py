@@ -1,12 +1,14 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams (operator 4).
 
 Features are the single letters, pairs and triples of a text's lower-cased code points, every non-letter being one
-boundary sign, hashed to BUCKETS. The model is fitted to at most PER_LANGUAGE whole labelled texts of each language,
-those of the smallest hashes of doc_id; counts are summed in Spark. The log-probability matrix (BUCKETS x languages) is
+boundary sign, hashed to BUCKETS. The model is fitted to at most PER_LANGUAGE different labelled rows of each language,
+whole texts, those of the smallest hashes of (doc_id, text); counts are summed in Spark. Hashes above MARGIN times the
+expected bound are left out before ranking, so that a ranking task gets about MARGIN * PER_LANGUAGE of them however many
+rows a language has. The log-probability matrix (BUCKETS x languages) is
 broadcast; a batch of texts is scored by gathering its features' rows and summing them by text.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; equal posteriors go to the first language in
-alphabetical order; with nothing to learn from all texts are ``und``; a null doc_id counts as the text ''; other columns
+alphabetical order; repeats of a fitted row count with it; with nothing to learn from all texts are ``und``; a null doc_id counts as the text ''; other columns
 are never inputs.
 """
 
@@ -22,7 +24,7 @@ from .common import release, tune
 from .hashing import bounded
 
 BUCKETS = 1 << 15
-PER_LANGUAGE = 1000
+PER_LANGUAGE, MARGIN = 1000, 4
 #: Bytes of text scored at once; features take over a hundred bytes of memory for each.
 PART = 1 << 20
 UNKNOWN = "und"
@@ -56,15 +58,22 @@ def held_out(doc_id) -> "F.Column":
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(5)) == 0
 
 
+def hash_bound(wanted: int, n: int) -> int:
+    """The signed 64-bit value below which about ``wanted`` of ``n`` hashes lie; the largest one if all are wanted."""
+    return min((1 << 63) - 1, (1 << 64) * wanted // max(n, 1) - (1 << 63))
+
+
 def learn(docs: DataFrame, most: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Languages and their log-probabilities (BUCKETS + 1 rows, the last being the prior's), from what isn't held out."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id"))
-    known = known.select(F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h"), "text")
-    ranked = known.select("lang", "h").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    known = known.select(F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", "text").alias("h"), "text")
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()
+    if not sizes:
+        return [], np.zeros((BUCKETS + 1, 0))
+    bounds = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, hash_bound(MARGIN * most, r.n))])
+    ranked = known.filter(F.col("h") <= F.element_at(bounds, F.col("lang"))).select("lang", "h").distinct().withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
     upto = sorted((r.lang, r.h) for r in ranked.filter(F.col("r") <= most).groupBy("lang").agg(F.max("h").alias("h")).collect())
     languages = [lang for lang, _ in upto]
-    if not languages:
-        return [], np.zeros((BUCKETS + 1, 0))
     number = {lang: k for k, lang in enumerate(languages)}
     limit = F.create_map(*[F.lit(x) for pair in upto for x in pair])
 

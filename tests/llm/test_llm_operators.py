@@ -278,6 +278,17 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <div class="ad-slot">Buy</div><div class="comments"><p>Reader says</p></div><script>x()</script></article></div><footer>&copy; me</footer>"""
 
 
+def test_language_is_fitted_to_a_bounded_number_of_texts(spark):
+    df = spark.range(3000).select("id", F.concat(F.lit("words of text "), F.col("id")).alias("text"), F.when(F.col("id") < 2000, "a").otherwise("b").alias("lang"))
+    df = df.withColumnRenamed("id", "doc_id").repartition(4)
+    languages, table = language.learn(df, most=20)
+    assert languages == ["a", "b"] and np.allclose(table[-1], np.log(0.5))  # 20 of each, though one has twice the rows
+    repeated = df.filter("doc_id = 0").unionByName(df.filter("doc_id = 2500")).crossJoin(spark.range(200)).drop("id")
+    known = [r.doc_id for r in repeated.filter(~language.held_out("doc_id")).select("doc_id").distinct().collect()]
+    assert len(language.learn(repeated, most=20)[0]) == len(known)
+    assert language.hash_bound(4000, 10) == 2**63 - 1 and language.hash_bound(1, 2) == 0
+
+
 def test_main_text():
     got = html.extract(PAGE % 3)
     assert got == "Head & line\n\nFirst bold line two text text text text.\n\nSecond é <x> para.\n\none\n\ntwo\n\na b"
