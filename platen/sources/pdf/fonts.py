@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
+from .cmaps import code_length, codec_of, decode_code, glyph_texts
 from .objects import Lexer, Name, Objects, Stream
 
 # Glyph names that are not letters with accents, by their characters.
@@ -135,6 +136,7 @@ class Font:
             self.descent, self.ascent = float(get(box[1])) * self.matrix[3], float(get(box[3])) * self.matrix[3]
         coding = get(d.get("Encoding"))
         self.vertical = self.kind == "Type0" and isinstance(coding, str) and coding.endswith("V")
+        self.codec = codec_of(str(coding)) if self.kind == "Type0" and isinstance(coding, str) else None
         self.texts: dict[int, str] = {}
         self.spaces: list[tuple[int, int, int]] = []
         if isinstance(unicode := get(d.get("ToUnicode")), Stream):
@@ -144,6 +146,8 @@ class Font:
             self.default = float(get((descendant or {}).get("DW")) or 1000)
             self._wide(get((descendant or {}).get("W")) or [], get)
             self.table: list[str | None] = []
+            if not isinstance(unicode, Stream) and not self.codec and isinstance(file := get(descriptor.get("FontFile2")), Stream):
+                self._embedded(glyph_texts(objects.bytes_of(file)), get((descendant or {}).get("CIDToGIDMap")), objects)
             return
         first = int(get(d.get("FirstChar")) or 0)
         for k, w in enumerate(get(d.get("Widths")) or []):
@@ -172,6 +176,14 @@ class Font:
                     if text:
                         self.widths[code] = plain.get(unicodedata.normalize("NFD", text)[0], 556.0)
 
+    def _embedded(self, glyphs: dict[int, str], placed, objects: Objects) -> None:
+        """Texts of codes, which are glyphs or lead to them, but those of private characters."""
+        if isinstance(placed, Stream):
+            raw = objects.bytes_of(placed)
+            codes = {k // 2: int.from_bytes(raw[k : k + 2], "big") for k in range(0, min(len(raw), 2 * 0x10000) - 1, 2)}
+            glyphs = {code: glyphs[g] for code, g in codes.items() if g in glyphs}
+        self.texts = {code: text for code, text in glyphs.items() if unicodedata.category(text) != "Co"}
+
     def _wide(self, rows: list, get) -> None:
         at = 0
         while at < len(rows) and len(self.widths) < MOST:
@@ -192,6 +204,11 @@ class Font:
             return
         at = 0
         while at < len(raw):
+            if self.codec and not self.spaces:
+                n = code_length(self.codec, raw[at : at + 4])
+                yield int.from_bytes(raw[at : at + n], "big"), n
+                at += n
+                continue
             n = next((n for n, low, high in self.spaces if low <= int.from_bytes(raw[at : at + n], "big") <= high and at + n <= len(raw)), 2)
             yield int.from_bytes(raw[at : at + n], "big"), n
             at += n
@@ -199,6 +216,9 @@ class Font:
     def text(self, code: int) -> str:
         if code in self.texts:
             return self.texts[code]
+        if self.codec:
+            raw = code.to_bytes(max({"jis": 2, "utf-16-be": 2, "utf-32-be": 4}.get(self.codec, 1), (code.bit_length() + 7) // 8), "big")
+            return decode_code(self.codec, raw) or f"(cid:{code})"
         found = self.table[code] if code < len(self.table) else None
         return found if found is not None else f"(cid:{code})"
 
@@ -206,4 +226,6 @@ class Font:
         """In text space at size one."""
         if self.vertical:
             return -1.0
+        if self.codec:  # widths go by CID: without the maps from codes, single bytes are half as wide as others
+            return (self.default if code > 0xFF or self.codec.startswith("utf") else self.default / 2) * 0.001
         return self.widths.get(code, self.default) * (self.matrix[0] if self.kind == "Type3" else 0.001)

@@ -1,5 +1,6 @@
 """Small files, one feature each."""
 
+import struct
 import zlib
 
 import pytest
@@ -8,7 +9,9 @@ from pyspark.sql import functions as F
 from platen.pageset import PageSet
 from platen.sources import reader
 from platen.sources.pdf import filters, writer
-from platen.sources.pdf.crypt import PADDING, rc4
+from platen.sources.pdf.aes import Aes
+from platen.sources.pdf.cmaps import glyph_texts
+from platen.sources.pdf.crypt import PADDING, hardened, rc4
 from platen.sources.pdf.document import Document, decode_string
 from platen.sources.pdf.fonts import glyph_text
 from platen.sources.pdf.interpreter import multiply
@@ -133,6 +136,118 @@ def test_encryption_and_errors():
     assert text(only(one_page(b"BT /F1 9 Tf (Recovered) Tj ET").replace(b"endobj", b"\nendob"))[1]) == "Recovered"
 
 
+def test_aes_vectors():
+    plain = bytes.fromhex("00112233445566778899aabbccddeeff")
+    for n, shut in ((16, "69c4e0d86a7b0430d8cdb78070b4c55a"), (32, "8ea2b7ca516745bfeafc49904b496089")):
+        aes = Aes(bytes(range(n)))
+        assert aes.encrypt(plain, bytes(16)).hex() == shut and aes.decrypt(bytes.fromhex(shut), bytes(16)) == plain
+        long = bytes(i * 7 & 255 for i in range(160))
+        assert aes.decrypt(aes.encrypt(long, plain), plain) == long
+    assert aes.decrypt(b"", plain) == b""
+
+
+def padded(plain):
+    n = 16 - len(plain) % 16
+    return plain + bytes([n]) * n
+
+
+def hexed(raw):
+    return b"<%s>" % raw.hex().encode()
+
+
+@pytest.mark.parametrize("method", [b"AESV2", b"V2", b"Identity"])
+def test_aes_of_version_4(method):
+    from hashlib import md5
+
+    file_id, iv, content = b"0123456789abcdef", bytes(range(16)), b"BT /F1 9 Tf (Fourth) Tj ET"
+    key = md5(b"owner" + PADDING[:27]).digest()
+    for _ in range(50):
+        key = md5(key).digest()
+    owner = (b"user" + PADDING)[:32]
+    for i in range(20):
+        owner = rc4(bytes(k ^ i for k in key), owner)
+    key = md5((b"user" + PADDING)[:32] + owner + b"\xfc\xff\xff\xff" + file_id).digest()
+    for _ in range(50):
+        key = md5(key).digest()
+    check = md5(PADDING + file_id).digest()
+    for i in range(20):
+        check = rc4(bytes(k ^ i for k in key), check)
+    if method == b"AESV2":
+        content = iv + Aes(md5(key + (4).to_bytes(3, "little") + bytes(2) + b"sAlT").digest()).encrypt(padded(content), iv)
+    elif method == b"V2":
+        content = rc4(md5(key + (4).to_bytes(3, "little") + bytes(2)).digest(), content)
+    named = b"Identity" if method == b"Identity" else b"StdCF"
+    more = {8: b"<< /Filter /Standard /V 4 /R 4 /Length 128 /P -4 /O %s /U %s /CF << /StdCF << /CFM /%s >> >> /StmF /%s >>" % (hexed(owner), hexed(check + bytes(16)), method, named)}
+    data = one_page(content, more=more, extra=b"/Encrypt 8 0 R /ID [%s <00>]" % hexed(file_id))
+    assert text(only(data, password="user")[1]) == text(only(data, password="owner")[1]) == "Fourth"
+    with pytest.raises(PdfError):
+        Document(data, password="other")
+
+
+@pytest.mark.parametrize("revision", [5, 6])
+def test_aes_of_version_5(revision):
+    from hashlib import sha256
+
+    key, iv = bytes(range(32)), bytes(range(16))
+    digest = hardened if revision == 6 else lambda word, salt, user=b"": sha256(word + salt + user).digest()
+    user = digest(b"s\xc3\xa9same", b"validate") + b"validate" + b"user-key"
+    owner = digest(b"boss", b"validate", user) + b"validate" + b"boss-key"
+    wrapped = Aes(digest(b"s\xc3\xa9same", b"user-key")).encrypt(key, bytes(16)), Aes(digest(b"boss", b"boss-key", user)).encrypt(key, bytes(16))
+    more = {8: b"<< /Filter /Standard /V 5 /R %d /Length 256 /P -4 /U %s /O %s /UE %s /OE %s /CF << /StdCF << /CFM /AESV3 >> >> /StmF /StdCF /StrF /StdCF >>" % (revision, *map(hexed, (user, owner, *wrapped)))}
+    title = iv + Aes(key).encrypt(padded(b"Secret"), iv)
+    data = one_page(iv + Aes(key).encrypt(padded(b"BT /F1 9 Tf (Fifth) Tj ET"), iv), more=more | {7: b"<< /Title %s >>" % hexed(title)}, extra=b"/Encrypt 8 0 R /Info 7 0 R")
+    for password in ("s\u00e9same", "boss"):
+        assert text(only(data, password=password)[1]) == "Fifth" and Document(data, password=password).metadata()["Title"] == "Secret"
+    with pytest.raises(PdfError) as e:
+        Document(data)
+    assert e.value.name == "PasswordException"
+
+
+def composite(encoding, code, more=b"", objects=None, inner=b""):
+    font = b"<< /Type /Font /Subtype /Type0 /BaseFont /X /Encoding /%s %s /DescendantFonts [<< /DW 1000 %s >>] >>" % (encoding, more, inner)
+    _, o = only(one_page(b"BT /F1 10 Tf %s Tj ET" % hexed(code), b"<< /Font << /F1 7 0 R >> >>", {7: font} | (objects or {})))
+    return [c["text"] for c in o["chars"]], [c["adv"] for c in o["chars"]]
+
+
+@pytest.mark.parametrize("name, codec", [("EUC-H", "euc_jp"), ("90ms-RKSJ-H", "cp932"), ("UniJIS-UCS2-H", "utf-16-be"), ("UniJIS-UTF16-H", "utf-16-be"), ("UniGB-UTF8-H", "utf-8"), ("UniGB-UTF32-H", "utf-32-be"), ("GBK2K-H", "gb18030"), ("GBK-EUC-H", "gbk"), ("GB-EUC-H", "gb2312")])
+def test_predefined_character_maps(name, codec):
+    shown = "A\u65e5b\u4e2d"
+    texts, advances = composite(name.encode(), shown.encode(codec))
+    assert "".join(texts) == shown and advances[1] == 10
+    assert advances[0] == (10 if codec.startswith("utf") else 5)
+
+
+def test_other_predefined_character_maps():
+    assert "".join(composite(b"V", bytes.fromhex("2422252b"))[0]) == "\u3042\u30ab"
+    assert "".join(composite(b"KSCms-UHC-H", "\ud55c\uae00".encode("cp949"))[0]) == "\ud55c\uae00"
+    assert "".join(composite(b"ETen-B5-H", "\u7e41\u9ad4".encode("cp950"))[0]) == "\u7e41\u9ad4"
+    assert composite(b"UniJIS-UTF16-H", "\U0002000b".encode("utf-16-be"))[0] == ["\U0002000b"]
+    assert composite(b"90ms-RKSJ-H", b"\xfd\xfe\x81")[0] == ["(cid:65022)", "(cid:129)"]
+
+
+def truetype(*maps):
+    """A font file with a cmap table only, of (platform, encoding, subtable)."""
+    head, body = struct.pack(">HH", 0, len(maps)), b""
+    for platform, kind, sub in maps:
+        head += struct.pack(">HHI", platform, kind, 4 + 8 * len(maps) + len(body))
+        body += sub
+    return struct.pack(">IHHHH", 0x10000, 1, 0, 0, 0) + struct.pack(">4sIII", b"cmap", 0, 28, len(head + body)) + head + body
+
+
+def test_embedded_character_maps():
+    # characters 65-67 are glyphs 3-5, 97-98 glyphs 9 and 7 by a list, and a private one is glyph 8
+    four = struct.pack(">7H", 4, 0, 0, 8, 0, 0, 0) + struct.pack(">4HH4H4H4H", 67, 98, 0xE000, 0xFFFF, 0, 65, 97, 0xE000, 0xFFFF, 65536 - 62, 0, 65536 - 0xE000 + 8, 1, 0, 6, 0, 0) + struct.pack(">2H", 9, 7)
+    assert glyph_texts(truetype((3, 1, four))) == {3: "A", 4: "B", 5: "C", 7: "b", 8: "\ue000", 9: "a"}
+    twelve = struct.pack(">HHIII", 12, 0, 28, 0, 1) + struct.pack(">III", 0x1F600, 0x1F601, 3)
+    assert glyph_texts(truetype((3, 1, four), (3, 10, twelve))) == {3: "\U0001f600", 4: "\U0001f601"}
+    assert glyph_texts(b"") == glyph_texts(b"OTTO") == glyph_texts(truetype((1, 0, b"\0\0"))) == {} and glyph_texts(truetype((3, 1, four[:20]))) == {}
+    inner = b"/Subtype /CIDFontType2 /FontDescriptor << /FontFile2 8 0 R >>"
+    embedded = {8: writer.stream(truetype((3, 1, four)), compress=True)}
+    assert composite(b"Identity-H", bytes.fromhex("00030009000800010007"), objects=embedded, inner=inner)[0] == ["A", "a", "(cid:8)", "(cid:1)", "b"]
+    moved = {6: writer.stream(bytes.fromhex("000000040005"))}
+    assert composite(b"Identity-H", bytes.fromhex("000100020003"), objects=embedded | moved, inner=inner + b" /CIDToGIDMap 6 0 R")[0] == ["B", "C", "(cid:3)"]
+
+
 def test_object_streams():
     inner = b"3 0 9 %d " % 90 + b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 9 9] /Contents 4 0 R /Resources << /Font << /F1 9 0 R >> >> >>"
     first = len(b"3 0 9 999 ")
