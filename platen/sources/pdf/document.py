@@ -78,8 +78,9 @@ class Document:
         v = self._numbers(x)
         return (min(v[0], v[2]), min(v[1], v[3]), max(v[0], v[2]), max(v[1], v[3])) if v else None
 
-    def labels(self) -> list[str]:
-        """Labels of all pages: the last range that starts at or before a page names it."""
+    def labels(self) -> list[str | None]:
+        """Labels of all pages: the last range that starts at or before a page names it. Pages before the first range
+        have an empty label, and those of a file without ranges none."""
         get, ranges, todo = self.objects.get, {}, [self.root.get("PageLabels")]
         while todo and len(ranges) < 100_000:
             node = get(todo.pop())
@@ -87,14 +88,18 @@ class Document:
                 nums = get(node.get("Nums")) or []
                 ranges |= {int(get(a)): get(b) for a, b in zip(nums[::2], nums[1::2]) if isinstance(get(a), (int, float))}
                 todo += (get(node.get("Kids")) or [])[:1000]
-        out, now, start = [], None, 0
+        if not ranges:
+            return [None] * len(self.pages)
+        out: list[str | None] = []
+        now, start = None, 0
         for i in range(len(self.pages)):
             if i in ranges:
                 now, start = ranges[i], i
             if not isinstance(now, dict):
-                out.append(str(i + 1))
+                out.append("")
                 continue
-            n, style = int(get(now.get("St")) or 1) + i - start, str(get(now.get("S")) or "")
+            first = get(now.get("St"))
+            n, style = (int(first) if isinstance(first, (int, float)) else 1) + i - start, str(get(now.get("S")) or "")
             text = {"D": str(n), "r": roman(n), "R": roman(n).upper(), "a": alpha(n), "A": alpha(n).upper()}.get(style, "")
             prefix = get(now.get("P"))
             out.append((decode_string(prefix) if isinstance(prefix, bytes) else "") + text)

@@ -116,6 +116,9 @@ def test_metadata_labels_and_strings():
     d = Document(writer.build(objects, extra=b"/Info 8 0 R"))
     assert d.labels() == ["i", "ii", "p-1", "p-2"] and d.metadata() == {"Title": "é", "Pages": "3"}
     assert [p["doctop_offset"] for p, _ in d.run((), {2, 4})] == [30, 120]
+    objects[1] = b"<< /Type /Catalog /Pages 2 0 R /PageLabels << /Nums [1 << /S /D /St 0 >> 3 << >>] >> >>"
+    assert Document(writer.build(objects)).labels() == ["", "0", "1", ""]
+    assert Document(one_page(b"")).labels() == [None]
     assert decode_string(b"\x80a") == "•a"
 
 
