@@ -34,3 +34,50 @@ def s1_decode(spark, sf_dir):
 def l4_flow(spark, sf_dir):
     chars = bridge.text_chars(bridge.table(spark, sf_dir, "documents"))
     return layout.analyse(chars).groupBy("doc_id", "object_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@F.pandas_udf("binary")
+def _report(keys: pd.Series, names: pd.Series, nations: pd.Series) -> pd.Series:
+    """A file of three pages with labels, a title, a link, a filled rectangle and a stroked line."""
+
+    def build(key: int, name: str, nation: int) -> bytes:
+        title = writer.escape(name.encode())
+        page = b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 200 300] %s >>"
+        return writer.build({
+            1: b"<< /Type /Catalog /Pages 2 0 R /PageLabels << /Nums [0 << /S /r >> 2 << /S /D /P (p-) /St %d >>] >> >>" % key,
+            2: b"<< /Type /Pages /Count 3 /Kids [3 0 R 4 0 R 5 0 R] >>",
+            3: page % b"/Contents 6 0 R /Annots [7 0 R]",
+            4: page % b"", 5: page % b"",
+            6: writer.stream(b"%d %d 60 20 re f 10 10 m 90 10 l S" % (nation, nation), compress=True),
+            7: b"<< /Type /Annot /Subtype /Link /Rect [10 20 30 40] /A << /URI (http://suppliers/%d) >> >>" % key,
+            8: b"<< /Title %s >>" % title,
+        }, extra=b"/Info 8 0 R")
+
+    return pd.Series([build(*x) for x in zip(keys, names, nations)], dtype=object)
+
+
+def _reports(spark, sf_dir):
+    suppliers = bridge.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey").repartition(max(8, spark.sparkContext.defaultParallelism), "s_suppkey")
+    return suppliers.select(F.col("s_suppkey").cast("long").alias("doc_id"), F.lit("made").alias("path"), _report("s_suppkey", "s_name", "s_nationkey").alias("content"))
+
+
+@_query
+def s15_vectors(spark, sf_dir):
+    return reader.decode(_reports(spark, sf_dir), "vectors").select("doc_id", "object_type", "fill", "stroke", "x0", "top", "x1", "bottom", "y0", "y1")
+
+
+@_query
+def s27_metadata(spark, sf_dir):
+    made = reader.decode(_reports(spark, sf_dir), "documents")
+    return made.select("doc_id", F.col("page_count").cast("long").alias("page_count"), F.col("metadata")["Title"].alias("title"))
+
+
+@_query
+def s28_labels(spark, sf_dir):
+    made = reader.decode(_reports(spark, sf_dir), "pages")
+    return made.select("doc_id", F.col("page_number").cast("long").alias("page_number"), "label", "doctop_offset")
+
+
+@_query
+def s30_annotations(spark, sf_dir):
+    return reader.decode(_reports(spark, sf_dir), "annots").select("doc_id", "uri", "x0", "top", "x1", "bottom")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import alpha
+from ..functions.geometry import alpha, roman
 from ..operators import boxes, edges, tables, text
 from ..operators.cluster import with_cluster
 from ..operators.words import WordOptions, extract_words
@@ -227,6 +227,46 @@ def f7_alpha(spark, sf_dir):
     return bridge.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), alpha("o_orderkey").alias("alpha"))
 
 
+@_query
+def f6_roman(spark, sf_dir):
+    return bridge.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), roman(F.col("o_orderkey") % 3999 + 1).alias("roman"))
+
+
+@_query
+def p1_filter(spark, sf_dir):
+    return _sums(_chars(spark, sf_dir).filter(F.col("text").between("A", "Z")))
+
+
+@_query
+def p11_resize(spark, sf_dir):
+    moved = boxes.move(boxes.move(_rects(spark, sf_dir), "h", F.lit(7.0)), "v", F.lit(3.0))
+    return _sums(boxes.resize(boxes.resize(moved, "x1", F.col("x1") + 5), "top", F.col("top") - 2), "width", "height", "doctop", "y0", "y1")
+
+
+@_query
+def j9_outside_boxes(spark, sf_dir):
+    chars = bridge.order_chars(bridge.table(spark, sf_dir, "lineitem"))
+    return boxes.within_any(chars, _rects(spark, sf_dir).filter("seq < 4"), inside=False).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query
+def t8_ligatures(spark, sf_dir):
+    chars = _chars(spark, sf_dir).withColumn("text", F.when(F.col("text") == "q", "ﬁ").otherwise(F.col("text")))
+    words = extract_words(chars)
+    return words.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.md5(_joined(words)).alias("words"))
+
+
+@_query
+def t14_regex(spark, sf_dir):
+    found = text.search(_chars(spark, sf_dir), "[0-9]+", return_chars=False)
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("digits"))
+
+
+@_query
+def a11_columns(spark, sf_dir):
+    return tables.axis_groups(_cells(spark, sf_dir), "col").select("doc_id", F.col("col").cast("long").alias("column"), "n", "x0", "top", "x1", "bottom")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from . import decoding  # noqa: F401  the queries on PDF files
 

@@ -74,6 +74,20 @@ UNION ALL SELECT doc_id, 'v', 5, 20.0 * n * 5, 600.0 FROM pages""",
     "a16_mcid_text": f"WITH {CHARS}, m AS (SELECT doc_id, ln AS mcid, string_agg(text, '' ORDER BY ci) AS t FROM chars GROUP BY ALL), e AS (SELECT doc_id, unnest(range(max(mcid) + 1)) AS mcid FROM m GROUP BY doc_id) SELECT e.doc_id, e.mcid::INT AS mcid, coalesce('P: ' || t, '') AS text FROM e LEFT JOIN m ON m.doc_id = e.doc_id AND m.mcid = e.mcid",
     "a17_counts": f"WITH {CELLS} SELECT 'rect' AS object_type, (SELECT 4 * count(*) FROM lines) AS n UNION ALL SELECT 'char', (SELECT sum(length(v[1]) + length(v[2]) + length(v[3]) + length(v[4]))::BIGINT FROM lines)",
     "f7_alpha": """WITH RECURSIVE a AS (SELECT o_orderkey AS doc_id, o_orderkey AS rest, '' AS s FROM orders UNION ALL SELECT doc_id, (rest - 1) // 26, chr((97 + (rest - 1) % 26)::INT) || s FROM a WHERE rest > 0) SELECT doc_id, s AS alpha FROM a WHERE rest = 0""",
+    "f6_roman": """SELECT o_orderkey AS doc_id, ['', 'm', 'mm', 'mmm'][k // 1000 + 1] || ['', 'c', 'cc', 'ccc', 'cd', 'd', 'dc', 'dcc', 'dccc', 'cm'][k // 100 % 10 + 1] || ['', 'x', 'xx', 'xxx', 'xl', 'l', 'lx', 'lxx', 'lxxx', 'xc'][k // 10 % 10 + 1] || ['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'][k % 10 + 1] AS roman
+FROM (SELECT o_orderkey, o_orderkey % 3999 + 1 AS k FROM orders)""",
+    "p1_filter": f"WITH {CHARS} SELECT doc_id, {_SUMS} FROM chars WHERE text BETWEEN 'A' AND 'Z' GROUP BY doc_id",
+    "p11_resize": f"""WITH {CELLS}, m AS (SELECT doc_id, c * 60.0 + 7 AS x0, c * 60.0 + 72 AS x1, r * 20.0 + 1 AS top, r * 20.0 + 23 AS bottom FROM lines, (SELECT unnest([0, 1, 2, 3]) AS c))
+SELECT doc_id, {_SUMS}, sum(x1 - x0) AS width, sum(bottom - top) AS height, sum(top) AS doctop, sum(100000 - bottom) AS y0, sum(100000 - top) AS y1 FROM m GROUP BY doc_id""",
+    "j9_outside_boxes": f"WITH {CELLS} SELECT doc_id, sum(length(v[1]) + length(v[2]) + length(v[3]) + length(v[4]))::BIGINT AS n FROM lines WHERE r > 0 GROUP BY doc_id",
+    "t8_ligatures": f"WITH {words()} SELECT doc_id, count(*) AS n, md5(string_agg(replace(text, 'q', 'fi'), ' ' ORDER BY ln, w)) AS words FROM words GROUP BY doc_id",
+    "t14_regex": f"WITH {words()}, d AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS m FROM words) SELECT doc_id, count(*) AS n, sum(length(m))::BIGINT AS digits FROM d GROUP BY doc_id",
+    "a11_columns": f"""WITH {CELLS} SELECT doc_id, unnest([0, 1, 2, 3])::BIGINT AS "column", n, unnest([0.0, 60.0, 120.0, 180.0]) AS x0, 0.0 AS top, unnest([60.0, 120.0, 180.0, 240.0]) AS x1, n * 20.0 AS bottom FROM pages""",
+    "s15_vectors": """SELECT s_suppkey AS doc_id, 'rect' AS object_type, true AS fill, false AS stroke, n AS x0, 280 - n AS top, n + 60 AS x1, 300 - n AS bottom, n AS y0, n + 20 AS y1 FROM (SELECT s_suppkey, s_nationkey::DOUBLE AS n FROM supplier)
+UNION ALL SELECT s_suppkey, 'line', false, true, 10.0, 290.0, 90.0, 290.0, 10.0, 10.0 FROM supplier""",
+    "s27_metadata": "SELECT s_suppkey AS doc_id, 3::BIGINT AS page_count, s_name AS title FROM supplier",
+    "s28_labels": "SELECT s_suppkey AS doc_id, unnest([1, 2, 3])::BIGINT AS page_number, unnest(['i', 'ii', 'p-' || s_suppkey]) AS label, unnest([0.0, 300.0, 600.0]) AS doctop_offset FROM supplier",
+    "s30_annotations": "SELECT s_suppkey AS doc_id, 'http://suppliers/' || s_suppkey AS uri, 10.0 AS x0, 260.0 AS top, 30.0 AS x1, 280.0 AS bottom FROM supplier",
     "s1_decode": """WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^\\x20-\\x7e\\x{a1}-\\x{ac}\\x{ae}-\\x{ff}\\n]', '?', 'g') AS t FROM documents)
 SELECT doc_id, length(replace(t, chr(10), ''))::BIGINT AS n, 1 + ((length(t) - length(replace(t, chr(10), ''))) // 60) AS pages FROM t""",
 }
