@@ -36,7 +36,6 @@ def l4_flow(spark, sf_dir):
     return layout.analyse(chars).groupBy("doc_id", "object_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
-@F.pandas_udf("binary")
 def _report(keys: pd.Series, names: pd.Series, nations: pd.Series) -> pd.Series:
     """A file of three pages with labels, a title, a link, a filled rectangle and a stroked line."""
 
@@ -58,7 +57,7 @@ def _report(keys: pd.Series, names: pd.Series, nations: pd.Series) -> pd.Series:
 
 def _reports(spark, sf_dir):
     suppliers = bridge.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey").repartition(max(8, spark.sparkContext.defaultParallelism), "s_suppkey")
-    return suppliers.select(F.col("s_suppkey").cast("long").alias("doc_id"), F.lit("made").alias("path"), _report("s_suppkey", "s_name", "s_nationkey").alias("content"))
+    return suppliers.select(F.col("s_suppkey").cast("long").alias("doc_id"), F.lit("made").alias("path"), F.pandas_udf(_report, "binary")("s_suppkey", "s_name", "s_nationkey").alias("content"))
 
 
 @_query

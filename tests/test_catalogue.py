@@ -1,5 +1,9 @@
 """Every query of the catalogue against its SQL."""
 
+import os
+import subprocess
+import sys
+
 import pytest
 
 from platen.plans import queries, sql
@@ -16,6 +20,11 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 200
 
 
+def test_queries_are_listed_without_a_session():
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"], cwd=root, check=True, timeout=120)
+
+
 def test_flow_covers_all_characters(spark):
     out = queries.queries()["l4_flow"](spark, "/root/testdata/sf0.001").filter("object_type = 'textlinehorizontal'")
     assert out.count() == 200
