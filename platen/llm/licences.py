@@ -1,9 +1,11 @@
 """Licence scans by sentence rules, in Spark expressions only (operator 7).
 
 A text is lower-cased, its sentence ends and line breaks become marks, and all else than a-z and 0-9 becomes one space.
-Each sentence so normalised is looked up among the known licence sentences, once with lines as sentences and once with
-lines joined (for wrapped licence texts). The identifiers found, in order, are matched against the rules: a rule holds
-where its identifiers follow each other.
+Each sentence so normalised is looked up among the known licence sentences, in three readings: with lines as sentences,
+with lines joined (for wrapped licence texts), and with lines joined up to a blank line (for whole notices). In the last
+one copyright lines, addresses and what ends in "conditions:" or "are met:" are sentences of their own, and the parts
+into which a listed sentence falls by its own punctuation (NOTICE_SENTENCES) are known as well. The identifiers found, in
+order, are matched against the rules: a rule holds where its identifiers follow each other in one of the readings.
 
 Defined cases: a null, empty or blank text has no sentences; a sentence found twice counts twice; rows of equal doc_id each
 come back; other columns are ignored.
@@ -68,6 +70,43 @@ RULES = [
     ("cc0-1.0", "permissive", ["cc0.short"]),
     ("all-rights-reserved", "restricted", ["reserved"]),
 ]
+# What else the reading by paragraphs knows, parts of sentences by their punctuation among them.
+_GPL_OPEN = "you can redistribute it and or modify it under the terms of the gnu general public license"
+_GPL_HEAD, _GPL_LATER = _GPL_OPEN + " as published by the free software foundation", "either version {} of the license or at your option any later version"
+_BSD_USE = "may be used to endorse or promote products derived from this software without specific prior written permission"
+_BSD_AS_IS = "this software is provided by {} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"
+NOTICE_SENTENCES = {
+    "apache.3": ["you may obtain a copy of the license at"],
+    "mit.1": [SENTENCES["mit.1"][0].removesuffix(" " + SENTENCES["mit.1"][1])],
+    "bsd.4": [_BSD_AS_IS.format(who) for who in ("the copyright holders and contributors", "the copyright holder and contributors", "the copyright holders", "the copyright holder", "the author and contributors", "the authors and contributors", "the author", "the authors", "the regents and contributors")],
+    "gpl.1a": ["this program is free software"],
+    "gpl.1b": [_GPL_HEAD],
+    "gpl2.1": [f"this program is free software {_GPL_HEAD} {end}" for end in (_GPL_LATER.format(2), "version 2 of the license", "version 2")] + [f"this program is free software {_GPL_OPEN} version 2 as published by the free software foundation"],
+    "gpl2.1b": [f"{_GPL_HEAD} {end}" for end in (_GPL_LATER.format(2), "version 2 of the license", "version 2")] + [f"{_GPL_OPEN} version 2 as published by the free software foundation"],
+    "gpl2.1c": [_GPL_LATER.format(2), "version 2 of the license"],
+    "gpl3.1": [f"this program is free software {_GPL_HEAD} {end}" for end in ("version 3 of the license", "version 3")],
+    "gpl3.1b": [f"{_GPL_HEAD} {end}" for end in (_GPL_LATER.format(3), "version 3 of the license", "version 3")],
+    "gpl3.1c": [_GPL_LATER.format(3), "version 3 of the license"],
+    "gpl.1d": [f"this program is free software {_GPL_HEAD}"],
+    "gpl.2a": ["this program is distributed in the hope that it will be useful but without any warranty"],
+    "gpl.2b": ["without even the implied warranty of merchantability or fitness for a particular purpose"],
+    "mpl.short": ["this source code form is subject to the terms of the mozilla public license v"],
+    "mpl.2": ["if a copy of the mpl was not distributed with this file you can obtain one at"],
+}
+#: A name in place of the copyright holder's, which may end in a full stop.
+BSD_NAMES = rf"^(neither the name of .*)?nor the names of (its|their) contributors {_BSD_USE}$"
+#: Rules for that reading besides RULES, as above.
+NOTICE_RULES = [("bsd-2-text", "permissive", ["bsd.1", "bsd.2", "bsd.4"])] + [
+    (f"gpl-{v}.0-notice", "copyleft", head + tail)
+    for v, whole in ((2, "gpl2.1"), (3, "gpl.1"), (3, "gpl3.1"))
+    for head in ([whole], ["gpl.1a", f"gpl{v}.1b"], ["gpl.1a", "gpl.1b", f"gpl{v}.1c"], ["gpl.1d", f"gpl{v}.1c"])
+    for tail in (["gpl.2", "gpl.3"], ["gpl.2a", "gpl.2b", "gpl.3"])
+]
+#: A copyright line or an address, and a blank line or the end of what introduces conditions: with them a sentence ends too.
+ALONE = r"(?md)^[^a-z0-9\n]*(?:copyright(?!ed|[^a-z0-9\n]+(?:holder|owner|notice|law|licen|statement|disclaimer|and |or ))|\(c\)|\u00a9)[^\n]*$|https?://[^\s\x01]+"
+PARAGRAPH_END = r"\n[^a-z0-9\n\x01]*\n|(?<=conditions|are met)[ \t]*:[ \t]*\n"
+#: Every known sentence has one of these inside a word, so texts without them need no reading by paragraphs.
+CLUES = "licen|software|reserved|redistribut|warranty|mpl|cc0|gpl"
 #: Where a sentence ends and where a line does; both are marked by control characters.
 SENTENCE_END, LINE_END = r"[.!?;]+(?:[ \t\n\r\f]+|\z)", r"[\n\r]+"
 
@@ -76,25 +115,53 @@ def known() -> dict[str, str]:
     return {s: name for name, texts in SENTENCES.items() for s in texts}
 
 
-def _identifiers(sentences: Column) -> Column:
-    table = known()
+def known_in_notices() -> dict[str, str]:
+    return known() | {s: name for name, texts in NOTICE_SENTENCES.items() for s in texts}
+
+
+def _identifiers(sentences: Column, table: dict[str, str]) -> Column:
     mapped = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
     return F.transform(F.filter(sentences, lambda s: s.isin(*table)), lambda s: F.element_at(mapped, s))
 
 
+def _plain(text: Column) -> Column:
+    """Normal form, with marks for the ends of sentences and lines."""
+    marked = F.regexp_replace(F.regexp_replace(text, SENTENCE_END, "\x01\n"), LINE_END, "\x02")
+    return F.regexp_replace(marked, "[^a-z0-9\x01\x02]+", " ")
+
+
+def _paragraphs(text: Column) -> Column:
+    """``text`` with marks around what stands alone and at the ends of paragraphs."""
+    alone = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), ALONE, "\x01$0\x01")
+    return F.regexp_replace(alone, PARAGRAPH_END, "\x01\n")
+
+
+def _joined(plain: str) -> Column:
+    return F.split(F.regexp_replace(plain, "(?<=[^\x01\x02]) ?\x02+ ?", " "), "[ \x02]*\x01[ \x01\x02]*")
+
+
+def _trimmed(sentences: Column) -> Column:
+    return F.transform(sentences, lambda s: F.trim(s))
+
+
+def _names(sentences: Column) -> Column:
+    """The BSD sentence in its listed form, whoever it names."""
+    return F.transform(sentences, lambda s: F.when(s.endswith(_BSD_USE) & s.rlike(BSD_NAMES), SENTENCES["bsd.3"][0]).otherwise(s))
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_sentences (known ones, in the reading that finds more), sentence_ids, licences and strictest kind of every row."""
+    """doc_id, n_sentences (known ones, in the reading that finds most), sentence_ids, licences and strictest kind of every row."""
     text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    marked = F.regexp_replace(F.regexp_replace(text, SENTENCE_END, "\x01\n"), LINE_END, "\x02")
-    plain = F.regexp_replace(marked, "[^a-z0-9\x01\x02]+", " ")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain.alias("plain"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _plain(text).alias("plain"), F.when(text.rlike(CLUES), _plain(_paragraphs(text))).otherwise("").alias("parted"))
     lines = F.split("plain", " ?[\x01\x02]+ ?")
-    joined = F.split(F.regexp_replace("plain", "(?<=[^\x01\x02]) ?\x02+ ?", " "), "[ \x02]*\x01[ \x01\x02]*")
-    rows = rows.select("doc_id", _identifiers(F.transform(lines, lambda s: F.trim(s))).alias("a"), _identifiers(F.transform(joined, lambda s: F.trim(s))).alias("b"))
-    rows = rows.select("doc_id", F.when(F.size("b") > F.size("a"), F.col("b")).otherwise(F.col("a")).alias("ids"), F.concat_ws("|", F.lit(""), F.array_join("a", "|"), F.lit("-"), F.array_join("b", "|"), F.lit("")).alias("sequence"))
-    rules = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(k).alias("kind"), F.lit("|" + "|".join(ids) + "|").alias("ids")) for n, k, ids in RULES])
+    a, b, c = _identifiers(_trimmed(lines), known()), _identifiers(_trimmed(_joined("plain")), known()), _identifiers(_names(_trimmed(_joined("parted"))), known_in_notices())
+    rows = rows.select("doc_id", a.alias("a"), b.alias("b"), c.alias("c"))
+    two = F.when(F.size("b") > F.size("a"), F.col("b")).otherwise(F.col("a"))
+    ids = F.when(F.size("c") > F.greatest(F.size("a"), F.size("b")), F.col("c")).otherwise(two)
+    rows = rows.select("doc_id", ids.alias("ids"), F.concat_ws("|", F.lit(""), F.array_join("a", "|"), F.lit("-"), F.array_join("b", "|"), F.lit("-"), F.array_join("c", "|"), F.lit("")).alias("sequence"))
+    rules = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(k).alias("kind"), F.lit("|" + "|".join(ids) + "|").alias("ids")) for n, k, ids in [*RULES, *NOTICE_RULES]])
     found = F.when(F.size("ids") > 0, F.filter(rules, lambda r: F.col("sequence").contains(r["ids"])))
     rows = rows.withColumn("found", found)
     kinds = F.transform("found", lambda r: r["kind"])
     kind = F.when(F.array_contains(kinds, "restricted"), "restricted").when(F.array_contains(kinds, "copyleft"), "copyleft").when(F.array_contains(kinds, "permissive"), "permissive").otherwise("none")
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", ",").alias("sentence_ids"), F.coalesce(F.array_join(F.transform("found", lambda r: r["name"]), ","), F.lit("")).alias("licences"), kind.alias("kind"))
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", ",").alias("sentence_ids"), F.coalesce(F.array_join(F.array_distinct(F.transform("found", lambda r: r["name"])), ","), F.lit("")).alias("licences"), kind.alias("kind"))

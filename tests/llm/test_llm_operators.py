@@ -326,6 +326,101 @@ def test_licences(spark):
     assert licences.scan(docs(spark, ["x"]).filter("false")).count() == 0
 
 
+APACHE_NOTICE = """Copyright 2020 The Authors
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+MIT_FILE = """MIT License
+
+Copyright (c) 2020 Some Body Inc.
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD_FILE = """BSD License
+
+Copyright (c) 2020, Some Body
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+%s Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+%s Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+%sTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE.
+"""
+BSD_NAME = """3. Neither the name of %s nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+"""
+GPL_NOTICE = """A program that does things.
+Copyright (C) 2020  Some Body
+
+This program is free software%s you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation%s either version %d of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+MPL_NOTICE = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+
+
+def test_canonical_licence_notices(spark):
+    cases = [(APACHE_NOTICE, "apache-2.0-notice", "permissive"), (MIT_FILE, "mit-text", "permissive"), (MPL_NOTICE, "mpl-2.0-notice,mpl-2.0", "copyleft")]
+    cases += [(BSD_FILE % (*marks, ""), "bsd-2-text", "permissive") for marks in (("1.", "2."), ("*", "*"))]
+    cases += [(BSD_FILE % ("1.", "2.", BSD_NAME % who), "bsd-3-text", "permissive") for who in ("the copyright holder", "Some Body Inc.")]
+    cases += [(GPL_NOTICE % (*marks, v), f"gpl-{v}.0-notice", "copyleft") for v in (2, 3) for marks in ((";", ";"), (":", ","), (";", ","), (":", ";"))]
+    cases += [(t.replace("\n", "\r\n"), *x) for t, *x in cases] + [("/*\n" + "".join(f" * {x}".rstrip() + "\n" for x in t.splitlines()) + " */\n", *x) for t, *x in cases]
+    cases += [(APACHE_NOTICE.replace("\n\n", "\n"), "apache-2.0-notice", "permissive"), (" ".join(APACHE_NOTICE.split("\n\n", 1)[1].split()), "apache-2.0-notice", "permissive"), (MIT_FILE.replace("\n\n", "\n"), "mit-text", "permissive")]
+    rows = licences.scan(docs(spark, [t for t, *_ in cases])).orderBy("doc_id").collect()
+    assert [(r.licences, r.kind) for r in rows] == [tuple(x) for _, *x in cases]
+    assert all(re.search(licences.CLUES, s) for s in licences.known_in_notices())
+    assert rows[0].sentence_ids == "apache.1,apache.2,apache.3,apache.4,apache.5" and rows[0].n_sentences == 5
+
+
 def base_counts(text):
     text = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
