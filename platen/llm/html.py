@@ -3,7 +3,7 @@
 1. Each page is parsed and its containers are scored; the best one's path is the page's vote. A path is the chain of
    tags from the body with their classes, in which digits are generalised, so that ``post-12`` and ``post-7`` vote alike.
 2. Votes are counted by host in Spark; the path with the most votes (then the greatest score, then the smallest) wins.
-3. Each page is extracted again from the container at its host's winning path, or from its own best container where it
+3. Each page is extracted again from all containers at its host's winning path, or from its own best container where it
    has no such path.
 
 Blocks come in page order, joined by an empty line. Dropped wherever they stand: navigation, page headers and footers,
@@ -42,8 +42,8 @@ HEADINGS = set("h1 h2 h3 h4 h5 h6 hgroup".split())
 DROPPED_ROLES = set("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 DROPPED_WORDS = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices newsletter subscribe subscription sidebar aside widget widgets menu nav navbar navigation navigations breadcrumb breadcrumbs footer masthead share sharing social related recommended recommendations comment comments commentlist reply replies respond disqus popup modal overlay paywall login signup hidden skip toolbar pagination pager".split())
 HEADER_WORDS = set("header".split())
-#: A container is chosen if it has this part of its parent's text.
-MOST = 0.85
+#: A container is chosen if it has this part of the page's text, an article or main if it has that part of its parent's.
+MOST, ARTICLE = 0.85, 0.5
 
 
 class Node:
@@ -165,8 +165,12 @@ def _heading(node: Node) -> bool:
 
 
 def best(root: Node) -> Node:
-    """The deepest container that still has most of the page's text; an article or main with text is preferred."""
+    """The deepest container that still has most of the page's text, or the outermost article or main with half of its parent's.
+
+    Below an article or main only another one is chosen, and only if it has all of its text.
+    """
     now = root.children[0]
+    whole = now.size - now.links
     while True:
         inner, stack = [], [c for c in now.children if not isinstance(c, str)]
         while stack:
@@ -180,7 +184,11 @@ def best(root: Node) -> Node:
         if not inner:
             return now
         top = max(reversed(inner), key=score)
-        if top.size - top.links < MOST * (now.size - now.links) and top.tag not in ("article", "main"):
+        own, article = top.size - top.links, top.tag in ("article", "main")
+        if now.tag in ("article", "main"):
+            if not article or top.size < now.size:
+                return now
+        elif own < (ARTICLE * (now.size - now.links) if article else MOST * whole):
             return now
         now = top
 
@@ -193,8 +201,8 @@ def path(node: Node) -> str:
     return ">".join(reversed(steps))
 
 
-def at_path(root: Node, wanted: str) -> Node | None:
-    """The container at a generalised path; of several the one with the most text, of equals the first."""
+def at_path(root: Node, wanted: str) -> list[Node]:
+    """The containers at a generalised path, in page order; none is inside another."""
     found, stack = [], [root.children[0]]
     steps = wanted.split(">")
     while stack:
@@ -204,7 +212,7 @@ def at_path(root: Node, wanted: str) -> Node | None:
         if x.tag == steps[-1].split(".")[0] and path(x) == wanted:
             found.append(x)
         stack += [c for c in reversed(x.children) if not isinstance(c, str)]
-    return max(found, key=lambda x: x.size - x.links) if found else None
+    return found
 
 
 def blocks(top: Node) -> list[str]:
@@ -256,10 +264,10 @@ def vote(html: str | None) -> tuple[str, int] | None:
 def extract(html: str | None, wanted: str | None = None) -> str:
     root = parse(html or "")
     _measure(root)
-    top = at_path(root, wanted) if wanted else None
-    if top is None or not top.size:
-        top = best(root)
-    return "\n\n".join(blocks(top))
+    tops = at_path(root, wanted) if wanted else []
+    if not any(top.size for top in tops):
+        tops = [best(root)]
+    return "\n\n".join(b for top in tops for b in blocks(top))
 
 
 def host(url: str) -> "F.Column":

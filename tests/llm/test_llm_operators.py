@@ -298,6 +298,23 @@ def test_main_text():
     assert html.vote(PAGE % 3)[0] == html.vote(PAGE % 45)[0] == "html>body>div>article.post-#"
 
 
+def test_main_text_is_whole(spark):
+    headed = "<body><article><h1>Title</h1><p>lead</p><div class=body><p>" + "long text " * 100 + "</p></div></article>"
+    assert html.extract(headed).startswith("Title\n\nlead\n\nlong") and html.vote(headed)[0] == "html>body>article"
+    embed = "<body><div class=content><p>" + "words " * 500 + "</p><article class=embed>" + "quoted " * 28 + "</article></div>"
+    assert html.extract(embed).count("words") == 500 and html.extract(embed).count("quoted") == 28
+    both = "<body><article><p>" + "a " * 100 + "</p></article><article><p>" + "b " * 110 + "</p></article><article><p>" + "c " * 90 + "</p></article>"
+    assert [html.extract(both).count(c) for c in "abc"] == [100, 110, 90]
+    nested = "<body><div>" + "<p>" + "part " * 30 + "</p><div>" + "<p>" + "part " * 28 + "</p><div>" + "<p>" + "part " * 360 + "</p></div></div></div>"
+    assert html.extract(nested).count("part") >= 0.85 * 418
+    assert html.vote("<body><main><article><p>" + "text " * 9 + "</p></article><nav>menu</nav></main>")[0] == "html>body>main>article"
+    one = "<body><div class=body><p>" + "only part " * 20 + "</p></div><div class=more><p>x</p></div>"
+    two = "<body><div class=body><p>" + "first " * 50 + "</p></div><div class=more><p>x</p></div><div class=body><p>" + "second " * 60 + "</p></div>"
+    df = spark.createDataFrame([(i, "http://a.b/x", one) for i in range(3)] + [(3, "http://a.b/y", two)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.main_texts(df).collect()}
+    assert got[3] == ("first " * 50).strip() + "\n\n" + ("second " * 60).strip() and got[0] == ("only part " * 20).strip()
+
+
 def test_host_path_wins(spark):
     usual = "<body><div class=main><p>" + "long text here " * 20 + "</p></div><div class=extra><p>%s</p></div>"
     odd = "<body><div class=main><p>short</p></div><div class=extra><p>" + "related stories " * 30 + "</p></div>"
