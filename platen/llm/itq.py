@@ -6,7 +6,10 @@ rotations as they need, index every vector: vectors that agree in a substring me
 original vectors are compared by cosine in double precision. Pairs that differ in fewer bits than there are tables
 always meet. Substrings lengthen with the number of vectors, so that buckets stay small, and the tables become as many
 as a pair at the threshold of 0.93 needs to meet with a chance of 1 - MISSED (16 for eight bits); closer pairs meet
-more surely.
+more surely. The bits are signs about the mean, and where vectors share a direction such a pair differs in more of them
+than its angle about the origin says. So each length has a plan of its own, from the agreement of pairs at the threshold
+that are made from its sample (``agreements``): if table_plan's tables are too few for it, the plan is the cheapest one
+that has enough, with shorter substrings if need be, down to one bucket for all.
 
 Exact copies are one class first, with a count. A bucket larger than BLOCK is dealt as pairs of blocks, so no task gets
 more than two blocks of it; which buckets those are is counted beforehand and joined to the index, by broadcast only
@@ -36,6 +39,10 @@ HOT = 100_000
 MISSED = 0.001
 #: Vectors that the rotation is learnt from, and rounds.
 SAMPLE, ROUNDS = 4096, 30
+#: Pairs of each kind that the agreement is measured on, bits for it, and comparisons that cost as much as a row of the index.
+PAIRS, MEASURED, ROW = 1000, 1024, 256
+#: Rows of the index that are made at once.
+ROWS = 1 << 16
 
 
 def table_plan(vectors: int) -> tuple[int, int]:
@@ -45,12 +52,66 @@ def table_plan(vectors: int) -> tuple[int, int]:
     return bits, int(np.ceil(np.log(MISSED) / np.log(1 - agree)))
 
 
+def agreements(x: np.ndarray, rotations: list[tuple[np.ndarray, np.ndarray]], cosine: float = 0.93) -> list[np.ndarray]:
+    """Parts of the bits in which pairs at ``cosine`` agree, one array for each kind of pair.
+
+    One vector is a row of the unit rows ``x``; the other is turned from it in any direction, or towards another row.
+    """
+    r = np.random.default_rng(0)
+    a = x[r.integers(0, len(x), PAIRS)]
+    out = []
+    for towards in (r.normal(size=a.shape), x[r.integers(0, len(x), PAIRS)], -x[r.integers(0, len(x), PAIRS)]):
+        w = towards - (towards * a).sum(axis=1, keepdims=True) * a
+        norm = np.sqrt((w * w).sum(axis=1))
+        some = norm > 1e-6  # a copy of the same row gives no direction
+        b = cosine * a[some] + np.sqrt(1 - cosine * cosine) * w[some] / norm[some, None]
+        same = [((a[some] - m) @ t >= 0) == ((b - m) @ t >= 0) for m, t in rotations]
+        if some.any():
+            out.append(np.concatenate(same, axis=1).mean(axis=1))
+    return out
+
+
+def _tables(agree: list[np.ndarray], bits: int) -> int:
+    """The fewest tables with which pairs of each kind are missed with a chance of MISSED at most, on average."""
+    missed = [1 - a**bits for a in agree]
+    enough = lambda n: all((m**n).mean() <= MISSED for m in missed)
+    high = 1
+    while not enough(high) and high < 1 << 20:
+        high *= 2
+    low = high // 2
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (low, mid) if enough(mid) else (mid, high)
+    return high
+
+
+def measured_plan(vectors: int, agree: list[np.ndarray], most: float = np.inf) -> tuple[int, int]:
+    """table_plan() if its tables are enough for the measured agreement, else the cheapest plan with enough of them, of
+    ``most`` bits in all."""
+    bits, tables = table_plan(vectors)
+    need = {k: _tables(agree, k) for k in range(bits + 1)}
+    need = {k: n for k, n in need.items() if k * n <= most or k == bits and n <= tables}
+    if need.get(bits, np.inf) <= tables:
+        return bits, tables
+    best = min(need, key=lambda k: (need[k] * (ROW + vectors / 2**k), k))
+    return best, need[best]
+
+
+def learn_model(x: np.ndarray, vectors: int) -> tuple[int, int, list[tuple[np.ndarray, np.ndarray]]]:
+    """Bits, tables and rotations for ``vectors`` vectors of one length, of which the unit rows ``x`` are a sample."""
+    d = x.shape[1]
+    rotations = [learn_rotation(x, seed) for seed in range(min(64, -(-MEASURED // d)))]
+    bits, tables = measured_plan(vectors, agreements(x, rotations))
+    wanted = max(1, -(-tables * bits // d))
+    return bits, tables, rotations[:wanted] + [learn_rotation(x, seed) for seed in range(len(rotations), wanted)]
+
+
 def learn_rotation(x: np.ndarray, seed: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """Mean and orthogonal matrix (columns are bits) fitted to the rows of ``x``."""
     d = x.shape[1]
     mean = x.mean(0) if len(x) else np.zeros(d)
     z = x - mean
-    axes = np.linalg.svd(z, full_matrices=True)[2].T if len(x) else np.eye(d)
+    axes = np.linalg.svd(z, full_matrices=len(x) < d)[2].T if len(x) else np.eye(d)
     turn = np.linalg.qr(np.random.default_rng(seed).normal(size=(d, d)))[0]
     z = z @ axes
     for _ in range(rounds if len(x) > 1 else 0):
@@ -82,23 +143,27 @@ def _by_length(batch: pa.RecordBatch):
         yield d, batch.filter(pa.array(sizes == d))
 
 
-def _index(models: dict, tables: int, bits: int, full: bool):
+def _index(models: dict, full: bool):
     """Rows (label, d, t, code, node, n, codes, vector), one for each vector and table; if not ``full`` the bucket's name only."""
 
     def run(batches):
         for batch in batches:
-            for d, part in _by_length(batch):
-                codes = substrings(_unit(_matrix(part.column("vector"), d)), models.get(d) or [(np.zeros(d), np.eye(d))], tables, bits)
-                n = part.num_rows
-                at = pa.array(np.repeat(np.arange(n), tables))
-                t = pa.array(np.tile(np.arange(tables, dtype=np.int32), n))
-                named = [part.column("label").take(at), pa.array(np.full(n * tables, d, np.int32)), t, pa.array(codes.reshape(-1))]
-                names = ["label", "d", "t", "code"]
-                if full:
-                    packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * tables), n, [None, pa.py_buffer(np.ascontiguousarray(codes))]).cast(pa.binary())
-                    named += [part.column("node").take(at), part.column("n").take(at), packed.take(at), part.column("vector").take(at)]
-                    names += ["node", "n", "codes", "vector"]
-                yield pa.RecordBatch.from_arrays(named, names=names)
+            for d, whole in _by_length(batch):
+                bits, tables, rotations = models.get(d) or (0, 1, [(np.zeros(d), np.eye(d, 1))])  # not in the sample: few enough for one bucket
+                step = max(1, ROWS // tables)
+                for low in range(0, whole.num_rows, step):
+                    part = whole.slice(low, step)
+                    codes = substrings(_unit(_matrix(part.column("vector"), d)), rotations, tables, bits)
+                    n = part.num_rows
+                    at = pa.array(np.repeat(np.arange(n), tables))
+                    t = pa.array(np.tile(np.arange(tables, dtype=np.int32), n))
+                    named = [part.column("label").take(at), pa.array(np.full(n * tables, d, np.int32)), t, pa.array(codes.reshape(-1))]
+                    names = ["label", "d", "t", "code"]
+                    if full:
+                        packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * tables), n, [None, pa.py_buffer(np.ascontiguousarray(codes))]).cast(pa.binary())
+                        named += [part.column("node").take(at), part.column("n").take(at), packed.take(at), part.column("vector").take(at)]
+                        names += ["node", "n", "codes", "vector"]
+                    yield pa.RecordBatch.from_arrays(named, names=names)
 
     return run
 
@@ -145,14 +210,14 @@ def _bucket(t: int, k1: int, k2: int, side: np.ndarray, node: np.ndarray, n: np.
     return node[at], links[at], node[[find(i) for i in at.tolist()]] if at.size else node[at]
 
 
-def _link(tables: int, least: float):
+def _link(least: float):
     def run(batches):
         kept: list[pa.RecordBatch] = []
 
         def finish(table: pa.Table):
             b = table.combine_chunks().to_batches()[0]
             d = b.column("d")[0].as_py()
-            codes = np.frombuffer(b"".join(b.column("codes").to_pylist()), np.int32).reshape(-1, tables)
+            codes = np.frombuffer(b"".join(b.column("codes").to_pylist()), np.int32).reshape(b.num_rows, -1)
             side = b.column("side").to_numpy()
             return _bucket(b.column("t")[0].as_py(), b.column("k1")[0].as_py(), b.column("k2")[0].as_py(), side, b.column("node").to_numpy(), b.column("n").to_numpy(), codes, _matrix(b.column("vector"), d), least)
 
@@ -195,20 +260,28 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, block: int = BLOCK, sa
     classes = rows.filter("key IS NOT NULL").groupBy("label", "key").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("n"), F.first("vector").alias("vector"))
     stored = dict(vectors.dtypes).get("embedding") == "array<float>"
     classes = written(classes.withColumn("vector", narrow) if stored else classes, "classes")
-    bits, tables = table_plan(classes.count())
+    lengths = {r.d: r.count_ for r in classes.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("count_")).collect()}
 
     drawn: dict[int, list] = {}
     for r in classes.select("vector", F.xxhash64("key").alias("h")).orderBy("h").limit(sample).collect():
         drawn.setdefault(len(r.vector), []).append(r.vector)
-    models = {d: [learn_rotation(_unit(np.array(v, np.float64)), seed) for seed in range(-(-tables * bits // d))] for d, v in drawn.items() if d <= 4096}
-
-    names = classes.mapInArrow(_index(models, tables, bits, False), "label string, d int, t int, code int")
+    models = {}
+    for d, v in drawn.items():
+        x = _unit(np.array(v, np.float64))
+        if d <= 4096:
+            models[d] = learn_model(x, lengths[d])
+        else:  # coordinates are the bits
+            eye = [(np.zeros(d), np.eye(d))]
+            bits, tables = measured_plan(lengths[d], agreements(x, eye), d)
+            models[d] = (bits, tables, eye)
+
+    names = classes.mapInArrow(_index(models, False), "label string, d int, t int, code int")
     hot = names.groupBy("label", "d", "t", "code").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).filter("blocks > 1")
     kind = "float" if stored else "double"
-    index = classes.mapInArrow(_index(models, tables, bits, True), f"label string, d int, t int, code int, node long, n long, codes binary, vector array<{kind}>")
+    index = classes.mapInArrow(_index(models, True), f"label string, d int, t int, code int, node long, n long, codes binary, vector array<{kind}>")
     index = _deal(index, written(hot, "hot"))
     keys = ["label", "d", "t", "code", "k1", "k2"]
-    met = index.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_link(tables, least), "node long, links long, root long")
+    met = index.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_link(least), "node long, links long, root long")
     met = written(met, "met")
     joined = graph.components(met.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = met.groupBy("node").agg(F.sum("links").alias("links"))

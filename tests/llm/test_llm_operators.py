@@ -194,6 +194,35 @@ def test_vectors_equal_brute_force(spark):
     assert itq.near_vectors(df.filter("false")).count() == 0
 
 
+def in_cone(n, norm, seed):
+    """Unit vectors whose mean has the given norm, and as many that are at cosine 0.931 to 0.96 to them."""
+    r = np.random.default_rng(seed)
+    x = np.concatenate([np.zeros((n, 1)), r.normal(size=(n, 63))], axis=1)
+    x = norm * np.eye(64)[0] + x / np.linalg.norm(x, axis=1, keepdims=True) * np.sqrt(1 - norm * norm)
+    w = r.normal(size=x.shape)
+    w -= (w * x).sum(axis=1, keepdims=True) * x
+    c = r.uniform(0.931, 0.96, (n, 1))
+    return x, c * x + np.sqrt(1 - c * c) * w / np.linalg.norm(w, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("norm", [0.85, 0.94])
+def test_vectors_that_share_a_direction_equal_brute_force(spark, norm):
+    x = np.float32(np.concatenate(in_cone(500, norm, 3))).astype(float)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.93
+    got = itq.near_vectors(df).orderBy("vec_id").collect()
+    assert [g.n_links for g in got] == (near.sum(axis=1) - 1).tolist()
+
+
+def test_plan_follows_the_agreement_of_pairs():
+    sample, (a, b) = in_cone(2048, 0.85, 1)[0], in_cone(2000, 0.85, 2)
+    bits, tables, rotations = itq.learn_model(sample, 10**6)
+    met = (itq.substrings(a, rotations, tables, bits) == itq.substrings(b, rotations, tables, bits)).any(axis=1)
+    assert bits > 4 and met.mean() > 0.998
+    assert itq.measured_plan(10**6, [np.ones(9)]) == itq.table_plan(10**6) and itq.measured_plan(1000, [np.full(9, 0.5)])[0] == 0
+
+
 def test_rotation_is_orthogonal_and_plan_grows():
     m, turn = itq.learn_rotation(np.random.default_rng(0).normal(size=(100, 8)), 1)
     assert np.allclose(turn @ turn.T, np.eye(8)) and itq.table_plan(10) == (8, 16) and itq.table_plan(10**8)[0] == 19
