@@ -10,6 +10,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bits of seq for the column: more than a line, which is an array, can have characters.
+COLUMN_BITS = 31
+
+
 def _geom(df: DataFrame, object_type: str) -> DataFrame:
     return df.withColumns({
         "page_number": F.lit(1), "object_type": F.lit(object_type), "doctop": F.col("top"), "width": F.col("x1") - F.col("x0"), "height": F.col("bottom") - F.col("top"),
@@ -23,7 +27,7 @@ def text_chars(docs: DataFrame) -> DataFrame:
     df = lines.select("doc_id", "ln", F.posexplode(F.split("line", "")).alias("ci", "text")).filter("text <> ''")
     shift = F.when((F.col("doc_id") * 31 + F.col("ln") * 7 + F.col("ci")) % 97 == 0, 4.0).otherwise(0.0)
     df = df.withColumn("x0", F.col("ci") * 6.0 + shift).withColumn("x1", F.col("x0") + 6.0).withColumn("top", F.col("ln") * 12.0).withColumn("bottom", F.col("top") + 10.0)
-    df = df.withColumn("seq", F.col("ln").cast("long") * 65536 + F.col("ci")).drop("ln", "ci")
+    df = df.withColumn("seq", F.shiftleft(F.col("ln").cast("long"), COLUMN_BITS) + F.col("ci")).drop("ln", "ci")
     return _geom(df, "char").withColumns({"fontname": F.lit("F"), "size": F.lit(10.0), "upright": F.lit(True)})
 
 

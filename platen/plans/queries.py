@@ -97,7 +97,7 @@ def t14_search(spark, sf_dir):
 @_query
 def a12_dedupe(spark, sf_dir):
     chars = _chars(spark, sf_dir)
-    again = chars.filter("seq % 7 = 0").withColumns({c: F.col(c) + 0.3 for c in ("x0", "x1", "top", "bottom", "doctop")}).withColumn("seq", F.col("seq") + 2**40)
+    again = chars.filter("seq % 7 = 0").withColumns({c: F.col(c) + 0.3 for c in ("x0", "x1", "top", "bottom", "doctop")}).withColumn("seq", F.col("seq") + 2**62)
     return _sums(boxes.dedupe(chars.unionByName(again)))
 
 
@@ -212,7 +212,7 @@ def a15_doctop(spark, sf_dir):
 
 @_query
 def a16_mcid_text(spark, sf_dir):
-    chars = _chars(spark, sf_dir).withColumn("mcid", F.floor(F.col("seq") / 65536).cast("int")).withColumn("tag", F.lit("P"))
+    chars = _chars(spark, sf_dir).withColumn("mcid", F.shiftright("seq", bridge.COLUMN_BITS).cast("int")).withColumn("tag", F.lit("P"))
     return boxes.mcid_text(chars).select("doc_id", "mcid", "text")
 
 

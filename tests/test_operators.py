@@ -176,3 +176,14 @@ def test_reading_order():
     page = [layout.Area(x, y, x + 90, y + 40, False, t) for x, y, t in ((0, 100, "a"), (0, 50, "b"), (200, 100, "c"), (200, 50, "d"))]
     assert [b.text for b in layout.order_boxes(page)] == ["a", "b", "c", "d"]
     assert [b.text for b in layout.order_boxes(page, layout.LayoutParams(boxes_flow=None))] == ["a", "c", "b", "d"]
+
+
+def test_lines_of_any_length_keep_their_characters(spark, tmp_path):
+    from platen.plans import bridge, queries
+
+    text = "a" * 65_540 + "\nbc\n\nd"
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.mcid: r.text for r in queries.queries()["a16_mcid_text"](spark, str(tmp_path)).collect()}
+    assert got == {0: "P: " + "a" * 65_540, 1: "P: bc", 2: "", 3: "P: d"}
+    chars = bridge.text_chars(bridge.table(spark, str(tmp_path), "documents")).orderBy("seq").select("text", "top").collect()
+    assert "".join(c.text for c in chars) == text.replace("\n", "") and [c.top for c in chars] == sorted(c.top for c in chars)
