@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch sent to Python; documents are whole texts, so the default of 10,000 is too many.
 BATCH_ROWS = 1000
+#: Parts that the rows of one join key are dealt into.
+SALTS = 64
 
 
 def tune(spark: SparkSession) -> None:
@@ -46,6 +48,44 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder, wherever it is stored."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Scratch:
+    """Written tables of one computation. ``done`` writes its result beside them and removes them, so that a finished
+    computation leaves nothing but its result in the shared folder."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.root, self.count = spark, name, new_dir(spark, f"{name}-scratch"), 0
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.count += 1
+        path = f"{self.root}/{self.count}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def remove(self) -> None:
+        remove(self.spark, self.root)
+
+    def done(self, df: DataFrame) -> DataFrame:
+        out = written(df, self.name)
+        self.remove()
+        return out
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """``left`` left-joined to ``right``, which has one row a key, however many rows of ``left`` share a key: rows meet by
+    key and a salt from the column ``by``. The distinct (key, salt) pairs, at most SALTS a key, get ``right``'s row first.
+    A null in a key matches nothing."""
+    salt = F.pmod(F.xxhash64(by), F.lit(SALTS)).alias("_salt")
+    left = left.select("*", salt)
+    pairs = left.select(*keys, "_salt").distinct().join(right, keys)
+    return left.join(pairs, [*keys, "_salt"], "left").drop("_salt")
+
+
 def small(df: DataFrame, most: int) -> DataFrame:
     """``df`` with a broadcast hint if it is proven to have at most ``most`` rows, else as it is."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

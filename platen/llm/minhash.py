@@ -15,8 +15,13 @@
    member of another component can reach them.
 5. Connected components of the confirmed links; each row gets its class's component.
 
+Exact copies, however many, meet their class by a salted join, and so do a centre's links; texts are fetched for members
+of cells only, and the ids of those are broadcast only up to BROADCAST of them.
+
 Defined cases: null, empty and blank texts have n_shingles 0 and link with nothing; a null doc_id comes back with its
-size, without component and kept; rows of equal doc_id are one node, and each comes back; other columns are ignored.
+size, without component and kept; rows of equal doc_id are one node, and each comes back (the centre of a cell then is
+the same one of its texts in every chunk); very long texts are hashed block by block and whole; equal similarities
+need no order, as only components count; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import graph
-from .common import release, tune, written
+from .common import Scratch, release, salted_join, small, tune
 from .hashing import bounded, mix, shingle_sets
 
 ROWS = 6
@@ -35,6 +40,8 @@ ROWS = 6
 MISSED = 3e-5
 #: Members of a cell that one task compares at once, and shingles of all of them together.
 CHUNK, CHUNK_SHINGLES = 1024, 1_000_000
+#: Ids that are broadcast; more of them are joined by shuffling.
+BROADCAST = 1_000_000
 _U = np.uint64
 
 
@@ -197,51 +204,56 @@ CONFIRMED = "a long, b long, shared long, size_a long, size_b long, cell long"
 def near_duplicates(docs: DataFrame, percent: int = 85, rows: int = ROWS, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links of Jaccard similarity >= percent / 100) and kept."""
     tune(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "duplicates")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = written(sketches(docs, rows, band_count(percent, rows)), "sketches")
+    made = scratch.written(sketches(docs, rows, band_count(percent, rows)), "sketches")
     filled = made.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = written(filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size"), F.first("bands").alias("bands")), "classes")
+    classes = scratch.written(filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size"), F.first("bands").alias("bands")), "classes")
 
     keyed = classes.select("rep", "size", F.posexplode("bands").alias("band", "key"))
     buckets = keyed.groupBy("band", "key").agg(F.min("rep").alias("cell"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    member = written(keyed.join(buckets, ["band", "key"]).filter("rep <> cell").select("cell", F.col("rep").alias("node"), "size").distinct(), "members")
+    member = scratch.written(keyed.join(buckets, ["band", "key"]).filter("rep <> cell").select("cell", F.col("rep").alias("node"), "size").distinct(), "members")
     cells = member.groupBy("cell").agg(F.greatest(F.ceil(F.count(F.lit(1)) / chunk), F.ceil(F.sum("size") / CHUNK_SHINGLES)).alias("chunks"))
-    cells = written(cells, "cells")
+    cells = scratch.written(cells, "cells")
     centres = cells.select("cell", "chunks", F.explode(F.sequence(F.lit(0), F.col("chunks").cast("int") - 1)).alias("k"))
     own = F.when(F.col("chunks") > 1, F.col("k")).otherwise(-1)
-    placed = member.join(cells, "cell").select("cell", "node", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("k"))
+    dealt = salted_join(member.drop("size"), cells, ["cell"], "node")
+    placed = dealt.select("cell", "node", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("k"))
     placed = placed.unionByName(centres.select("cell", F.col("cell").alias("node"), "chunks", "k"))
     first = placed.select("cell", own.alias("k1"), F.lit(-1).alias("k2"), "node", F.col("node").alias("root"), F.lit(None).cast("int").alias("side"))
     texts = docs.filter("doc_id IS NOT NULL")
 
     def confirm(dealt: DataFrame) -> DataFrame:
-        # a repeated doc_id: the text that stands for the class is the one with its digest
-        need = dealt.select(F.col("node").alias("doc_id")).distinct()
+        dealt = scratch.written(dealt, "dealt")
+        need = small(scratch.written(dealt.select(F.col("node").alias("doc_id")).distinct(), "need"), BROADCAST)
         full = dealt.join(texts.join(need, "doc_id", "left_semi").withColumnRenamed("doc_id", "node"), "node")
-        full = full.select("cell", "k1", "k2", "node", "root", "side", "text").repartition("cell", "k1", "k2").sortWithinPartitions("cell", "k1", "k2", "node")
-        return written(full.mapInArrow(_cells(percent), CONFIRMED), "confirmed")
+        full = full.select("cell", "k1", "k2", "node", "root", "side", "text").repartition("cell", "k1", "k2")
+        full = full.sortWithinPartitions("cell", "k1", "k2", "node", F.xxhash64("text"))
+        return scratch.written(full.mapInArrow(_cells(percent), CONFIRMED), "confirmed")
 
     found = confirm(first)
     links = found.filter("a IS NOT NULL").select("a", "b")
     far = found.filter("cell IS NOT NULL").select("cell", F.col("b").alias("node"), (1 - F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))).alias("far")).distinct()
     if far.limit(1).count():
-        links = links.union(_across(far, cells, links, confirm, percent))
+        links = links.union(_across(far, cells, links, confirm, percent, scratch))
 
     # rows of one doc_id are one node, whatever their sets
-    same = filled.join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    repeated = filled.groupBy("doc_id").agg(F.count_distinct("h1", "h2").alias("n")).filter("n > 1").select(F.col("doc_id").alias("a"))
-    joined = graph.components(links.union(same.join(repeated, "a").select("a", "b")))
+    digest = F.struct("h1", "h2")
+    repeated = filled.groupBy("doc_id").agg(F.min(digest).alias("x"), F.max(digest).alias("y")).filter("x <> y").select("doc_id")
+    same = filled.join(repeated, "doc_id", "left_semi").select("doc_id", "h1", "h2").distinct()
+    same = same.join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    joined = graph.components(links.union(same), scratch)
 
     of_class = classes.join(joined, classes.rep == joined.node, "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
-    out = made.join(of_class, ["h1", "h2"], "left")
-    lone = F.col("n_shingles") == 0
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.lit(None)).when(lone, F.col("doc_id")).otherwise(F.col("component")).cast("long").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    some = made.filter("n_shingles > 0").select("doc_id", "n_shingles", "h1", "h2")
+    some = salted_join(some, of_class, ["h1", "h2"], "doc_id").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
+    out = some.unionByName(made.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return scratch.done(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
-def _across(far: DataFrame, cells: DataFrame, links: DataFrame, confirm, percent: int) -> DataFrame:
+def _across(far: DataFrame, cells: DataFrame, links: DataFrame, confirm, percent: int, scratch: Scratch) -> DataFrame:
     """Step 4: links between chunks of one cell."""
-    joined = graph.components(links)
+    joined = graph.components(links, scratch)
     reach = 1 - percent / 100 + 1e-9
     members = far.join(joined, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component")
     centre = cells.filter("chunks > 1").join(joined, cells.cell == joined.node, "left").select("cell", "chunks", F.coalesce("component", "cell").alias("home"))
@@ -255,10 +267,10 @@ def _across(far: DataFrame, cells: DataFrame, links: DataFrame, confirm, percent
 
 
 def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """The rows of ``docs``, all columns, without those whose component has a smaller doc_id; of repeated doc_ids one row stays."""
+    """The rows of ``docs``, all columns, without those whose component has a smaller doc_id; of repeated doc_ids one row
+    stays, rows of a null doc_id all do."""
     found = near_duplicates(docs, percent)
-    found = written(found.select("doc_id", "kept"), "kept")
-    drop = found.filter("NOT kept").select("doc_id").distinct()
+    drop = small(found.filter("NOT kept").select("doc_id").distinct(), BROADCAST)
     left = docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
     repeated = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
     if repeated.limit(1).count():

@@ -1,31 +1,43 @@
 """Quality rules with risk-controlled thresholds, in Spark expressions only (operator 8).
 
 Base rules fail texts that are too short or repeat themselves. Beyond them each signal of SIGNALS has a grid of cutoffs;
-a text above the cutoff of its stratum (its language) is rejected. Cutoffs come from labelled documents: for each
-stratum, signal and cutoff the good documents that it would reject are counted, and the exact (Clopper-Pearson) upper
-bound of the false-rejection rate is taken at confidence 1 - DELTA / (number of all bounds taken), so that all hold at
-once with confidence 1 - DELTA. Of the cutoffs whose bound is at most ALPHA / (number of signals), the one is used that
-rejects most labelled bad documents, a good one counting against WEIGHT bad ones (of equals the highest); where none gains
-anything, the signal rejects nothing in that stratum. The false rejections of a stratum's cutoffs together thus stay
-under ALPHA. The driver gets counts by stratum and cutoff only.
-
-Defined cases: a null text has no words; an unlabelled stratum rejects by the base rules only, as do all where labels
-are empty; of repeated labels of a document the highest quality counts; null qualities are ignored; other columns
-are ignored.
+a text above the cutoff of its stratum (its language) is rejected. Cutoffs come from labelled documents that pass the
+base rules: for each stratum, signal and cutoff the good documents that it would reject are counted (k of n). A cutoff is
+safe if the exact binomial (Clopper-Pearson) upper bound of its false-rejection rate is at most ALPHA / (number of
+signals), which is so if P(X <= k) at that rate is at most the error allowed. Cutoffs of a signal are tested from the
+loosest on until one fails; as k only grows on the way, such a fixed sequence needs no correction within itself, and
+all sequences (strata x signals) share DELTA equally (Bonferroni), so that all bounds hold at once with confidence
+1 - DELTA. Of the safe cutoffs the one is used that rejects most labelled bad documents, a good one counting against
+WEIGHT bad ones (of equals the highest); where none gains anything, the signal rejects nothing in that stratum. The
+false rejections of a stratum's cutoffs together thus stay under ALPHA. With four strata a stratum needs at least 1151
+good labelled documents, none of them rejected, for its first cutoff; with fewer only the base rules reject there.
+
+Cutoffs are a table of one row a stratum, joined to the documents by broadcast only up to STRATA of them. Labelled
+documents are counted first, so the pass over all documents filters them where they are.
+
+Defined cases: a null text has no words; a null language is a stratum of its own, with the empty one; an unlabelled
+stratum rejects by the base rules only, as do all where labels are empty; of repeated labels of a document the highest
+quality counts; null qualities and null doc_ids of labels are ignored; each row of a repeated doc_id is judged by its
+own text; a signal of exactly the cutoff is kept; very long texts are counted whole; empty documents give no rows;
+other columns are kept by keep_good, whatever their names, and ignored otherwise.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch, small
 
 WORD, NOT_WORD = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
 ALPHA, DELTA, WEIGHT = 0.02, 0.05, 10
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
+#: Labelled ids and strata that are broadcast; more of them are joined by shuffling.
+LABELLED, STRATA = 1_000_000, 10_000
 #: Cutoffs tried for each signal (fixed values).
 SIGNALS = {
     "symbols_per_word": (0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0, 1.5, 2.0),
@@ -60,16 +72,19 @@ def _covered(windows: Column) -> Column:
     return F.aggregate(places, end, step, lambda s: s["n"])
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """doc_id, key of the text, stratum and the base counts of every row."""
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
+
+
+def counts(docs: DataFrame, carried: list[str]) -> DataFrame:
+    """The columns ``carried``, the stratum and the base counts of every row of (text, lang, *carried)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"), text.alias("text"))
+    base = docs.select(*carried, F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"), text.alias("text"))
     base = base.withColumn("words", F.filter(F.split("text", NOT_WORD), lambda w: w != ""))
     base = base.withColumn("windows", _windows(F.col("words")))
     base = base.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD)))
     some = F.size(F.array_distinct("windows")) < F.size("windows")
     return base.select(
-        "doc_id", "text_key", "stratum",
+        *carried, "stratum",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.regexp_replace("text", r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
@@ -93,66 +108,64 @@ def failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (F.lit(100) * F.col("n_repeat_words") > F.lit(MAX_REPEAT_PERCENT) * F.col("n_words"))
 
 
-def upper_bound(k: int, n: int, delta: float) -> float:
-    """The exact upper confidence bound of a rate of which k of n were seen: the p with P(X <= k) = delta."""
-    if n == 0 or k >= n:
-        return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) for i in range(k + 1)]
-
-    def below(p: float) -> float:
-        terms = [c + i * math.log(p) + (n - i) * math.log1p(-p) for i, c in enumerate(logs)]
-        top = max(terms)
-        return math.exp(top) * sum(math.exp(t - top) for t in terms)
-
-    low, high = k / n, 1.0
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if mid <= 0 or mid < 1 and below(mid) > delta else (low, mid)
-    return high
-
-
-def choose(seen: dict[str, tuple[int, dict[str, list[tuple[int, int]]]]], alpha: float = ALPHA, delta: float = DELTA) -> dict[str, dict[str, float]]:
-    """Cutoffs by stratum and signal, from (good documents, by signal how many good and bad ones each cutoff rejects)."""
-    tests = sum(len(SIGNALS[s]) for _, by in seen.values() for s in by)
-    out: dict[str, dict[str, float]] = {}
-    for stratum, (n, by) in seen.items():
-        for signal, rejected in by.items():
-            best = 0
-            for cutoff, (good, bad) in zip(SIGNALS[signal], rejected):
-                # most counts are far beyond what could pass: their bound need not be taken
-                gains = bad - WEIGHT * good >= max(best, 1) and good <= alpha / len(SIGNALS) * n
-                if gains and upper_bound(good, n, delta / tests) <= alpha / len(SIGNALS):
-                    best = bad - WEIGHT * good
-                    out.setdefault(stratum, {})[signal] = cutoff
-    return out
-
-
-def calibrate(made: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[str, dict[str, float]]:
-    """Cutoffs from the labelled documents that pass the base rules."""
-    known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
-    known = made.filter(~failed()).join(known, "doc_id")
+def safe(k: Column, n: Column, rate: float, error: float) -> Column:
+    """Whether P(X <= k) <= error for X binomial of n trials at ``rate``: the exact upper bound of the rate is at most it."""
+    odds = math.log(rate) - math.log1p(-rate)
+    first = F.struct((n * math.log1p(-rate)).alias("term"), (n * math.log1p(-rate)).alias("total"))
+
+    def step(s, i):  # logarithms of the i-th term and of the sum so far
+        term = s["term"] + F.log((n - i + 1) / i) + odds
+        return F.struct(term.alias("term"), (F.greatest(s["total"], term) + F.log1p(F.exp(-F.abs(s["total"] - term)))).alias("total"))
+
+    terms = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>"))
+    return F.when((n == 0) | (k > rate * n), False).otherwise(F.aggregate(terms, first, step, lambda s: s["total"]) <= math.log(error))
+
+
+def calibrate(known: DataFrame, scratch: Scratch, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """A row for each stratum: its name and the cutoff of each signal, null where there is none. ``known`` has the
+    stratum, the base counts and the quality of labelled documents."""
     good = F.col("quality") == 1
     aggregates = [F.count_if(good).alias("n")]
     for name, value in _signals().items():
-        for k, c in enumerate(SIGNALS[name]):
-            aggregates += [F.count_if(good & (value > c)).alias(f"{name}:{k}"), F.count_if(~good & (value > c)).alias(f"{name}:{k}:bad")]
-    rows = known.groupBy("stratum").agg(*aggregates).collect()
-    return choose({r["stratum"]: (r["n"], {s: [(r[f"{s}:{k}"], r[f"{s}:{k}:bad"]) for k in range(len(c))] for s, c in SIGNALS.items()}) for r in rows}, alpha, delta)
+        each = [F.struct(F.lit(c).alias("cutoff"), F.count_if(good & (value > c)).alias("good"), F.count_if(~good & (value > c)).alias("bad")) for c in SIGNALS[name]]
+        aggregates.append(F.array(*each).alias(name))
+    seen = scratch.written(known.filter(~failed()).groupBy("stratum").agg(*aggregates), "seen")
+    error = delta / (max(1, seen.count()) * len(SIGNALS))
+
+    def chosen(name: str) -> Column:
+        gains = F.transform(F.filter(name, lambda x: safe(x["good"], F.col("n"), alpha / len(SIGNALS), error)), lambda x: F.struct((x["bad"] - WEIGHT * x["good"]).alias("gain"), x["cutoff"].alias("cutoff")))
+        best = F.array_max(F.filter(gains, lambda x: x["gain"] > 0))
+        return best["cutoff"].alias(f"cutoff_{name}")
+
+    return scratch.written(seen.select("stratum", *[chosen(name) for name in SIGNALS]), "cutoffs")
+
+
+def _verdict() -> Column:
+    """Whether a row with the base counts and its stratum's cutoffs is kept; one expression, which is evaluated where both meet."""
+    above = [F.coalesce(value > F.col(f"cutoff_{name}"), F.lit(False)) for name, value in _signals().items()]
+    return F.when(failed(), False).otherwise(~reduce(or_, above))
+
+
+def _qualities(labels: DataFrame) -> DataFrame:
+    known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
+    return small(known, LABELLED)
 
 
 def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """The base counts of every row, base_failed and kept (with doc_id, text_key and stratum)."""
-    made = written(counts(docs), "counts")
-    verdict = F.lit(True)
-    for stratum, by in sorted(calibrate(made, labels, alpha, delta).items()):
-        for signal, cutoff in sorted(by.items()):
-            verdict = verdict & ~((F.col("stratum") == stratum) & (_signals()[signal] > cutoff))
-    made = made.withColumn("base_failed", failed())
-    return made.withColumn("kept", ~F.col("base_failed") & verdict)
-
-
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that are kept."""
-    bad = judge(docs, labels).filter("NOT kept").select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_text")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("bad_id")) & (F.xxhash64("text") == F.col("bad_text"))
-    return docs.join(bad, same, "left_anti")
+    """doc_id, stratum, the base counts, base_failed and kept of every row."""
+    scratch = Scratch(docs.sparkSession, "quality")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    made = scratch.written(counts(named, ["doc_id"]), "counts")
+    cutoffs = calibrate(made.join(_qualities(labels), "doc_id"), scratch, alpha, delta)
+    out = made.join(small(cutoffs, STRATA), "stratum", "left")
+    return scratch.done(out.select("doc_id", "stratum", *COUNTS, failed().alias("base_failed"), _verdict().alias("kept")))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """The rows of ``docs``, all columns, that are kept. One pass over all rows, after one over the labelled ones."""
+    scratch = Scratch(docs.sparkSession, "quality")
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").join(_qualities(labels), "doc_id")
+    cutoffs = scratch.done(calibrate(counts(marked, ["quality"]), scratch, alpha, delta))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    judged = counts(whole.select("row", F.col("row.text").alias("text"), F.col("row.lang").alias("lang")), ["row"])
+    return judged.join(small(cutoffs, STRATA), "stratum", "left").filter(_verdict()).select("row.*")

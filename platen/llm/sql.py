@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import quality
 from .licences import RULES, known
 
 _COMPONENTS = """reach AS (
@@ -39,6 +40,39 @@ links AS (SELECT a, b FROM shared WHERE 100 * common >= 85 * (m + n - common)),
 SELECT doc_id, len(s)::BIGINT AS n_shingles, coalesce(component, doc_id) AS component_id, doc_id = coalesce(component, doc_id) AS kept
 FROM sets LEFT JOIN component ON node = doc_id"""
 
+_CUTOFFS = ", ".join(f"('{name}', {c}::DOUBLE)" for name, cutoffs in quality.SIGNALS.items() for c in cutoffs)
+_RATE = quality.ALPHA / len(quality.SIGNALS)
+OP8 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+grams AS (SELECT r, unnest(list_transform(range(1, len(w) - 3), lambda i: {{'i': i, 'g': array_to_string(w[i:i+4], ' ')}})) AS x FROM w WHERE len(w) > 4),
+again AS (SELECT r, x.i AS i, count(*) OVER (PARTITION BY r, x.g) AS n FROM grams),
+covered AS (SELECT r, count(DISTINCT k) AS n FROM (SELECT r, unnest([i, i + 1, i + 2, i + 3, i + 4]) AS k FROM again WHERE n > 1) GROUP BY r),
+made AS (
+  SELECT d.r, doc_id, stratum, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, len(lines) AS n_lines,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words
+  FROM d JOIN w ON w.r = d.r LEFT JOIN covered ON covered.r = d.r),
+base AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM made),
+signals AS (
+  SELECT r, doc_id, stratum, base_failed, unnest([{{'signal': 'symbols_per_word', 'v': n_symbols / greatest(n_words, 1)}},
+    {{'signal': 'duplicate_lines', 'v': n_dup_lines / greatest(n_lines, 1)}}, {{'signal': 'repeated_words', 'v': n_repeat_words / greatest(n_words, 1)}},
+    {{'signal': 'mean_word_length', 'v': word_chars / greatest(n_words, 1)}}]) AS s FROM base),
+marked AS (SELECT doc_id, max(quality) = 1 AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+cutoffs(signal, cutoff) AS (VALUES {_CUTOFFS}),
+seen AS (
+  SELECT stratum, signal, cutoff, count(*) FILTER (good) AS n, count(*) FILTER (good AND s.v > cutoff) AS k, count(*) FILTER (NOT good AND s.v > cutoff) AS bad
+  FROM signals JOIN marked USING (doc_id) JOIN cutoffs ON cutoffs.signal = s.signal WHERE NOT base_failed GROUP BY ALL),
+bound AS (
+  SELECT *, n > 0 AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_RATE}) + (n - i) * ln(1 - {_RATE}))))
+    <= {quality.DELTA} / ((SELECT count(DISTINCT stratum) FROM seen) * {len(quality.SIGNALS)}) AND k <= {_RATE} * n AS safe FROM seen),
+chosen AS (
+  SELECT stratum, signal, arg_max(cutoff, (bad - {quality.WEIGHT} * k, cutoff)) AS cutoff FROM bound
+  WHERE safe AND bad > {quality.WEIGHT} * k GROUP BY stratum, signal),
+rejected AS (SELECT DISTINCT r FROM signals JOIN chosen ON chosen.stratum = signals.stratum AND chosen.signal = s.signal AND s.v > cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rejected.r IS NULL AS kept
+FROM base LEFT JOIN rejected ON rejected.r = base.r"""
+
 _KNOWN = ", ".join(f"('{s}', '{n}')" for s, n in known().items())
 _RULES = ", ".join(f"({i}, '{n}', '{k}', '|{'|'.join(ids)}|')" for i, (n, k, ids) in enumerate(RULES))
 OP7 = f"""
@@ -78,4 +112,4 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   (3 + sum(n + CASE WHEN NOT opens THEN 8 ELSE 6 + CASE role WHEN 'user' THEN 7 WHEN 'system' THEN 6 WHEN 'assistant' THEN 6 ELSE 7 + role_n + 8 END END))::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id"""
 
-ORACLES = {"op1_itq_near_vectors": OP1, "op3_minhash_near_duplicates": OP3, "op7_licences": OP7, "op10_chat": OP10}
+ORACLES = {"op1_itq_near_vectors": OP1, "op3_minhash_near_duplicates": OP3, "op7_licences": OP7, "op8_quality": OP8, "op10_chat": OP10}

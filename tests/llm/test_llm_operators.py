@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import html as reference
+import os
 import random
 import re
 import zlib
@@ -16,7 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from platen.llm import bytepairs, chat, graph, hashing, html, itq, language, licences, minhash, packing, quality, sequences, wordpieces
-from platen.llm.common import new_dir
+from platen.llm.common import Scratch, new_dir, salted_join
 from platen.llm.queries import BYTES, WORDS
 
 ODD = ["", None, "  a  b ", "ΑΣ ΣΑΣ İstanbul ŉ", "é ́x", "a\x1cb \x85 q\xa0r", "<|endoftext|> it's DON'T 123 4.5 日本語 😀😀 ﬁ", "x" * 3000, "Ünïcödé straße ÀÉ", "a. b! c?", "[/INST] </s> \\[INST]"]
@@ -121,22 +122,37 @@ def test_tail():
     assert packing.tail(3000) == [2048, 512, 256, 128, 32, 16, 8] and packing.tail(4000) == [4000] and packing.tail(4096) == [4096]
 
 
-def test_upper_bound_is_exact():
+def test_safe_cutoffs_have_exact_bounds(spark):
     from math import comb
 
-    for k, n in ((0, 50), (3, 100), (10, 40)):
-        p = quality.upper_bound(k, n, 0.05)
-        assert sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)) == pytest.approx(0.05, rel=1e-6)
-    assert quality.upper_bound(5, 5, 0.05) == 1 and quality.upper_bound(0, 0, 0.05) == 1
+    cases = [(0, 50), (3, 100), (10, 40), (0, 0), (2, 2), (0, 1150), (0, 1151), (1, 1500), (1, 1800), (5, 3000), (9, 4000)]
+    df = spark.createDataFrame(cases, "k long, n long")
+    for rate, error in ((0.005, 0.003125), (0.1, 0.05), (0.3, 0.01)):
+        got = df.select("k", "n", quality.safe(F.col("k"), F.col("n"), rate, error).alias("ok")).collect()
+        for r in got:
+            exact = sum(comb(r.n, i) * rate**i * (1 - rate) ** (r.n - i) for i in range(r.k + 1))
+            assert r.ok == (r.n > 0 and exact <= error and r.k <= rate * r.n)
+    huge = spark.createDataFrame([(4000, 10**6), (4990, 10**6)], "k long, n long").select(quality.safe(F.col("k"), F.col("n"), 0.005, 0.003).alias("ok"))
+    assert [r.ok for r in huge.collect()] == [True, False]
 
 
 def test_components(spark):
     random.seed(1)
     links = [(i, i + 1) for i in range(40)] + [(random.randrange(100, 160), random.randrange(100, 160)) for _ in range(50)] + [(200, k) for k in range(201, 260)] + [(7, 7)]
     expected = components(300, links)
-    got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    scratch = Scratch(spark, "test")
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long"), scratch).collect()}
     assert got == {x: expected[x] for pair in links for x in pair if pair[0] != pair[1]}
-    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert graph.components(spark.createDataFrame([], "a long, b long"), scratch).count() == 0
+    out = scratch.done(spark.range(3))
+    assert out.count() == 3 and not os.path.exists(scratch.root.removeprefix("file:").replace("///", "/"))
+
+
+def test_salted_join(spark):
+    left = spark.createDataFrame([(1, k) for k in range(500)] + [(2, 500), (None, 501), (3, 502)], "key long, v long")
+    right = spark.createDataFrame([(1, "one"), (2, "two"), (9, "none")], "key long, name string")
+    got = {r.v: r.name for r in salted_join(left, right, ["key"], "v").collect()}
+    assert got == {**{k: "one" for k in range(500)}, 500: "two", 501: None, 502: None}
 
 
 def near_texts(n, seed=5):
@@ -215,17 +231,59 @@ def test_vectors_that_share_a_direction_equal_brute_force(spark, norm):
     assert [g.n_links for g in got] == (near.sum(axis=1) - 1).tolist()
 
 
+def vectors_of(spark, groups):
+    """A table of the rows of several matrices under one label."""
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(v for x in groups for v in np.float32(x))]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+
+
+def assert_brute_force(spark, groups, **options):
+    degree, links, at = [], [], 0
+    for x in groups:  # vectors of different lengths don't link
+        u = np.float32(x).astype(float)
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        i, j = np.nonzero(np.triu(u @ u.T >= 0.93, 1))
+        degree += np.bincount(np.concatenate([i, j]), minlength=len(x)).tolist()
+        links += list(zip((i + at).tolist(), (j + at).tolist()))
+        at += len(x)
+    got = itq.near_vectors(vectors_of(spark, groups), **options).orderBy("vec_id").collect()
+    assert [g.n_links for g in got] == degree and [g.component_id for g in got] == components(at, links)
+
+
+def test_vectors_off_centre_in_clusters_rare_and_long_equal_brute_force(spark):
+    r = np.random.default_rng(8)
+    assert_brute_force(spark, [r.normal(size=(1500, 64)) + 3])  # all share a direction
+    centres = r.normal(size=(12, 48)) * 2
+    clusters = centres[r.integers(0, 12, 900)] + r.normal(size=(900, 48)) * 0.55
+    few = np.concatenate([x := r.normal(size=(6, 31)), x + r.normal(size=(6, 31)) * 0.1])
+    long = np.concatenate([x := r.normal(size=(20, 5000)), x + r.normal(size=(20, 5000)) * 0.3])
+    assert_brute_force(spark, [clusters, few, long, np.array([[1.0], [2.0], [-3.0]]), r.normal(size=(60, 2))], sample=256)
+
+
+def test_vectors_of_repeated_ids_stay_apart(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (1, [1.0, 0.0], 1), (2, [0.0, 2.0], 1), (0, [1.0, 0.1], 1), (None, [1.0, 0.0], 1)]
+    got = itq.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got if r.vec_id is not None) == [(0, 2, 0, True), (1, 1, 1, True), (1, 2, 0, False), (1, 2, 0, False), (2, 1, 1, False)]
+    assert [(r.n_links, r.component_id, r.kept) for r in got if r.vec_id is None] == [(0, None, True)]
+
+
 def test_plan_follows_the_agreement_of_pairs():
     sample, (a, b) = in_cone(2048, 0.85, 1)[0], in_cone(2000, 0.85, 2)
-    bits, tables, rotations = itq.learn_model(sample, 10**6)
-    met = (itq.substrings(a, rotations, tables, bits) == itq.substrings(b, rotations, tables, bits)).any(axis=1)
+    bits, tables, radius, rotations = itq.learn_model(sample, 10**6)
+    a, b = (itq.codes_of(x, rotations, tables, bits) for x in (a, b))
+    met = (itq.substrings(a, tables, bits) == itq.substrings(b, tables, bits)).any(axis=1) & ((a != b).sum(axis=1) <= radius)
     assert bits > 4 and met.mean() > 0.998
+    assert ((a != np.roll(a, 1, axis=0)).sum(axis=1) <= radius).mean() < 0.01  # codes tell others apart
+    assert (itq.unpack(itq.pack(a), tables, bits) == itq.substrings(a, tables, bits)).all()
     assert itq.measured_plan(10**6, [np.ones(9)]) == itq.table_plan(10**6) and itq.measured_plan(1000, [np.full(9, 0.5)])[0] == 0
 
 
 def test_rotation_is_orthogonal_and_plan_grows():
-    m, turn = itq.learn_rotation(np.random.default_rng(0).normal(size=(100, 8)), 1)
-    assert np.allclose(turn @ turn.T, np.eye(8)) and itq.table_plan(10) == (8, 16) and itq.table_plan(10**8)[0] == 19
+    for shape in ((100, 8), (5, 8), (1, 8), (70, 300)):
+        x = np.random.default_rng(0).normal(size=shape)
+        m, turn = itq.learn_rotation(x, itq.principal(x), 1)
+        assert np.allclose(turn.T @ turn, np.eye(min(shape[1], itq.WIDTH)))
+    assert itq.table_plan(10) == (8, 16) and itq.table_plan(10**8)[0] == 19
 
 
 def expected_pieces(full, texts):
@@ -488,13 +546,35 @@ def test_quality_counts(spark):
 
 def test_quality_cutoffs(spark):
     good = [" ".join(f"w{i}x{k}" for k in range(30)) for i in range(4000)]
-    bad = [" ".join(f"w{i}# *" for k in range(30)) for i in range(300)]
+    bad = [" ".join(f"w{i}x{k}# *" for k in range(30)) for i in range(300)]
     df = docs(spark, good + bad)
-    marks = [(i, int(i < 4000), 0) for i in range(0, 4300)] + [(0, None, None), (None, 1, 0)]
+    marks = [(i, int(i < 4000), 0) for i in range(0, 4300)] + [(0, None, None), (None, 1, 0), (4000, 0, 1)]
     rows = quality.judge(df, labels(spark, marks)).collect()
     assert all(r.kept for r in rows if r.doc_id < 4000) and not any(r.kept for r in rows if r.doc_id >= 4000)
-    out = quality.keep_good(df.union(df.limit(1).withColumn("doc_id", F.lit(None).cast("long"))), labels(spark, marks))
-    assert out.count() == 4001 and out.columns == df.columns
+    clashing = df.union(df.limit(1).withColumn("doc_id", F.lit(None).cast("long"))).withColumns({c: F.lit(1) for c in ("bad_id", "bad_text", "n_words", "quality", "row", "cutoff_repeated_words", "kept")})
+    out = quality.keep_good(clashing, labels(spark, marks))
+    assert out.count() == 4001 and out.columns == clashing.columns
+    few = quality.judge(df, labels(spark, [m for m in marks if m[0] and (m[0] < 860 or m[0] > 4000)])).collect()
+    assert all(r.kept for r in few)  # with one stratum, 874 good labels are needed
+    assert quality.keep_good(df.filter("false"), labels(spark)).count() == 0
+
+
+def test_quality_cutoffs_hold_on_new_rows(spark):
+    """False rejections stay under ALPHA in every stratum, on rows that were not used."""
+    r = random.Random(2)
+    word = lambda noisy: "".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 9))) + ("#" if r.random() < noisy else "")
+    texts, langs, marks = [], {}, []
+    for i in range(7000):
+        good = i % 8 > 0
+        texts.append(" ".join(word(r.choice([0, 0, 0.02, 0.05]) if good else r.choice([0.02, 0.6, 1])) for _ in range(40)))
+        langs[i] = "en" if i % 2 else "de"
+        marks.append((i, int(good), 0))
+    rows = quality.judge(docs(spark, texts, langs), labels(spark, marks[:5600])).collect()
+    new = [x for x in rows if x.doc_id >= 5600]
+    for lang in ("en", "de"):
+        own = [x.kept for x in new if langs[x.doc_id] == lang and x.doc_id % 8]
+        assert own.count(False) <= 2 * quality.ALPHA * len(own)
+    assert sum(not x.kept for x in new if x.doc_id % 8 == 0) > 50
 
 
 CHAT = "conv_id long, turn long, role string, text string, turns string, pieces string"
