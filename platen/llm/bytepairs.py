@@ -6,7 +6,9 @@ the identity. A text is split by the pattern; each distinct pre-token of a batch
 is itself in the vocabulary is that entry, as the rank files' own library does it. Decoding maps ids back to pieces,
 and their characters to bytes.
 
-Defined cases: a null text is an empty one; other columns are ignored; equal doc_ids keep their own rows.
+Defined cases: a null or empty text has no ids; very long texts are encoded whole; of two equally ranked merges the left
+one comes first, as in the rank files' own library; special strings are ordinary text; equal doc_ids keep their own rows;
+an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

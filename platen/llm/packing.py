@@ -10,8 +10,11 @@ cut costs less than the padding that it saves.
 Partitions are ranges of doc_id and are packed alone; the number of sequences of each gives the global sequence_id.
 A partition is worked through in runs of whole documents of about RUN ids; the last window of a run stays open.
 
-Defined cases: a null text is an empty one (its end id only); equal doc_ids keep their own rows, null doc_ids come
-first; an empty table gives no rows; other columns are ignored.
+Special strings of the tokenizer in a text are encoded as the library does by default, as their own ids.
+
+Defined cases: a null text is an empty one (its end id only); a text of more ids than a run is a run of its own; equal
+doc_ids keep their own rows, ordered by their texts' hashes, null doc_ids come first; of equally cheap cuts the earlier
+found stays; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -1,14 +1,19 @@
 """Token ids as Arrow files of equal-length sequences (operator 2).
 
 Documents are dealt by ranges of doc_id, so that the files in order hold the documents in ascending doc_id order. A
-task encodes its documents once and streams them into one Arrow IPC file whose record batches have two fixed-size-list
-columns: ``ids`` (unsigned integers, as narrow as the vocabulary allows) and ``mask`` (false only in the padding at a
-file's end). A file opened through a memory map gives any sequence without copying or decoding. A second, small Arrow
-file lists the documents. Each file is written under the attempt's own name and then renamed, so a task that runs again
-after a lost executor replaces whole files only.
-
-Defined cases: a null text is an empty one (only the end id); rows of equal doc_id stay apart, ordered by text; rows of
-null doc_id come first; an empty table gives no files; other columns are ignored.
+task encodes its documents once and streams them into one Arrow IPC file whose record batches, BATCH sequences each but
+for the last, have two fixed-size-list columns: ``ids`` (unsigned integers, as narrow as the vocabulary allows) and
+``mask`` (a byte for each id, 0 only in the padding at a file's end; all sequences but the last share one mask, so the
+column is dictionary-encoded). A file opened through a memory map gives the ids and the mask of any sequence in constant
+time, without copying or decoding. A second, small Arrow file lists the documents. Each file is written under the
+attempt's own name and then renamed, so a task that runs again after a lost executor replaces whole files only.
+
+Special strings of the tokenizer in a text are encoded as the library does by default, as their own ids; write_sequences
+can take them as ordinary text instead.
+
+Defined cases: a null text is an empty one (only the end id); a very long text runs over as many sequences and batches as
+it needs; rows of equal doc_id stay apart, ordered by their texts' hashes (equal rows are alike); rows of null doc_id
+come first; an empty table gives no files; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -51,10 +56,11 @@ class _Writer:
         self.final = [f"{root}/shard-{shard:06d}.arrow", f"{root}/shard-{shard:06d}.docs.arrow"]
         self.names = [f"{x}.{attempt}.tmp" for x in self.final]
         self.length, self.kind = length, pa.from_numpy_dtype(dtype)
-        self.schema = pa.schema([("ids", pa.list_(self.kind, length)), ("mask", pa.list_(pa.bool_(), length))])
+        self.schema = pa.schema([("ids", pa.list_(self.kind, length)), ("mask", pa.dictionary(pa.int8(), pa.list_(pa.uint8(), length)))])
         self.docs = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
         self.sinks = [self.fs.open_output_stream(x) for x in self.names]
-        self.out = [pa.ipc.new_file(s, x) for s, x in zip(self.sinks, (self.schema, self.docs))]
+        deltas = pa.ipc.IpcWriteOptions(emit_dictionary_deltas=True)  # the padded mask is known at the end only
+        self.out = [pa.ipc.new_file(s, x, options=deltas) for s, x in zip(self.sinks, (self.schema, self.docs))]
         self.wait, self.waiting, self.tokens, self.count, self.dtype = [], 0, 0, 0, dtype
 
     def add(self, doc_ids: pa.Array, ids: np.ndarray, begin: np.ndarray) -> None:
@@ -63,14 +69,20 @@ class _Writer:
         self.wait.append(ids)
         self.waiting += len(ids)
         if self.waiting >= self.length * BATCH:
-            self._flush(self.waiting // self.length * self.length)
+            self._flush(self.waiting // (self.length * BATCH) * self.length * BATCH)
 
     def _flush(self, n: int, pad: int = 0) -> None:
-        have = np.concatenate([*self.wait, np.zeros(pad, self.dtype)]) if self.wait else np.empty(0, self.dtype)
+        """Write the first ``n`` ids waiting, the last ones followed by ``pad`` zeros."""
+        have = np.concatenate([*self.wait, np.zeros(pad, self.dtype)])
+        masks = np.ones(2 * self.length if pad else self.length, np.uint8)
+        masks[len(masks) - pad :] = 0
+        masks = pa.FixedSizeListArray.from_arrays(pa.array(masks), self.length)
         for at in range(0, n + pad, self.length * BATCH):
             part = have[at : min(at + self.length * BATCH, n + pad)]
-            mask = np.arange(at, at + len(part)) < n
-            self.out[0].write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (part, mask)], schema=self.schema))
+            which = np.zeros(len(part) // self.length, np.int8)
+            which[-1] = pad > 0 and at + len(part) == n + pad
+            ids = pa.FixedSizeListArray.from_arrays(pa.array(part), self.length)
+            self.out[0].write_batch(pa.record_batch([ids, pa.DictionaryArray.from_arrays(pa.array(which), masks)], schema=self.schema))
         self.wait, self.waiting = [have[n + pad :]], self.waiting - n
 
     def close(self) -> None:
@@ -94,17 +106,18 @@ class Manifest:
         return [0, *np.cumsum([n for _, _, n in self.shards]).tolist()]
 
 
-def write_sequences(docs: DataFrame, folder: str, tokenizer: str, end: int = END, length: int = LENGTH) -> Manifest:
+def write_sequences(docs: DataFrame, folder: str, tokenizer: str, end: int = END, length: int = LENGTH, special: bool = True) -> Manifest:
     """Encode every text with the tokenizers file at ``tokenizer``, append ``end`` to each document and write the files.
 
-    ``folder`` must be one that driver and executors share. The driver gets three numbers for each file.
+    ``folder`` must be one that driver and executors share. The driver gets three numbers for each file. With ``special``
+    false, special strings in texts are ordinary text.
     """
     from . import wordpieces
 
     tune(docs.sparkSession)
 
     def write(batches):
-        task, words, out = TaskContext.get(), wordpieces.load(tokenizer), None
+        task, words, out = TaskContext.get(), wordpieces.load(tokenizer, special), None
         for batch in batches:
             for part in bounded(batch, "text"):
                 out = out or _Writer(folder, task.partitionId(), task.taskAttemptId(), words.dtype, length)
@@ -134,16 +147,17 @@ class SequenceFile:
         return self.reader.get_batch(k).column(0).flatten().to_numpy()
 
     def __len__(self) -> int:
-        return sum(self.reader.get_batch(k).num_rows for k in range(self.batches))
+        return self.full * (self.batches - 1) + self.reader.get_batch(self.batches - 1).num_rows if self.batches else 0
 
     def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids and the mask of sequence i."""
-        k = 0
-        while i >= (rows := self.reader.get_batch(k).num_rows):
-            i, k = i - rows, k + 1
+        """The ids and the mask of sequence i: views of the file."""
+        if not 0 <= i < len(self):
+            raise IndexError(i)
+        k, row = divmod(i, self.full)
         batch = self.reader.get_batch(k)
-        part = slice(i * self.length, (i + 1) * self.length)
-        return batch.column(0).flatten().to_numpy()[part], batch.column(1).flatten().to_numpy(zero_copy_only=False)[part]
+        masks, which = batch.column(1).dictionary.flatten().to_numpy(), batch.column(1).indices[row].as_py()
+        part = slice(row * self.length, (row + 1) * self.length)
+        return batch.column(0).flatten().to_numpy()[part], masks[which * self.length : (which + 1) * self.length].view(bool)
 
 
 def read_documents(spark: SparkSession, manifest: Manifest) -> DataFrame:

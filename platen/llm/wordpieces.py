@@ -1,12 +1,16 @@
-"""Batch encoding with a tokenizers file whose tokens never cross white space.
+"""Batch encoding with a tokenizers file, words made distinct first where its tokens never cross white space.
 
-The words of a batch are made distinct first; each distinct word is encoded once and the ids are put together by
-position. Words of plain Latin letters and marks go to the file's BPE model in one call; all others go through the
-whole tokenizer, so every id is one that the tokenizers library gave.
+The words of a batch are made distinct; each distinct word is encoded once and the ids are put together by position.
+Words of plain Latin letters and marks go to the file's BPE model in one call; all others, and words that hold a special
+string, go through the whole tokenizer, so every id is one that the tokenizers library gave. That this is the same is
+read from the file: a normaliser of canonical composition, white space to a space and lower-casing, a split by a pattern
+that leaves white space out, bytes as characters, and a BPE model with word ends. Texts of any other file are encoded
+whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -18,26 +22,45 @@ import pyarrow.compute as pc
 REMEMBERED = 600_000
 #: Characters that normalisation only lower-cases, one by one.
 _PLAIN = re.compile("[\x21-\x7e¡-įı-ž]+")
-_loaded: dict[str, "WordPieces"] = {}
+_loaded: dict[tuple[str, bool], "WordPieces"] = {}
 
 
-def load(path: str) -> "WordPieces":
-    if path not in _loaded:
-        _loaded[path] = WordPieces(path)
-    return _loaded[path]
+def load(path: str, special: bool = True) -> "WordPieces":
+    """The tokenizer; ``special``: whether special strings in texts are their own ids, as by the library's default."""
+    if (path, special) not in _loaded:
+        _loaded[path, special] = WordPieces(path, special)
+    return _loaded[path, special]
+
+
+def word_pattern(described: dict) -> str | None:
+    """The pattern that splits words, if the tokenizer so described works on each word alone in the way stated above."""
+    norm, pre, model = (described.get(k) or {} for k in ("normalizer", "pre_tokenizer", "model"))
+    steps = norm.get("normalizers", [])
+    known = [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and steps[1]["pattern"] == {"Regex": r"\s+"} and steps[1]["content"] == " "
+    parts = pre.get("pretokenizers", [])
+    known = known and [x["type"] for x in parts] == ["Split", "ByteLevel"] and parts[0]["behavior"] == "Removed" and parts[0]["invert"]
+    known = known and not parts[1]["add_prefix_space"] and not parts[1]["use_regex"] and model.get("end_of_word_suffix") == "</w>"
+    known = known and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    known = known and not any(x["lstrip"] or x["rstrip"] or x["single_word"] or re.search(r"\s", x["content"]) for x in described["added_tokens"])
+    pattern = parts[0]["pattern"].get("Regex") if known else None
+    return pattern if pattern and "^\\s" in pattern else None
 
 
 class WordPieces:
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
+        with open(path, encoding="utf-8") as f:
+            described = json.load(f)
         self.full = Tokenizer.from_file(path)
-        self.full.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.full.encode_special_tokens = not special
+        self.special = [x["content"].lower() for x in described["added_tokens"]]
         self.model = Tokenizer(self.full.model)
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        pattern = word_pattern(described)
+        self.split = regex.compile(pattern) if pattern else None
         vocabulary = self.full.get_vocab()
         size = max(vocabulary.values()) + 1
         self.dtype = np.uint16 if size <= 1 << 16 else np.uint32
@@ -77,7 +100,7 @@ class WordPieces:
         self.slots.update(zip(words, range(n, n + m)))
 
     def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if _PLAIN.fullmatch(w)]
+        plain = [w for w in words if self.split and _PLAIN.fullmatch(w) and not any(x in w.lower() for x in self.special)]
         if plain:
             low = " ".join(plain).lower().split(" ")
             counts = np.ones(len(low), np.int64)
@@ -89,7 +112,7 @@ class WordPieces:
             ids = np.array(self.model.encode_batch_fast([flat], add_special_tokens=False)[0].ids, dtype=self.dtype)
             stops = np.flatnonzero(self.ends[ids]) + 1
             upto = np.cumsum(counts)
-            if len(stops) == upto[-1]:
+            if len(stops) == upto[-1]:  # each part ended in a word end
                 self._add(plain, ids, np.diff(stops[upto - 1], prepend=0))
                 words = [w for w in words if w not in self.slots]
         if words:
@@ -100,11 +123,11 @@ class WordPieces:
         """Ids of all texts in one array, and where each text begins in it (one more than texts); a null is empty.
         ``end`` is appended to each text."""
         texts = texts.fill_null("") if texts.null_count else texts
-        lists = pc.ascii_split_whitespace(texts)
+        lists = pc.ascii_split_whitespace(texts) if self.split else pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32), texts)
         words = lists.flatten().dictionary_encode()
         bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]) if len(lists) else np.zeros(1, np.int64)
         names = words.dictionary.to_numpy(zero_copy_only=False).tolist()  # much faster than to_pylist()
-        if len(self.slots) > REMEMBERED:
+        if len(self.slots) > REMEMBERED or not self.split:
             self.forget()
         get = self.slots.get
         slot = np.array([get(w, -1) for w in names], dtype=np.int64)

@@ -20,7 +20,7 @@ from platen.llm import bytepairs, chat, graph, hashing, html, itq, language, lic
 from platen.llm.common import Scratch, new_dir, salted_join
 from platen.llm.queries import BYTES, WORDS
 
-ODD = ["", None, "  a  b ", "ΑΣ ΣΑΣ İstanbul ŉ", "é ́x", "a\x1cb \x85 q\xa0r", "<|endoftext|> it's DON'T 123 4.5 日本語 😀😀 ﬁ", "x" * 3000, "Ünïcödé straße ÀÉ", "a. b! c?", "[/INST] </s> \\[INST]"]
+ODD = ["", None, "  a  b ", "ΑΣ ΣΑΣ İstanbul ŉ", "é ́x", "a\x1cb \x85 q\xa0r", "<|endoftext|> it's a<|endoftext|>b <|ENDOFTEXT|> <|startoftext|>, DON'T 123 4.5 日本語 😀😀 ﬁ", "x" * 3000, "Ünïcödé straße ÀÉ", "a. b! c?", "[/INST] </s> \\[INST]"]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, rep string, cell string, bands string, words string, stratum string, h1 string"
 
 
@@ -61,8 +61,7 @@ def components(n, links):
 def full():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
+    t = Tokenizer.from_file(WORDS)  # as it comes
     return lambda x: t.encode(x or "", add_special_tokens=False).ids
 
 
@@ -82,6 +81,29 @@ def test_word_pieces_equal_the_whole_tokenizer(full):
         assert ids[begin[i] : begin[i + 1]].tolist() == full(x) + [2]
 
 
+def test_word_pieces_of_special_strings_and_other_files(full, tmp_path):
+    import json
+
+    plain = wordpieces.load(WORDS, False)
+    plain.full.encode_special_tokens = True
+    texts = ["a <|endoftext|> b", "x<|startoftext|>y"]
+    ids, begin = plain.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(begin, begin[1:])] == [plain.full.encode(t, add_special_tokens=False).ids for t in texts] != [full(t) for t in texts]
+    with open(WORDS, encoding="utf-8") as f:
+        described = json.load(f)
+    assert wordpieces.word_pattern(described)
+    described["normalizer"] = {"type": "NFC"}  # upper case is kept: another tokenizer
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(described), encoding="utf-8")
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(str(other))
+    ids, begin = wordpieces.load(str(other)).encode(pa.array(ODD), 2)
+    assert wordpieces.load(str(other)).split is None
+    for i, x in enumerate(ODD):
+        assert ids[begin[i] : begin[i + 1]].tolist() == t.encode(x or "", add_special_tokens=False).ids + [2]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(max_size=60))
 def test_tokenizers_on_any_text(full, tiktoken_encode, text):
@@ -296,16 +318,21 @@ def expected_pieces(full, texts):
 
 
 def test_sequences_round_trip(spark, full):
-    texts = ODD * 30
+    texts = ODD * 30 + ["word and more " * 6000]
     folder = new_dir(spark, "test")
     made = sequences.write_sequences(docs(spark, texts), folder, WORDS, length=64)
     assert [tuple(r) for r in sequences.read_documents(spark, made).orderBy("doc_id").collect()] == expected_pieces(full, texts)
-    f = sequences.SequenceFile(f"{folder}/shard-{made.shards[0][0]:06d}.arrow")
     ids = [i for t in texts for i in full(t) + [2]]
-    if len(made.shards) == 1:
-        for k in (0, len(f) // 2, len(f) - 1):
+    for (shard, _, n), base in zip(made.shards, made.starts()):
+        f = sequences.SequenceFile(f"{folder}/shard-{shard:06d}.arrow")
+        own = ids[base : base + n]
+        assert len(f) == -(-n // 64) and all(f.reader.get_batch(k).num_rows == sequences.BATCH for k in range(f.batches - 1))
+        for k in range(len(f)):
             got, mask = f[k]
-            assert got[mask].tolist() == ids[k * 64 : k * 64 + 64] and not got.flags.owndata
+            assert got[mask].tolist() == own[k * 64 : k * 64 + 64] and len(got) == len(mask) == 64
+            assert not got.flags.owndata and not mask.flags.owndata and mask.dtype == bool
+        with pytest.raises(IndexError):
+            f[len(f)]
     assert sequences.read_documents(spark, sequences.write_sequences(docs(spark, ["x"]).filter("false"), new_dir(spark, "none"), WORDS)).count() == 0
 
 
@@ -335,8 +362,12 @@ def test_packing_covers_every_id_once(spark, full):
 
 
 def test_byte_pairs_of_odd_rows(spark, tiktoken_encode):
-    rows = bytepairs.round_trip(docs(spark, ODD), BYTES, P.PATTERN).orderBy("doc_id").collect()
-    for r, t in zip(rows, ODD):
+    assert bytepairs.round_trip(docs(spark, ["x"]).filter("false"), BYTES, P.PATTERN).count() == 0
+    texts = [*ODD, "aaaa" * 999, "long text, longer: " * 20_000]
+    df = docs(spark, texts).withColumns({"ids_sha256": F.lit("x"), "n_tokens": F.lit("y")})
+    rows = bytepairs.round_trip(df.union(df.filter("doc_id = 3")), BYTES, P.PATTERN).orderBy("doc_id").collect()
+    assert len(rows) == len(texts) + 1 and rows[3] == rows[4]
+    for r, t in zip([*rows[:4], *rows[5:]], texts):
         ids = tiktoken_encode(t or "")
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
 

@@ -31,15 +31,37 @@ def test_sequences_and_packing(spark, texts):
         ids = np.array(t.encode(texts[i], add_special_tokens=False).ids + [2], "<u4")
         expected[i] = (start, len(ids), zlib.crc32(ids), ids)
         start += len(ids)
+    whole = {i: x[3] for i, x in expected.items()}
     for r in queries.op2_arrow_sequences(spark, DATA).collect():
         assert (r.start, r.n_tokens, r.ids_crc32) == expected.pop(r.doc_id)[:3]
     assert not expected
     pieces = queries.op9_packing(spark, DATA).collect()
-    assert sum(p.length for p in pieces) == start
+    used, covered = {}, {}
+    for p in sorted(pieces, key=lambda p: (p.sequence_id, p.offset)):
+        ids = whole[p.doc_id]
+        assert p.doc_tokens == len(ids) and p.ids_crc32 == zlib.crc32(ids[p.start : p.start + p.length]) and p.length > 0
+        assert p.offset == used.get(p.sequence_id, 0)
+        used[p.sequence_id] = p.offset + p.length
+        covered.setdefault(p.doc_id, []).append((p.start, p.length))
+    assert sorted(used) == list(range(len(used))) and max(used.values()) <= 4096
+    for i, ids in whole.items():
+        spans = sorted(covered[i])
+        assert [s for s, _ in spans] == [0, *np.cumsum([n for _, n in spans])[:-1].tolist()] and sum(n for _, n in spans) == len(ids)
+    assert sum(0 if n & (n - 1) == 0 else 4096 - n for n in used.values()) < 0.02 * start
 
 
 def test_byte_pairs(spark, texts):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(queries.BYTES, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     for r in queries.op6_byte_bpe(spark, DATA).collect():
+        ids = np.array(own.encode_ordinary(texts[r.doc_id]), "<u4")
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 
 
