@@ -8,11 +8,17 @@
 
 Blocks come in page order, joined by an empty line. Dropped wherever they stand: navigation, page headers and footers,
 asides, notices, adverts, forms, scripts, styles, comments of readers and markup. A header inside the article keeps its
-headings.
+headings. An element is dropped for its tag or role alone, but for words in its class or id only if it holds less than
+half of its page's text, so that a wrapper named ``has-sidebar`` or ``related-work`` around the article stays; comments, which
+may be longer than their article, go unless they hold a main, an h1 or all text.
+
+Nodes know whether a heading is around them, the open elements of each tag are kept by tag, and a path is followed level by
+level, so the work is linear in the page's length however deep its elements are.
 
 Defined cases: null or empty html gives an empty text; a null or odd url has no host, and such pages use their own
-container; unclosed and stray tags are closed or ignored as browsers do; rows of equal page_id each come back; other
-columns are ignored.
+container; unclosed and stray tags are closed or ignored as browsers do; very long pages are read whole; of equal votes
+the path with more text, then the smaller one wins, of equal containers the first; rows of equal page_id each come back;
+an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +38,8 @@ _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 _CUT = re.compile(r"<(?:[a-zA-Z/!?][^>]*)?\Z")
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[a-z]+")
+_DIGITS = re.compile(r"\d+")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|$|/)")
 # Elements by their role in a page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript template iframe xmp noembed noframes".split())
@@ -40,17 +48,36 @@ CONTAINER = set("body article main section div td center".split())
 DROPPED = set("head script style noscript template iframe object embed svg math canvas audio video select option button input textarea form fieldset nav menu aside footer dialog title".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6 hgroup".split())
 DROPPED_ROLES = set("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
-DROPPED_WORDS = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices newsletter subscribe subscription sidebar aside widget widgets menu nav navbar navigation navigations breadcrumb breadcrumbs footer masthead share sharing social related recommended recommendations comment comments commentlist reply replies respond disqus popup modal overlay paywall login signup hidden skip toolbar pagination pager".split())
+DROPPED_WORDS = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices newsletter subscribe subscription sidebar aside widget widgets menu nav navbar navigation navigations breadcrumb breadcrumbs footer masthead share sharing social related recommended recommendations popup modal overlay paywall login signup hidden skip toolbar pagination pager".split())
+COMMENT_WORDS = set("comment comments commentlist reply replies respond disqus".split())
 HEADER_WORDS = set("header".split())
+# Elements that words in classes never drop, and how open elements end.
+WHOLE = ("body", "html", "article", "main")
+SCOPE = "div article section main td th table blockquote ul ol li form aside nav header footer".split()
+CLOSES_ALL = BLOCK | CONTAINER
+ENDS = {
+    "li": (("li",), ("ul", "ol", "dl", "table", "select", "menu")),
+    "option": (("option",), ("ul", "ol", "dl", "table", "select", "menu")),
+    "dt": (("dt", "dd"), ("ul", "ol", "dl", "table", "select", "menu")),
+    "dd": (("dt", "dd"), ("ul", "ol", "dl", "table", "select", "menu")),
+    "td": (("td", "th"), ("ul", "ol", "dl", "table", "select", "menu", "tr")),
+    "th": (("td", "th"), ("ul", "ol", "dl", "table", "select", "menu", "tr")),
+    "tr": (("tr", "td", "th"), ("ul", "ol", "dl", "table", "select", "menu")),
+}
 #: A container is chosen if it has this part of the page's text, an article or main if it has that part of its parent's.
 MOST, ARTICLE = 0.85, 0.5
 
 
+_CLOSE = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
+
+
 class Node:
-    __slots__ = ("tag", "names", "parent", "children", "drop", "header", "size", "links", "step")
+    __slots__ = ("tag", "parent", "children", "drop", "named", "header", "heading", "size", "links", "step")
 
-    def __init__(self, tag, names, parent, drop, header, step):
-        self.tag, self.names, self.parent, self.children, self.drop, self.header, self.step = tag, names, parent, [], drop, header, step
+    def __init__(self, tag: str, parent: "Node | None", drop: bool = False, named: str = "", header: bool = False, step: str = ""):
+        self.tag, self.parent, self.children, self.step = tag, parent, [], step or tag
+        self.drop, self.named = drop, named  # by tag or role, here or above; by words in its own class or id
+        self.header, self.heading = header, tag in HEADINGS or parent is not None and parent.heading
         self.size = self.links = 0
 
 
@@ -59,32 +86,51 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 def _open(tag: str, raw: str, parent: Node) -> Node:
+    if not raw:
+        return Node(tag, parent, parent.drop or tag in DROPPED, "", parent.header or tag == "header")
     have = _attributes(raw)
     names = f"{have.get('class', '')} {have.get('id', '')}".lower()
-    words = set(_WORD.findall(names)) if names.strip() else set()
-    role = have.get("role", "").lower()
-    hides = "hidden" in raw and ("hidden" in have or re.search(r"(?:^|\s)hidden(?:\s|$|/)", raw)) or have.get("aria-hidden") == "true" or "display:none" in have.get("style", "").replace(" ", "")
-    drop = tag in DROPPED or role in DROPPED_ROLES or bool(hides) or (tag not in ("body", "html", "article", "main") and bool(words & DROPPED_WORDS))
-    header = tag == "header" or (tag not in ("body", "html", "article", "main") and bool(words & HEADER_WORDS))
-    classes = sorted({re.sub(r"\d+", "#", c) for c in have.get("class", "").lower().split()})
-    return Node(tag, names, parent, parent.drop or drop, header or parent.header, tag + "".join("." + c for c in classes))
+    words = set(_WORD.findall(names)) if tag not in WHOLE and names.strip() else set()
+    hides = "hidden" in raw and ("hidden" in have or _HIDDEN.search(raw)) or have.get("aria-hidden") == "true" or "display:none" in have.get("style", "").replace(" ", "")
+    drop = parent.drop or tag in DROPPED or have.get("role", "").lower() in DROPPED_ROLES or bool(hides)
+    header = parent.header or tag == "header" or bool(words & HEADER_WORDS)
+    classes = sorted({_DIGITS.sub("#", c) for c in have.get("class", "").lower().split()})
+    named = "comment" if words & COMMENT_WORDS else "other" if words & DROPPED_WORDS else ""
+    return Node(tag, parent, drop, named, header, tag + "".join("." + c for c in classes))
+
+
+class _Stack:
+    """The open elements, with the places of each tag's, so that the nearest one of some tags is found without a walk."""
+
+    def __init__(self, body: Node):
+        self.nodes, self.places = [body], {}
+
+    def last(self, tags) -> int:
+        """The place of the innermost open element with one of the tags, 0 (the body's) if there is none."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, place: int) -> None:
+        """Close the element at ``place`` and all inside it."""
+        while len(self.nodes) > place:
+            self.places[self.nodes.pop().tag].pop()
 
 
 def parse(html: str) -> Node:
-    """The page as a tree; children are nodes and texts, character references decoded."""
-    html = html if "<" in html else html + " "
-    root = Node("html", "", None, False, False, "html")
-    root.parent = None
-    body = Node("body", "", root, False, False, "body")
-    root.children.append(body)
-    here, at, end = body, 0, len(html)
+    """The page as a tree below its body; children are nodes and texts, character references decoded."""
+    body = Node("body", Node("html", None))
+    body.parent.children.append(body)
+    stack, at, end = _Stack(body), 0, len(html)
     cut = _CUT.search(html, max(0, end - 4096))
     end = cut.start() if cut else end
     while at < end:
         m = _TAG.search(html, at, end)
         text = html[at : m.start() if m else end]
         if text:
-            here.children.append(unescape(text))
+            stack.nodes[-1].children.append(unescape(text) if "&" in text else text)
         if not m:
             break
         at = m.end()
@@ -95,81 +141,87 @@ def parse(html: str) -> Node:
         if tag in ("html", "body"):
             continue
         if closing:
-            node = here
-            while node is not body and node.tag != tag:
-                if node.tag in ("td", "th", "article", "main") and tag not in BLOCK | {"table"} | CONTAINER:
-                    node = body
-                    break
-                node = node.parent
-            if node is not body:
-                here = node.parent
+            place = stack.last((tag,))
+            if place and (tag in CLOSES_ALL or place > stack.last(("td", "th", "article", "main"))):
+                stack.cut(place)
             continue
-        if tag in BLOCK:
-            node = here
-            while node is not body and node.tag not in ("div", "article", "section", "main", "td", "th", "table", "blockquote", "ul", "ol", "li", "form", "aside", "nav", "header", "footer"):
-                if node.tag == "p" or node.tag in HEADINGS and tag in HEADINGS:  # what is open inside a p ends with it
-                    here = node.parent
-                    break
-                node = node.parent
-        if tag in ("li", "dt", "dd", "option", "tr", "td", "th"):
-            same = {"dt", "dd"} if tag in ("dt", "dd") else {"td", "th"} if tag in ("td", "th") else {"tr", "td", "th"} if tag == "tr" else {tag}
-            stop = {"ul", "ol", "dl", "table", "select", "menu", "tr" if tag in ("td", "th") else "table"}
-            node = here
-            while node is not body and node.tag not in stop:
-                if node.tag in same:
-                    here = node.parent
-                    if tag != "tr" or node.tag == "tr":
-                        break
-                node = node.parent
-            if tag == "tr" and here.tag == "tr":
-                here = here.parent
-        node = _open(tag, raw, here)
-        here.children.append(node)
+        if tag in BLOCK:  # what is open inside a p ends with it
+            place = stack.last(("p", *HEADINGS) if tag in HEADINGS else ("p",))
+            if place > stack.last(SCOPE):
+                stack.cut(place)
+        if tag in ENDS:
+            same, stop = ENDS[tag]
+            place = stack.last(same)
+            if place > stack.last(stop):
+                if tag == "tr":  # cells of the open row end with it
+                    place = max(stack.last(("tr",)), 0) if stack.last(("tr",)) > stack.last(stop) else place
+                stack.cut(place)
+        node = _open(tag, raw, stack.nodes[-1])
+        stack.nodes[-1].children.append(node)
         if tag in VOID or raw.endswith("/") and tag in ("path", "svg"):
             continue
         if tag in RAW:
-            close = re.compile(rf"</{tag}\s*>", re.I).search(html, at, end)
+            close = _CLOSE[tag].search(html, at, end)
             at = close.end() if close else end
             continue
-        here = node
-    return root
+        stack.push(node)
+    return body
 
 
-def _measure(node: Node, link: bool = False) -> None:
-    """Sizes of the text below each node that could be content, and of its links; without recursion."""
-    order, stack = [], [(node, link)]
+def _nodes(top: Node) -> list[Node]:
+    """All nodes from ``top`` down, parents before their children, in page order."""
+    order, stack = [], [top]
     while stack:
-        x, inside = stack.pop()
-        inside = inside or x.tag == "a"
+        x = stack.pop()
         order.append(x)
-        for c in x.children:
-            if isinstance(c, str):
-                if not x.drop and (not x.header or _heading(x)):
-                    n = len(c.strip())
-                    x.size += n
-                    x.links += n if inside else 0
-            else:
-                stack.append((c, inside))
+        stack += [c for c in reversed(x.children) if not isinstance(c, str)]
+    return order
+
+
+def _sum(order: list[Node]) -> None:
+    """Sizes of the text below each node that could be content, and of its links."""
+    inside = set()
+    for x in order:
+        x.size = x.links = 0
+        if x.tag == "a" or id(x.parent) in inside:
+            inside.add(id(x))
+        if not x.drop and (not x.header or x.heading):
+            x.size = sum(len(c.strip()) for c in x.children if isinstance(c, str))
+            x.links = x.size if id(x) in inside else 0
     for x in reversed(order):
-        if x.parent is not None:
-            x.parent.size += x.size
-            x.parent.links += x.links
-
-
-def _heading(node: Node) -> bool:
-    while node is not None:
-        if node.tag in HEADINGS:
-            return True
-        node = node.parent
-    return False
-
-
-def best(root: Node) -> Node:
+        x.parent.size += x.size
+        x.parent.links += x.links
+
+
+def _drop(order: list[Node], these: set[int]) -> None:
+    """Drop the named nodes and all below them, and take the sizes anew."""
+    if these:
+        for x in order:
+            x.drop = x.drop or x.parent.drop or id(x) in these
+        _sum(order)
+
+
+def _measure(body: Node) -> list[Node]:
+    """Sizes, after words in classes and ids have dropped what they may. Returns the nodes."""
+    order = _nodes(body)
+    _sum(order)
+    said = [x for x in order if x.named == "comment"]
+    if said:
+        titled: set[int] = set()
+        for x in reversed(order):
+            if x.tag in ("h1", "main") or id(x) in titled:
+                titled.add(id(x.parent))
+        _drop(order, {id(x) for x in said if id(x) not in titled and x.size < body.size})
+    _drop(order, {id(x) for x in order if x.named == "other" and 2 * x.size < body.size})
+    return order
+
+
+def best(body: Node) -> Node:
     """The deepest container that still has most of the page's text, or the outermost article or main with half of its parent's.
 
     Below an article or main only another one is chosen, and only if it has all of its text.
     """
-    now = root.children[0]
+    now = body
     whole = now.size - now.links
     while True:
         inner, stack = [], [c for c in now.children if not isinstance(c, str)]
@@ -193,7 +245,7 @@ def best(root: Node) -> Node:
         now = top
 
 
-def path(node: Node) -> str:
+def path(node: Node | None) -> str:
     steps = []
     while node is not None:
         steps.append(node.step)
@@ -201,18 +253,13 @@ def path(node: Node) -> str:
     return ">".join(reversed(steps))
 
 
-def at_path(root: Node, wanted: str) -> list[Node]:
-    """The containers at a generalised path, in page order; none is inside another."""
-    found, stack = [], [root.children[0]]
-    steps = wanted.split(">")
-    while stack:
-        x = stack.pop()
-        if x.drop:
-            continue
-        if x.tag == steps[-1].split(".")[0] and path(x) == wanted:
-            found.append(x)
-        stack += [c for c in reversed(x.children) if not isinstance(c, str)]
-    return found
+def at_path(body: Node, wanted: str) -> list[Node]:
+    """The containers at a generalised path, in page order; none is inside another, as all are as deep."""
+    steps = wanted.split(">")[1:]
+    level = [body] if steps and body.step == steps[0] else []
+    for step in steps[1:]:
+        level = [c for x in level for c in x.children if not isinstance(c, str) and c.step == step and not c.drop]
+    return level
 
 
 def blocks(top: Node) -> list[str]:
@@ -240,7 +287,7 @@ def blocks(top: Node) -> list[str]:
         elif x.tag in ("br", "img", "wbr"):
             now.append("" if x.tag == "wbr" else " ")
         else:
-            inside = x.header and not top.header and not _heading(x)
+            inside = x.header and not top.header and not x.heading
             children = [c for c in x.children if not (inside and isinstance(c, str))]
             if x.tag in BLOCK:
                 flush()
@@ -255,18 +302,18 @@ def blocks(top: Node) -> list[str]:
 
 def vote(html: str | None) -> tuple[str, int] | None:
     """The path of the page's best container and its text's size."""
-    root = parse(html or "")
-    _measure(root)
-    top = best(root)
+    body = parse(html or "")
+    _measure(body)
+    top = best(body)
     return (path(top), top.size - top.links) if top.size else None
 
 
 def extract(html: str | None, wanted: str | None = None) -> str:
-    root = parse(html or "")
-    _measure(root)
-    tops = at_path(root, wanted) if wanted else []
+    body = parse(html or "")
+    _measure(body)
+    tops = at_path(body, wanted) if wanted else []
     if not any(top.size for top in tops):
-        tops = [best(root)]
+        tops = [best(body)]
     return "\n\n".join(b for top in tops for b in blocks(top))
 
 

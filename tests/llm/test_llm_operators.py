@@ -6,6 +6,7 @@ import html as reference
 import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -433,6 +434,32 @@ def test_main_text_is_whole(spark):
     assert got[3] == ("first " * 50).strip() + "\n\n" + ("second " * 60).strip() and got[0] == ("only part " * 20).strip()
 
 
+def test_words_in_classes_drop_no_article():
+    article = "<h1>Head</h1>" + "<p>real text here</p>" * 40
+    whole = "\n\n".join(["Head", *["real text here"] * 40])
+    menu = "<div class='sidebar menu'><p>side</p></div><div id=newsletter>Subscribe</div>"
+    for wrap in ("<div class='wrap has-sidebar'>%s</div>", "<div class=related-work>%s</div>", "<section id=comments-page><div class=promo>%s</div></section>", "<div class='no-sidebar'><div class=content>%s</div></div>"):
+        assert html.extract("<body>" + menu + wrap % article + menu) == whole
+    said = "<ul class=commentlist>" + "<li><article><p>I think so too, very much.</p></article></li>" * 400 + "</ul>"
+    assert html.extract("<body><div class=post>" + article + "</div><div id=comments>" + said + "</div>") == whole
+
+
+def test_sections_at_the_winning_path_all_come_back(spark):
+    one = "<body><div class=section><p>" + "short page " * 9 + "</p></div>"
+    three = "<body>" + "".join(f"<div class=section><p>{w} " + "words here " * 30 + "</p></div>" for w in ("one", "two", "three"))
+    df = spark.createDataFrame([(i, "http://h/x", one) for i in range(4)] + [(9, "http://h/y", three)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.main_texts(df).collect()}
+    assert [b.split()[0] for b in got[9].split("\n\n")] == ["one", "two", "three"]
+
+
+def test_parsing_is_linear():
+    began = time.time()
+    assert html.extract("<b>" * 20_000 + "<p>text " * 2000).count("text") == 2000
+    assert html.extract("<div>" * 20_000 + "<p>text " * 2000 + "</div>" * 20_000).count("text") == 2000
+    assert html.extract("<li><b><i>" * 5000 + "x</td></table></a>" * 5000).count("x") == 5000
+    assert time.time() - began < 3
+
+
 def test_host_path_wins(spark):
     usual = "<body><div class=main><p>" + "long text here " * 20 + "</p></div><div class=extra><p>%s</p></div>"
     odd = "<body><div class=main><p>short</p></div><div class=extra><p>" + "related stories " * 30 + "</p></div>"
