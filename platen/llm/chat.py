@@ -16,9 +16,12 @@ name is the block's first entry. Where a text holds a control string, the backsl
 more is put there, so that it can be told from the template's and read back exactly. The loss mask is an array of
 (start, length) in code points: the assistant's texts, without markers.
 
-Defined cases: a null text or role is an empty one; equal turns are ordered by role and text, null turns come first; rows
-of a null conv_id are one conversation; other columns are ignored. A conversation is one output row, so its turns do
-meet in one task.
+Places are running sums of the pieces' lengths, taken block by block of CHUNK pieces and then over the blocks.
+
+Defined cases: a null text or role is an empty one; equal turns are ordered by role and text (equal rows are alike), null
+turns come first; rows of a null conv_id are one conversation; a very long text or conversation is formatted whole; an
+empty table gives no rows; other columns, whatever their names, are ignored. A conversation is one output row, so its
+turns do meet in one task.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from pyspark.sql import functions as F
 
 BEGIN, END, TURN, OTHER = "<s>", "</s>", "[TURN]", "[ROLE]"
 HEADERS = {"system": "[SYS]", "user": "[INST]", "assistant": "[BOT]"}
+#: Pieces whose running sums are taken at once.
+CHUNK = 256
 #: All control strings, those of related templates too.
 CONTROL = r"<s>|</s>|\[/?INST\]|\[SYS\]|\[BOT\]|\[TURN\]|\[ROLE\]|<</?SYS>>"
 
@@ -66,6 +71,25 @@ def _pieces(blocks: Column) -> Column:
     return F.concat(F.array(piece(BEGIN)), F.flatten(F.transform(blocks, one)))
 
 
+def _sums(numbers: Column) -> Column:
+    """0 and the running sums of a short array."""
+    return F.aggregate(numbers, F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
+
+
+def _spans(pieces: Column) -> Column:
+    """(start, length) of the pieces under the loss mask."""
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / CHUNK).cast("int")), lambda c: F.slice(pieces, c * CHUNK + 1, CHUNK))
+    inner = F.transform(chunks, lambda c: F.struct(c.alias("pieces"), _sums(F.transform(c, lambda p: F.length(p["s"]))).alias("sums")))
+    bases = _sums(F.transform(inner, lambda c: F.element_at(c["sums"], -1)))
+    based = F.zip_with(inner, bases, lambda c, b: F.struct(c.alias("c"), b.alias("base")))
+
+    def spans(x):
+        each = F.transform(x["c"]["pieces"], lambda p, i: F.struct(p["loss"].alias("loss"), (x["base"] + F.get(x["c"]["sums"], i)).alias("start"), F.length(p["s"]).alias("length")))
+        return F.transform(F.filter(each, lambda e: e["loss"]), lambda e: F.struct(e["start"].alias("start"), e["length"].alias("length")))
+
+    return F.flatten(F.transform(F.filter(based, lambda x: x["c"].isNotNull()), spans))
+
+
 def format_chats(turns: DataFrame) -> DataFrame:
     """conv_id, formatted and loss_mask (array of start, length) of each conversation."""
     empty = F.lit("")
@@ -73,14 +97,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
     chats = turns.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     chats = chats.withColumn("blocks", _blocks(F.col("turns")))
     chats = chats.select("conv_id", _pieces(F.col("blocks")).alias("pieces"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
-
-    def step(s, p):
-        n = F.length(p["s"])
-        more = F.array(F.struct((s["at"] + 0).alias("start"), n.alias("length")))
-        return F.struct((s["at"] + n).alias("at"), F.when(p["loss"], F.concat(s["spans"], more)).otherwise(s["spans"]).alias("spans"))
-
-    return chats.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["s"]), "").alias("formatted"), F.aggregate("pieces", start, step, lambda s: s["spans"]).alias("loss_mask"))
+    return chats.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["s"]), "").alias("formatted"), _spans(F.col("pieces")).alias("loss_mask"))
 
 
 def read_turns(formatted: Column) -> Column:

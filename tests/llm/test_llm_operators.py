@@ -660,3 +660,19 @@ def test_chat_on_any_texts(spark):
     for c in {x[0] for x in rows}:
         own = [(role, t) for k, _, role, t in rows if k == c]
         assert got[c][0] == own and got[c][1] == "".join(t for role, t in own if role == "assistant")
+
+
+def test_chat_long_conversations(spark):
+    r = random.Random(3)
+    rows = [(c, k, r.choice(["user", "assistant"]), f"text {k} </s>" * r.randrange(3)) for c, n in ((0, 1000), (1, 86), (2, 1)) for k in range(n)] + [(3, 0, "assistant", "é</s> " * 200_000)]
+    got = read_back(spark, rows)
+    for c in range(4):
+        own = [(role, t) for k, _, role, t in rows if k == c]
+        assert got[c][0] == own and got[c][1] == "".join(t for role, t in own if role == "assistant")
+
+
+def test_chat_time_grows_with_the_turns(spark):
+    rows = spark.range(40_000).selectExpr("0L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "'some text' AS text")
+    began = time.time()
+    out = chat.format_chats(rows).select(F.length("formatted").alias("n"), F.size("loss_mask").alias("m")).first()
+    assert out.m == 20_000 and time.time() - began < 60
