@@ -7,16 +7,24 @@ expected bound are left out before ranking, so that a ranking task gets about MA
 rows a language has. The log-probability matrix (BUCKETS x languages) is
 broadcast; a batch of texts is scored by gathering its features' rows and summing them by text.
 
+As a filter (keep_identified) the operator also asks that the likeliest language explains a text's n-grams better than a
+model to which all buckets are alike; the posterior alone only tells the learned languages from each other. Where nothing
+could be learnt the filter keeps all rows.
+
+The model takes 128 KB a language, in the driver, in each counting task and broadcast; MOST_LANGUAGES bounds it, and more
+different values of ``lang`` are an error that says so.
+
 Defined cases: a null text or one without a letter is ``und`` with score 0; equal posteriors go to the first language in
-alphabetical order; repeats of a fitted row count with it; with nothing to learn from all texts are ``und``; a null doc_id counts as the text ''; other columns
-are never inputs.
+alphabetical order; repeats of a fitted row count with it, rows of a repeated doc_id with other texts are rows of their own;
+very long texts are scored whole, in one piece each, with about a hundred bytes of memory a byte; with nothing to learn from
+all texts are ``und``; an empty table gives no rows; a null doc_id counts as the text ''; other columns are never inputs, and
+the filter keeps them whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +33,7 @@ from .hashing import bounded
 
 BUCKETS = 1 << 15
 PER_LANGUAGE, MARGIN = 1000, 4
+MOST_LANGUAGES = 1000
 #: Bytes of text scored at once; features take over a hundred bytes of memory for each.
 PART = 1 << 20
 UNKNOWN = "und"
@@ -70,6 +79,8 @@ def learn(docs: DataFrame, most: int = PER_LANGUAGE) -> tuple[list[str], np.ndar
     sizes = known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()
     if not sizes:
         return [], np.zeros((BUCKETS + 1, 0))
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"{len(sizes)} languages to learn, the model is made for {MOST_LANGUAGES}")
     bounds = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, hash_bound(MARGIN * most, r.n))])
     ranked = known.filter(F.col("h") <= F.element_at(bounds, F.col("lang"))).select("lang", "h").distinct().withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
     upto = sorted((r.lang, r.h) for r in ranked.filter(F.col("r") <= most).groupBy("lang").agg(F.max("h").alias("h")).collect())
@@ -101,41 +112,44 @@ def learn(docs: DataFrame, most: int = PER_LANGUAGE) -> tuple[list[str], np.ndar
     return languages, np.concatenate([table, np.log((texts + 1) / (texts.sum() + len(texts)))[None, :]])
 
 
-def score(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Number of the likeliest language of each text (-1 without a letter) and its posterior probability."""
+def score(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the likeliest language of each text (-1 without a letter), its posterior probability, and whether it
+    explains the text better than a model to which all buckets are alike."""
     grams, where = features(texts)
     n, best = len(texts), np.full(len(texts), -1)
     if not table.shape[1] or not n:
-        return best, np.zeros(n)
-    some = np.bincount(where, minlength=n) > 0
-    sums = np.stack([np.bincount(where, weights=table[:-1, k][grams], minlength=n) for k in range(table.shape[1])], axis=1) + table[-1]
-    best = np.where(some, sums.argmax(axis=1), -1)
-    chance = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
-    return best, np.where(some, chance, 0.0)
+        return best, np.zeros(n), np.zeros(n, bool)
+    size = np.bincount(where, minlength=n)
+    sums = np.stack([np.bincount(where, weights=table[:-1, k][grams], minlength=n) for k in range(table.shape[1])], axis=1)
+    voted = sums + table[-1]
+    best = np.where(size > 0, voted.argmax(axis=1), -1)
+    chance = 1 / np.exp(voted - voted.max(axis=1, keepdims=True)).sum(axis=1)
+    explained = sums[np.arange(n), best] > -size * np.log(BUCKETS)
+    return best, np.where(size > 0, chance, 0.0), explained & (size > 0)
 
 
 def _predictor(docs: DataFrame):
     languages, table = learn(docs)
     shared = docs.sparkSession.sparkContext.broadcast((np.array([*languages, UNKNOWN], dtype=object), np.ascontiguousarray(table.astype(np.float32))))
 
-    def predict(texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    def predict(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         names, table = shared.value
-        best, chance = score([t or "" for t in texts.to_pylist()], table)
-        return names[best].tolist(), chance
+        best, chance, explained = score([t or "" for t in texts.to_pylist()], table)
+        return names[best].tolist(), chance, explained
 
-    return predict
+    return predict, len(languages)
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row."""
     tune(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    predict = _predictor(docs)
+    predict, _ = _predictor(docs)
 
     def run(batches):
         for batch in batches:
             for part in bounded(batch, "text", PART):
-                names, chance = predict(part.column("text"))
+                names, chance, _ = predict(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(names, pa.string()), pa.array(chance)], names=["doc_id", "held_out", "lang_pred", "score"])
         release()
 
@@ -144,15 +158,17 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is known with a posterior of at least ``least``."""
+    """The rows of ``docs``, all columns, whose language is known with a posterior of at least ``least`` and explains them."""
     tune(docs.sparkSession)
-    predict = _predictor(docs)
+    predict, learnt = _predictor(docs)
+    if not learnt:
+        return docs
 
     def run(batches):
         for batch in batches:
             for part in bounded(batch, "text", PART):
-                names, chance = predict(part.column("text"))
-                yield part.filter(pc.and_(pa.array([x != UNKNOWN for x in names], pa.bool_()), pa.array(chance >= least)))
+                _, chance, explained = predict(part.column("text"))
+                yield part.filter(pa.array(explained & (chance >= least)))
         release()
 
     return docs.mapInArrow(run, docs.schema)

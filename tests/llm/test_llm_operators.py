@@ -3,11 +3,13 @@
 import base64
 import hashlib
 import html as reference
+import math
 import os
 import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -382,12 +384,47 @@ def test_language_of_odd_rows(spark):
     assert [(r.lang_pred, r.score) for r in none] == [("und", 0.0)] and language.identify(docs(spark, ["x"]).filter("false")).count() == 0
     kept = language.keep_identified(docs(spark, texts, {i: "de" for i in range(1, 40, 2)}))
     assert kept.count() == 42 and kept.columns == docs(spark, ["x"]).columns
+    unknown = docs(spark, texts).withColumn("lang", F.lit(None).cast("string"))
+    assert language.keep_identified(unknown).count() == len(texts)  # nothing learnt, nothing rejected
+    with pytest.raises(ValueError, match="languages"):
+        language.learn(spark.range(9000).selectExpr("id AS doc_id", "'some text' AS text", "string(id % 3000) AS lang"))
+
+
+def plain_language(rows):
+    """The model and predictions of (doc_id, text, lang) rows, one n-gram at a time."""
+    counts, texts = {}, Counter()
+    for i, t, lang in rows:
+        if lang is not None and t is not None and zlib.crc32(str(i).encode()) % 5:
+            counts.setdefault(lang, Counter()).update(language.features([t])[0].tolist())
+            texts[lang] += 1
+    total = {x: sum(c.values()) + language.BUCKETS / 2 for x, c in counts.items()}
+    out = {}
+    for i, t, _ in rows:
+        grams = language.features([t or ""])[0].tolist()
+        sums = {x: sum(math.log((c[g] + 0.5) / total[x]) for g in grams) + math.log((texts[x] + 1) / (sum(texts.values()) + len(texts))) for x, c in sorted(counts.items())}
+        best = max(sums, key=sums.get)
+        out[i] = (best, 1 / sum(math.exp(v - sums[best]) for v in sums.values())) if grams else ("und", 0.0)
+    return out
+
+
+def test_language_equals_a_plain_version(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    long = docs(spark, ["the long text " * 30_000], {}).selectExpr("100000L + doc_id AS doc_id", "text", "lang")
+    df = df.select("doc_id", "text", "lang").unionByName(long)
+    rows = [tuple(r) for r in df.collect()]
+    expected = plain_language(rows)
+    for r in language.identify(df).collect():
+        assert r.lang_pred == expected[r.doc_id][0] and r.score == pytest.approx(expected[r.doc_id][1], abs=1e-3)
 
 
 def test_language_on_held_out_rows(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language.identify(df).filter("held_out").join(df.select("doc_id", "lang"), "doc_id")
     assert got.filter("lang = lang_pred").count() / got.count() > 0.97
+    other = ["Это обычный русский текст о погоде", "zxcv qwrtp mnbvc lkjhg fdspq", "这是一个关于天气的中文文本", ""]
+    more = docs(spark, other).selectExpr("1000000L + doc_id AS doc_id", "text", "CAST(NULL AS string) AS lang")
+    stayed = language.keep_identified(df.select("doc_id", "text", "lang").unionByName(more))
+    assert stayed.filter("doc_id >= 1000000").count() == 0 and stayed.count() == df.count()
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
