@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import quality
-from .licences import RULES, known
+from .licences import GRANT, NAME_FORM, NAMED, RULES, TAG, known, names
 
 _COMPONENTS = """reach AS (
   SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
@@ -75,22 +75,34 @@ FROM base LEFT JOIN rejected ON rejected.r = base.r"""
 
 _KNOWN = ", ".join(f"('{s}', '{n}')" for s, n in known().items())
 _RULES = ", ".join(f"({i}, '{n}', '{k}', '|{'|'.join(ids)}|')" for i, (n, k, ids) in enumerate(RULES))
+_NAMES = ", ".join(f"('{n} ', '{i}')" for n, i in names())
+_NAME = f"CASE WHEN starts_with(s, '{TAG}') THEN s ELSE regexp_extract(s, '{GRANT}', 1) END"
+for _pattern, _new in NAME_FORM:
+    _NAME = f"regexp_replace({_NAME}, '{_pattern}', '{_new.replace('@', chr(92))}', 'g')"
 OP7 = f"""
-WITH known(s, id) AS (VALUES {_KNOWN}), rules(i, name, kind, ids) AS (VALUES {_RULES}),
+WITH known(s, id) AS (VALUES {_KNOWN}), names(n, id) AS (VALUES {_NAMES}), rules(i, name, kind, ids) AS (VALUES {_RULES}),
 plain AS (
   SELECT doc_id, row_number() OVER () AS r, regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')),
     '[.!?;]+([ \\t\\n\\r\\f]+|\\z)', chr(1) || chr(10), 'g'), '[\\n\\r]+', chr(2), 'g'), '[^a-z0-9\\x01\\x02]+', ' ', 'g') AS t FROM documents),
 parts AS (
   SELECT r, 1 AS way, string_split_regex(t, ' ?[\\x01\\x02]+ ?') AS s FROM plain
   UNION ALL SELECT r, 2, string_split_regex(regexp_replace(t, '([^\\x01\\x02]) ?\\x02+ ?', '\\1 ', 'g'), '[ \\x02]*\\x01[ \\x01\\x02]*') FROM plain),
-each AS (SELECT r, way, unnest(s) AS s, generate_subscripts(s, 1) AS k FROM parts),
-ids AS (SELECT r, way, list(id ORDER BY k) AS ids FROM each JOIN known ON known.s = trim(each.s) GROUP BY r, way),
+each AS (SELECT r, way, trim(unnest(s)) AS s, generate_subscripts(s, 1) AS k FROM parts),
+granted AS (
+  SELECT s, {_NAME} || ' ' AS name FROM (SELECT DISTINCT s FROM each)
+  WHERE starts_with(s, '{TAG}') OR (contains(s, ' under ') OR contains(s, ' by ') OR starts_with(s, 'under ')) AND regexp_matches(s, '{NAMED}')),
+named AS (SELECT s, arg_max(id, length(n)) AS id FROM granted JOIN names ON starts_with(name, n) GROUP BY s),
+ids AS (
+  SELECT r, way, list(coalesce(known.id, named.id) ORDER BY k) AS ids FROM each LEFT JOIN known ON known.s = each.s LEFT JOIN named ON named.s = each.s
+  WHERE known.id IS NOT NULL OR named.id IS NOT NULL GROUP BY r, way),
 pair AS (
   SELECT doc_id, p.r, coalesce(a.ids, []) AS a, coalesce(b.ids, []) AS b FROM plain p
   LEFT JOIN ids a ON a.r = p.r AND a.way = 1 LEFT JOIN ids b ON b.r = p.r AND b.way = 2),
+held AS (
+  SELECT r, i, name, kind FROM pair JOIN rules ON contains('|' || array_to_string(a, '|') || '|-|' || array_to_string(b, '|') || '|', rules.ids)),
 found AS (
-  SELECT r, string_agg(name, ',' ORDER BY i) AS licences, bool_or(kind = 'restricted') AS x, bool_or(kind = 'copyleft') AS y
-  FROM pair JOIN rules ON contains('|' || array_to_string(a, '|') || '|-|' || array_to_string(b, '|') || '|', rules.ids) GROUP BY r)
+  SELECT r, string_agg(name, ',' ORDER BY i) AS licences, bool_or(kind = 'restricted') AS x, bool_or(kind = 'copyleft') AS y FROM held
+  WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.r = held.r AND h.name IN (held.name || '-notice', held.name || '-text')) GROUP BY r)
 SELECT doc_id, greatest(len(a), len(b))::BIGINT AS n_sentences,
   array_to_string(CASE WHEN len(b) > len(a) THEN b ELSE a END, ',') AS sentence_ids, coalesce(licences, '') AS licences,
   CASE WHEN f.r IS NULL THEN 'none' WHEN x THEN 'restricted' WHEN y THEN 'copyleft' ELSE 'permissive' END AS kind
