@@ -83,15 +83,16 @@ def counts(docs: DataFrame, carried: list[str]) -> DataFrame:
     base = base.withColumn("windows", _windows(F.col("words")))
     base = base.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD)))
     some = F.size(F.array_distinct("windows")) < F.size("windows")
-    return base.select(
-        *carried, "stratum",
-        F.size("words").cast("long").alias("n_words"),
-        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.regexp_replace("text", r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
-        F.size("lines").cast("long").alias("n_lines"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.when(some, _covered(F.col("windows"))).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
-    )
+    found = {
+        "n_words": F.size("words"),
+        "word_chars": F.length(F.array_join("words", "")),
+        "n_symbols": F.length("text") - F.length(F.regexp_replace("text", r"[#*$%&|<>]+", "")),
+        "n_lines": F.size("lines"),
+        "n_dup_lines": F.size("lines") - F.size(F.array_distinct("lines")),
+        "n_repeat_words": F.when(some, _covered(F.col("windows"))).otherwise(F.lit(0)),
+    }
+    # generated rather than projected: filters on the counts aren't pushed below, where each word would be split off anew
+    return base.select(*carried, "stratum", F.inline(F.array(F.struct(*[x.cast("long").alias(name) for name, x in found.items()]))))
 
 
 def _signals() -> dict[str, Column]:
@@ -165,7 +166,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: f
     """The rows of ``docs``, all columns, that are kept. One pass over all rows, after one over the labelled ones."""
     scratch = Scratch(docs.sparkSession, "quality")
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").join(_qualities(labels), "doc_id")
-    cutoffs = scratch.done(calibrate(counts(marked, ["quality"]), scratch, alpha, delta))
+    known = scratch.written(counts(marked, ["quality"]), "known")
+    cutoffs = scratch.done(calibrate(known, scratch, alpha, delta))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     judged = counts(whole.select("row", F.col("row.text").alias("text"), F.col("row.lang").alias("lang")), ["row"])
     return judged.join(small(cutoffs, STRATA), "stratum", "left").filter(_verdict()).select("row.*")
