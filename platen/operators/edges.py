@@ -61,14 +61,28 @@ def line_edges(lines: DataFrame) -> DataFrame:
     return _spread(lines, F.array(_edge(object_type=F.col("object_type"), orientation=way, **{c: F.col(c) for c in ("x0", "x1", "top", "bottom", "doctop", "width", "height")})))
 
 
-def page_edges(vectors: DataFrame) -> DataFrame:
-    """All edges of rect, curve and line rows, with an ``edge`` number in page order: rectangles, curves, lines."""
-    of = lambda kind: vectors.filter(F.col("object_type") == kind)
-    parts = [rect_edges(of("rect")).withColumn("kind", F.lit(0)), curve_edges(of("curve")).withColumn("kind", F.lit(1)), line_edges(of("line")).withColumn("kind", F.lit(2))]
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+def object_edges(objects: DataFrame) -> DataFrame:
+    """Edges of rect, curve and line rows, with an ``edge`` number by page: rectangles, curves, lines, and then rows that
+    are edges already (of an object type with ``edge`` in it), as they are."""
+    of = lambda kind: objects.filter(F.col("object_type") == kind)
+    parts = [rect_edges(of("rect")), line_edges(of("line"))]
+    if "pts" in objects.columns:
+        parts.insert(1, curve_edges(of("curve")))
+    if "orientation" in objects.columns:
+        made = objects.filter(F.col("object_type").contains("edge"))
+        part = F.col("part") if "part" in objects.columns else F.lit(0)
+        parts.append(made.select(*PAGE, "seq", part.alias("part"), *EDGE[4:]))
+    every = parts[0].withColumn("kind", F.lit(0))
+    for k, p in enumerate(parts[1:], 1):
+        every = every.unionByName(p.withColumn("kind", F.lit(k)))
     return every.withColumn("edge", F.row_number().over(Window.partitionBy(*PAGE).orderBy("kind", "seq", "part")) - 1).drop("kind")
 
 
+def page_edges(vectors: DataFrame) -> DataFrame:
+    """All edges of a page's rect, curve and line rows."""
+    return object_edges(vectors.drop("orientation"))
+
+
 def filter_edges(edges: DataFrame, orientation: str | None = None, edge_type: str | None = None, min_length: float = 1) -> DataFrame:
     keep = F.when(F.col("orientation") == "v", F.col("height")).otherwise(F.col("width")) >= min_length
     if orientation:

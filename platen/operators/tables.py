@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections import defaultdict
 from dataclasses import dataclass, field, fields
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import holds_midpoint
 from ..schema import PAGE
 from .cluster import with_cluster
-from .edges import filter_edges, line_edges, merge_edges, page_edges, words_to_edges_h, words_to_edges_v
+from .edges import filter_edges, line_edges, merge_edges, object_edges, page_edges, words_to_edges_h, words_to_edges_v
 from .words import WordOptions, extract_words
 
 STRATEGIES = ("lines", "lines_strict", "text", "explicit")
@@ -21,10 +22,13 @@ STRATEGIES = ("lines", "lines_strict", "text", "explicit")
 
 @dataclass(frozen=True)
 class TableSettings:
+    """Explicit lines are numbers (lines across each page), objects as dicts or rows (lines, rectangles, curves or edges,
+    on every page unless they name theirs), or a DataFrame of objects or edges, such as another set's edges."""
+
     vertical_strategy: str = "lines"
     horizontal_strategy: str = "lines"
-    explicit_vertical_lines: tuple = ()
-    explicit_horizontal_lines: tuple = ()
+    explicit_vertical_lines: tuple | DataFrame = ()
+    explicit_horizontal_lines: tuple | DataFrame = ()
     snap_x_tolerance: float = 3
     snap_y_tolerance: float = 3
     join_x_tolerance: float = 3
@@ -57,7 +61,8 @@ class TableSettings:
         for axis in ("vertical", "horizontal"):
             if getattr(made, f"{axis}_strategy") not in STRATEGIES:
                 raise ValueError(f"{axis}_strategy must be one of {', '.join(STRATEGIES)}")
-            if getattr(made, f"{axis}_strategy") == "explicit" and len(getattr(made, f"explicit_{axis}_lines")) < 2:
+            lines = getattr(made, f"explicit_{axis}_lines")
+            if getattr(made, f"{axis}_strategy") == "explicit" and (lines.limit(2).count() if isinstance(lines, DataFrame) else len(lines)) < 2:
                 raise ValueError(f"the explicit {axis}_strategy needs two lines or more")
         for f in fields(cls):
             if isinstance(v := getattr(made, f.name), (int, float)) and v < 0:
@@ -68,6 +73,37 @@ class TableSettings:
 _EDGE = ["doc_id", "page_number", "seq", "part", "object_type", "orientation", "x0", "x1", "top", "bottom", "width", "height"]
 
 
+_OBJECT = "object_type string, orientation string, x0 double, x1 double, top double, bottom double, doctop double, width double, height double, pts array<struct<x:double,y:double>>, closepath boolean, own_doc long, own_page int"
+
+
+def _described(x) -> tuple:
+    """An explicit object as the fields of _OBJECT."""
+    x = x.asDict() if hasattr(x, "asDict") else dict(x)
+    points = [(float(p["x"]), float(p["y"])) if hasattr(p, "keys") else (float(p[0]), float(p[1])) for p in x.get("pts") or []]
+    number = lambda k, other=0.0: float(x[k]) if x.get(k) is not None else other
+    x0, x1, top, bottom = (number(k) for k in ("x0", "x1", "top", "bottom"))
+    return (x["object_type"], x.get("orientation"), x0, x1, top, bottom, number("doctop", top), x1 - x0, bottom - top, points or None, bool(x.get("closepath")), x.get("doc_id"), x.get("page_number"))
+
+
+def explicit_edges(lines, pages: DataFrame, way: str) -> list[DataFrame]:
+    """Edges of one orientation from numbers and objects, on each page."""
+    out, numbers, objects = [], [x for x in lines if isinstance(x, (int, float))], [_described(x) for x in lines if not isinstance(x, (int, float))]
+    if numbers:
+        b = lambda c: F.col(f"bbox.{c}")
+        side = F.col("at")
+        x0, x1, top, bottom = (side, side, b("top"), b("bottom")) if way == "v" else (b("x0"), b("x1"), side, side)
+        at = pages.select(*PAGE, "bbox", F.explode(F.array(*[F.lit(float(x)) for x in numbers])).alias("at"))
+        out.append(at.select(*PAGE, F.lit(0).alias("seq"), F.lit(0).alias("part"), F.lit("edge").alias("object_type"), F.lit(way).alias("orientation"), x0.alias("x0"), x1.alias("x1"), top.alias("top"), bottom.alias("bottom"), (x1 - x0).alias("width"), (bottom - top).alias("height")))
+    if objects:
+        names = [x.split()[0] for x in _OBJECT.split(", ")]
+        texts = json.dumps([dict(zip(names, (*o[:9], o[9] and [{"x": x, "y": y} for x, y in o[9]], *o[10:]))) for o in objects])
+        listed = F.from_json(F.lit(texts), "array<struct<" + _OBJECT.replace(" ", ": ").replace(",: ", ", ") + ">>")
+        on = pages.select(*PAGE, F.posexplode(listed).alias("seq", "o")).select(*PAGE, "seq", "o.*")
+        on = on.filter((F.col("own_doc").isNull() | (F.col("own_doc") == F.col("doc_id"))) & (F.col("own_page").isNull() | (F.col("own_page") == F.col("page_number"))))
+        out.append(object_edges(on.drop("own_doc", "own_page")).filter(F.col("orientation") == way).select(*_EDGE))
+    return out
+
+
 def table_edges(vectors: DataFrame, chars: DataFrame | None = None, pages: DataFrame | None = None, s: TableSettings = TableSettings()) -> DataFrame:
     """The edges that tables are found from: by strategy for each axis, explicit lines always, then merged and filtered by length."""
     words = None
@@ -85,13 +121,10 @@ def table_edges(vectors: DataFrame, chars: DataFrame | None = None, pages: DataF
             base = base.withColumn("seq", F.lit(0)).withColumn("part", F.lit(0))
         if base is not None:
             parts.append(base.select(*_EDGE))
-        if explicit:
-            b = lambda c: F.col(f"bbox.{c}")
-            at = F.explode(F.array(*[F.lit(float(x)) for x in explicit])).alias("at")
-            lines = pages.select(*PAGE, "bbox", at)
-            side = F.col("at")
-            x0, x1, top, bottom = (side, side, b("top"), b("bottom")) if way == "v" else (b("x0"), b("x1"), side, side)
-            parts.append(lines.select(*PAGE, F.lit(0).alias("seq"), F.lit(0).alias("part"), F.lit("line").alias("object_type"), F.lit(way).alias("orientation"), x0.alias("x0"), x1.alias("x1"), top.alias("top"), bottom.alias("bottom"), (x1 - x0).alias("width"), (bottom - top).alias("height")))
+        if isinstance(explicit, DataFrame):
+            parts.append(object_edges(explicit).filter(F.col("orientation") == way).select(*_EDGE))
+        elif explicit:
+            parts += explicit_edges(explicit, pages, way)
     edges = parts[0]
     for p in parts[1:]:
         edges = edges.unionByName(p)

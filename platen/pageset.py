@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,9 @@ from .schema import PAGE
 from .sources import reader
 
 
+OBJECTS = ("chars", "vectors", "images", "annots")
+
+
 @dataclass(frozen=True)
 class PageSet:
     """Pages and the objects on them; every operation gives a new set."""
@@ -23,10 +28,16 @@ class PageSet:
     images: DataFrame
     annots: DataFrame
     documents: DataFrame | None = None
+    #: All kinds in one pass over the files, as long as nothing has changed them.
+    raw: DataFrame | None = None
 
     @classmethod
-    def open(cls, spark: SparkSession, source, pages: list[int] | None = None, password: str = "", unicode_norm: str | None = None, mode: str = "PERMISSIVE", max_bytes: int | None = None) -> "PageSet":
-        """``source``: a path or paths that Spark reads, URLs, bytes by id, or a DataFrame (doc_id, path, content)."""
+    def open(cls, spark: SparkSession, source, pages: list[int] | None = None, password: str = "", unicode_norm: str | None = None, mode: str = "PERMISSIVE", max_bytes: int | None = None, store: str | None = None) -> "PageSet":
+        """``source``: a path or paths that Spark reads, URLs, bytes by id, or a DataFrame (doc_id, path, content).
+
+        With ``store``, a folder, the files are decoded once, all kinds in one pass, and read from there; else each kind is
+        decoded when it is used, and then without building the others.
+        """
         if isinstance(source, DataFrame):
             files = source
         elif isinstance(source, dict):
@@ -37,11 +48,15 @@ class PageSet:
             files = reader.fetch(spark, listed)
         else:
             files = reader.files(spark, listed, max_bytes)
-        made = {k: reader.decode(files, k, pages, password, unicode_norm, mode) for k in reader.SCHEMAS}
-        return cls(**made)
+        raw = reader.decode_kinds(files, tuple(reader.SCHEMAS), pages, password, unicode_norm, mode)
+        if store:
+            raw.write.partitionBy("kind").parquet(store)
+            raw = spark.read.schema(raw.schema).parquet(store)
+            return cls(**{k: reader.of_kind(raw, k) for k in reader.SCHEMAS}, raw=raw)
+        return cls(**{k: reader.decode(files, k, pages, password, unicode_norm, mode) for k in reader.SCHEMAS}, raw=raw)
 
     def _each(self, f) -> "PageSet":
-        return replace(self, **{k: f(getattr(self, k)) for k in ("chars", "vectors", "images", "annots")})
+        return replace(self, raw=None, **{k: f(getattr(self, k)) for k in OBJECTS})
 
     def _box(self, box: tuple, relative: bool, strict: bool) -> DataFrame:
         """Pages with the wanted box; strict ones check it against each page's own when rows are made."""
@@ -76,17 +91,26 @@ class PageSet:
     def outside_bbox(self, bbox: tuple, relative: bool = False, strict: bool = True) -> "PageSet":
         return self._on_pages(bbox, relative, strict, boxes.outside, False)
 
-    def filter(self, predicate: Column) -> "PageSet":
-        """Keeps what fulfils the predicate; kinds that lack a column of it are judged with null there."""
-        def one(df: DataFrame) -> DataFrame:
-            every = {f.name: f.dataType for k in (self.chars, self.vectors, self.images, self.annots) for f in k.schema}
+    def filter(self, predicate: Column | Callable[[dict], bool]) -> "PageSet":
+        """Keeps what fulfils the predicate: a column, with null for columns that a kind lacks, or a function of the object
+        as a dict of its own columns (in Python, batch by batch)."""
+        every = {f.name: f.dataType for k in OBJECTS for f in getattr(self, k).schema}
+
+        def by_column(df: DataFrame) -> DataFrame:
             wide = df.select("*", *(F.lit(None).cast(t).alias(n) for n, t in every.items() if n not in df.columns))
             return wide.filter(predicate).select(*df.columns)
 
-        return self._each(one)
+        def by_function(df: DataFrame) -> DataFrame:
+            def run(batches):
+                for batch in batches:
+                    yield batch.filter(pa.array([bool(predicate(row)) for row in batch.to_pylist()], pa.bool_()))
+
+            return df.mapInArrow(run, df.schema)
+
+        return self._each(by_column if isinstance(predicate, Column) else by_function)
 
     def dedupe_chars(self, tolerance: float = 1, extra_attrs: tuple = ("fontname", "size")) -> "PageSet":
-        return replace(self, chars=boxes.dedupe(self.chars, tolerance, extra_attrs))
+        return replace(self, raw=None, chars=boxes.dedupe(self.chars, tolerance, extra_attrs))
 
     @property
     def edges(self) -> DataFrame:
@@ -106,10 +130,14 @@ class PageSet:
 
     @property
     def objects(self) -> DataFrame:
-        kinds = [self.chars, self.vectors, self.images, self.annots]
-        out = kinds[0]
-        for k in kinds[1:]:
-            out = out.unionByName(k, allowMissingColumns=True)
+        if self.raw is not None:  # one pass over the files
+            types = {f.name: f.dataType for k in OBJECTS for f in getattr(self, k).schema}
+            have = {k: getattr(self, k).columns for k in OBJECTS}
+            columns = [F.coalesce(*(F.col(f"{k}.{n}").cast(t) for k in OBJECTS if n in have[k])).alias(n) for n, t in types.items()]
+            return self.raw.filter(F.col("kind").isin(*OBJECTS)).select(*columns)
+        out = self.chars
+        for k in OBJECTS[1:]:
+            out = out.unionByName(getattr(self, k), allowMissingColumns=True)
         return out
 
     def extract_words(self, return_chars: bool = False, limit: int | None = None, slice: tuple | None = None, **options) -> DataFrame:

@@ -25,9 +25,9 @@ def _files(spark, sf_dir):
 
 @_query
 def s1_decode(spark, sf_dir):
-    chars = reader.decode(_files(spark, sf_dir), "chars").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    pages = reader.decode(_files(spark, sf_dir), "pages").groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"))
-    return pages.join(chars, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n"), "pages")
+    made = reader.decode_kinds(_files(spark, sf_dir), ("pages", "chars"))
+    key = F.coalesce("chars.doc_id", "pages.doc_id").alias("doc_id")
+    return made.groupBy(key).agg(F.count_if(F.col("kind") == "chars").alias("n"), F.count_if(F.col("kind") == "pages").alias("pages"))
 
 
 @_query

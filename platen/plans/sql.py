@@ -48,14 +48,14 @@ SELECT doc_id, {_SUMS}, sum(x1 - x0) AS width, sum(bottom - top) AS height, sum(
     "a13_bounding_box": f"WITH {CHARS} SELECT doc_id, min(x0) AS x0, min(top) AS top, max(x1) AS x1, max(bottom) AS bottom FROM chars GROUP BY doc_id",
     "a7_text_edges_h": f"WITH {words()} SELECT doc_id, 2 * count(DISTINCT ln) AS n, min(x0) AS x0, max(x1) AS x1, (SELECT sum(y) FROM (SELECT unnest([min(q.top), max(q.bottom)]) AS y FROM words q WHERE q.doc_id = w.doc_id GROUP BY q.ln)) AS top FROM words w GROUP BY doc_id",
     "a1_cluster": """WITH f AS (SELECT l_partkey, l_quantity AS x, CASE WHEN l_quantity > lag(l_quantity) OVER (PARTITION BY l_partkey ORDER BY l_quantity) + 2 THEN 1 ELSE 0 END AS new FROM lineitem),
-g AS (SELECT *, sum(new) OVER (PARTITION BY l_partkey ORDER BY x ROWS UNBOUNDED PRECEDING) AS c FROM f) SELECT l_partkey AS doc_id, c::BIGINT AS cluster, count(*) AS n, min(x) AS low, max(x) AS high FROM g GROUP BY ALL""",
+g AS (SELECT *, sum(new) OVER (PARTITION BY l_partkey ORDER BY x RANGE UNBOUNDED PRECEDING) AS c FROM f) SELECT l_partkey AS doc_id, c::BIGINT AS cluster, count(*) AS n, min(x) AS low, max(x) AS high FROM g GROUP BY ALL""",
     "a4_snap": """WITH e AS (SELECT l_suppkey AS doc_id, (l_orderkey % 500)::DOUBLE AS x FROM lineitem),
 f AS (SELECT *, CASE WHEN x > lag(x) OVER (PARTITION BY doc_id ORDER BY x) + 1 THEN 1 ELSE 0 END AS new FROM e),
-g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY x ROWS UNBOUNDED PRECEDING) AS c FROM f),
+g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY x RANGE UNBOUNDED PRECEDING) AS c FROM f),
 m AS (SELECT doc_id, c, round(avg(x), 3) AS x0, count(*) AS n FROM g GROUP BY ALL) SELECT doc_id, x0, sum(n)::BIGINT AS n FROM m GROUP BY ALL""",
     "a5_join_edges": """WITH e AS (SELECT l_suppkey AS doc_id, l_linenumber::DOUBLE AS top, (l_orderkey % 5000)::DOUBLE AS x0, (l_orderkey % 5000)::DOUBLE + l_quantity::INT AS x1 FROM lineitem),
 r AS (SELECT *, max(x1) OVER (PARTITION BY doc_id, top ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM e),
-g AS (SELECT *, sum(CASE WHEN x0 > reach + 3 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, top ORDER BY x0, x1 ROWS UNBOUNDED PRECEDING) AS k FROM r)
+g AS (SELECT *, sum(CASE WHEN x0 > reach + 3 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, top ORDER BY x0, x1 RANGE UNBOUNDED PRECEDING) AS k FROM r)
 SELECT doc_id, top, min(x0) AS x0, max(x1) AS x1 FROM g GROUP BY doc_id, top, k""",
     "e1_rect_edges": f"WITH {CELLS} SELECT doc_id, (4 * 4 * n) AS n, (4 * n * 2 * 60.0)::DOUBLE AS width, (4 * n * 2 * 20.0)::DOUBLE AS height FROM pages",
     "p9_filter_edges": f"WITH {CELLS} SELECT doc_id, (2 * 4 * n) AS n FROM pages",

@@ -6,6 +6,8 @@ import re
 
 import numpy as np
 
+from .errors import MOST_CODES, within
+
 # Names of predefined CMaps, without the writing mode, and the codecs of their codes.
 _CODECS = (
     (r"Uni.*-UTF8", "utf-8"), (r"Uni.*-UTF16", "utf-16-be"), (r"Uni.*-UTF32", "utf-32-be"), (r"Uni.*-UCS2(-HW)?", "utf-16-be"),
@@ -13,9 +15,6 @@ _CODECS = (
     (r"(GBK-EUC|GBKp-EUC)", "gbk"), (r"GBK2K", "gb18030"), (r"(GB-EUC|GBpc-EUC)", "gb2312"), (r"(B5pc|ETen-B5|ETenms-B5)", "cp950"), (r"HKscs-B5", "big5hkscs"),
     (r"(KSC-EUC|KSCpc-EUC)", "euc_kr"), (r"KSCms-UHC(-HW)?", "cp949"),
 )
-#: Glyphs that one map may name.
-MOST = 1 << 17
-
 
 def codec_of(name: str) -> str | None:
     """The codec of a predefined CMap; None for Identity and unknown names."""
@@ -83,7 +82,8 @@ def _groups(sub: bytes) -> tuple[np.ndarray, np.ndarray]:
     rows = np.frombuffer(sub[16 : 16 + (len(sub) - 16) // 12 * 12], ">u4").reshape(-1, 3)[:count].astype(np.int64)
     rows = rows[(rows[:, 1] >= rows[:, 0]) & (rows[:, 1] < 0x110000)]
     sizes = rows[:, 1] - rows[:, 0] + 1
-    step = np.arange(min(int(sizes.sum()), 1 << 21)) if len(rows) else np.empty(0, np.int64)
+    within(int(sizes.sum()), 2 * MOST_CODES, "characters of a font's map")
+    step = np.arange(int(sizes.sum())) if len(rows) else np.empty(0, np.int64)
     row = np.searchsorted(np.cumsum(sizes), step, side="right")
     step = step - (np.cumsum(sizes) - sizes)[row]
     return rows[row, 0] + step, rows[row, 2] + step
@@ -109,5 +109,5 @@ def glyph_texts(font: bytes) -> dict[int, str]:
         sound = (glyphs > 0) & ((chars < 0xD800) | (chars > 0xDFFF))
         glyphs, first = np.unique(glyphs[sound], return_index=True)
         if len(glyphs):
-            return {g: chr(c) for g, c in zip(glyphs[:MOST].tolist(), chars[sound][first][:MOST].tolist())}
+            return {g: chr(c) for g, c in zip(glyphs.tolist(), chars[sound][first].tolist())}
     return {}

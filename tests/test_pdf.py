@@ -270,8 +270,8 @@ def test_broken_bytes_give_documented_errors_only(seed):
     data = bytearray(one_page(b"q BT /F1 9 Tf (some text) Tj ET 1 2 3 4 re f Q", compress=bool(seed % 2)))
     for _ in range(20):
         data[r.randrange(len(data))] = r.randrange(256)
-    for kind in reader.SCHEMAS:
-        reader.decode_file(0, "x", bytes(data), kind)
+    made = [kind for kind, _ in reader.decode_file(0, "x", bytes(data), tuple(reader.SCHEMAS))]
+    assert made.count("documents") == 1
 
 
 def test_matrix():
@@ -303,6 +303,113 @@ def test_page_set(spark, table_file, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 8
 
 
+def two_pages(second: bytes, more: bytes = b"") -> bytes:
+    """A file whose second page has the given content stream and entries."""
+    page = b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 200 300] /Resources << /Font << /F1 7 0 R >> >> /Contents %d 0 R %s >>"
+    shown = b"BT /F1 9 Tf 20 100 Td (hello) Tj ET"
+    return writer.build({
+        1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Count 2 /Kids [3 0 R 4 0 R] >>",
+        3: page % (5, b""), 4: page % (6, more), 5: writer.stream(shown), 6: second,
+        7: b"<< /Type /Font /Subtype /Type1 /BaseFont /Courier >>",
+    })
+
+
+def test_a_broken_page_costs_only_itself(spark):
+    broken = two_pages(writer.stream(b"not {valid} ascii85 \xff", b"/Filter /ASCII85Decode"))
+    files = reader.from_bytes(spark, {1: broken, 2: two_pages(writer.stream(b"BT /F1 9 Tf 1 1 Td (two) Tj ET"))})
+    made = {k: reader.of_kind(reader.decode_kinds(files), k).collect() for k in ("documents", "pages", "chars")}
+    assert sorted((r.doc_id, r.page_number, r.error is None) for r in made["pages"]) == [(1, 1, True), (1, 2, False), (2, 1, True), (2, 2, True)]
+    assert {d: "".join(r.text for r in made["chars"] if r.doc_id == d) for d in (1, 2)} == {1: "hello", 2: "hellotwo"}
+    assert {r.doc_id: (r.page_count, r.error and r.error.name) for r in made["documents"]} == {1: (2, "PageError"), 2: (2, None)}
+    assert reader.decode(files, "chars").count() == 13
+    with pytest.raises(Exception, match="ASCII85"):
+        reader.decode(files, "chars", mode="FAILFAST").count()
+
+
+def test_a_broken_annotation_costs_only_itself(spark):
+    notes = b"/Annots [<< /Subtype /Link /Rect [1 2 3 4] /A << /URI (http://a) >> >> << /Subtype /Text /Rect [1 2 3 4] /Contents <feff00> /T 5 0 R >> << /Rect [1 2 3 4] /A << /URI <fffe0> >> >>]"
+    files = reader.from_bytes(spark, {1: two_pages(writer.stream(b""), notes)})
+    assert reader.decode(files, "annots").filter("uri = 'http://a'").count() == 1
+    from platen.sources.pdf import document
+
+    class Broken(document.Document):
+        def _annot(self, a, page):
+            return super()._annot(a, page) if self.objects.get(a).get("Subtype") == "Link" else {}["nothing"]
+
+    rows = list(Broken(two_pages(writer.stream(b""), notes)).run(("annots",)))
+    assert rows[1][0]["annots_error"].count("KeyError") == 2 and len(rows[1][1]["annots"]) == 1 and rows[0][0]["annots_error"] is None
+
+
+def test_bounds_raise_and_cut_nothing(monkeypatch):
+    from platen.sources.pdf import errors, filters
+
+    monkeypatch.setattr(filters, "MOST_BYTES", 1000)
+    assert filters.flate(zlib.compress(b"x" * 1000)) == b"x" * 1000
+    for f, data in ((filters.flate, zlib.compress(b"x" * 1001)), (filters.run_length, bytes([129, 65]) * 9 + b"\x80")):
+        with pytest.raises(errors.PdfError, match="over 1000"):
+            f(data)
+    rows = list(reader.decode_file(0, "x", two_pages(writer.stream(b" " * 5000, compress=True)), ("pages", "chars")))
+    assert [r["error"] is None for k, r in rows if k == "pages"] == [True, False] and sum(k == "chars" for k, _ in rows) == 5
+
+
+def test_document_ids_are_64_bit_and_the_same_in_both_readers(spark, table_file, tmp_path):
+    paths = ["file:/data/é.pdf", "s3a://bucket/" + "x" * 100 + ".pdf", ""]
+    got = spark.createDataFrame([(p,) for p in paths], "path string").select(F.xxhash64("path").alias("h")).collect()
+    assert [r.h for r in got] == [reader.doc_id_of(p) for p in paths]
+    same = ("codding", "gnu")  # two texts of one crc32
+    assert zlib.crc32(same[0].encode()) == zlib.crc32(same[1].encode()) and reader.doc_id_of(same[0]) != reader.doc_id_of(same[1])
+    (tmp_path / "sub").mkdir()
+    for name in ("a.pdf", "sub/b.PDF", "c.txt"):
+        (tmp_path / name).write_bytes(table_file)
+    reader.register(spark)
+    ids = lambda path: {r.doc_id for r in spark.read.format("pdf").option("kind", "documents").load(path).collect()}
+    both = {r.doc_id for r in reader.files(spark, [f"{tmp_path}/a.pdf", f"{tmp_path}/sub/b.PDF"]).collect()}
+    assert ids(str(tmp_path)) == both and ids(f"file://{tmp_path}") == both and ids(f"{tmp_path}/*.pdf") <= both and len(ids(f"{tmp_path}/a.pdf")) == 1
+    nested = spark.read.format("pdf").option("kind", "documents").load(str(tmp_path)).select("metadata", "error", "path").collect()
+    assert all(r.error is None for r in nested)
+
+
+def test_fetching_a_missing_file_says_so():
+    import http.server
+    import threading
+
+    class Nothing(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_error(404, "Not Found")
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Nothing)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    with pytest.raises(OSError, match="Failed to fetch PDF: 404 Not Found"):
+        reader._get(f"http://127.0.0.1:{server.server_port}/x.pdf", 5)
+    server.shutdown()
+
+
+def test_one_pass_predicates_and_explicit_objects(spark, table_file, tmp_path):
+    pages = PageSet.open(spark, {7: table_file}, store=str(tmp_path / "store"))
+    assert pages.chars.count() == 4 and pages.objects.count() == 8 and pages.extract_text().first().text == "a b\nc d"
+    lazy = PageSet.open(spark, {7: table_file})
+    assert sorted(map(str, lazy.objects.select("object_type", "text", "x0").collect())) == sorted(map(str, pages.objects.select("object_type", "text", "x0").collect()))
+    assert pages.filter(lambda o: o["object_type"] == "char" and o["text"] in "ad" or o.get("stroke")).objects.count() == 6
+    usual = pages.find_tables().orderBy("x0", "top").collect()
+    by = {"vertical_strategy": "explicit", "horizontal_strategy": "explicit"}
+    as_frames = pages.find_tables(**by, explicit_vertical_lines=pages.vertical_edges, explicit_horizontal_lines=pages.horizontal_edges)
+    assert as_frames.orderBy("x0", "top").collect() == usual and len(usual) == 4
+    as_rows = pages.find_tables(**by, explicit_vertical_lines=pages.vertical_edges.collect(), explicit_horizontal_lines=[r.asDict() for r in pages.horizontal_edges.collect()])
+    assert as_rows.orderBy("x0", "top").collect() == usual
+    line = lambda x: {"object_type": "line", "x0": x, "x1": x, "top": 40, "bottom": 80}
+    box = {"object_type": "rect", "x0": 20, "x1": 140, "top": 40, "bottom": 80}
+    mixed = pages.find_tables(**by, explicit_vertical_lines=[line(20), line(80), 140], explicit_horizontal_lines=[box, 60.0])
+    assert [(r.x0, r.top, r.x1, r.bottom) for r in mixed.orderBy("x0", "top").collect()] == [(20, 40, 80, 60), (20, 60, 80, 80), (80, 40, 140, 60), (80, 60, 140, 80)]
+    curve = {"object_type": "curve", "x0": 20, "x1": 140, "top": 40, "bottom": 80, "pts": [(20, 40), (140, 40), (140, 80), (20, 80)], "closepath": True, "page_number": 1}
+    assert pages.find_tables(**by, explicit_vertical_lines=[curve, 80], explicit_horizontal_lines=[curve, 60]).count() == 4
+    assert pages.find_tables(**by, explicit_vertical_lines=[curve | {"page_number": 2}, 80], explicit_horizontal_lines=[curve, 60]).count() == 0
+    with pytest.raises(ValueError, match="two lines"):
+        pages.find_tables(**by, explicit_vertical_lines=pages.vertical_edges.limit(1), explicit_horizontal_lines=[1, 2])
+
+
 def test_files_data_source_and_stream(spark, table_file, tmp_path):
     from platen.streaming.watch import stream_objects
 
