@@ -59,11 +59,32 @@ def outside(df: DataFrame, box) -> DataFrame:
     return df.filter(~overlap(tuple(_columns(box))))
 
 
+#: Side of the squares of the grid that brings boxes of a page together.
+GRID = 50.0
+
+
+def _squares(low, high) -> Column:
+    """Numbers of the grid's rows or columns from one place to another."""
+    first, last = F.floor(low / GRID), F.floor(high / GRID)
+    return F.sequence(first, F.greatest(first, last))
+
+
+def on_grid(df: DataFrame, box: tuple = ("x0", "top", "x1", "bottom")) -> DataFrame:
+    """``df`` once for each square that the box touches, with the square's column and row as __gx and __gy."""
+    x0, top, x1, bottom = _columns(box)
+    return df.withColumn("__gx", F.explode(_squares(x0, x1))).withColumn("__gy", F.explode(_squares(top, bottom)))
+
+
 def within_any(df: DataFrame, boxes: DataFrame, inside: bool = True) -> DataFrame:
-    """Rows that overlap (or not) any box of their page: a semi (anti) join on the page with the overlap as residual."""
-    b = boxes.select(*PAGE, *(F.col(c).alias(f"b_{c}") for c in ("x0", "top", "x1", "bottom")))
-    on = [df[k] == b[k] for k in PAGE] + [overlap(tuple(b[f"b_{c}"] for c in ("x0", "top", "x1", "bottom")), tuple(df[c] for c in ("x0", "top", "x1", "bottom")))]
-    return df.join(b, on, "left_semi" if inside else "left_anti")
+    """Rows that overlap (or not) any box of their page. Rows and boxes meet by page and square of the grid, so a dense page
+    costs what is near each other; a row is told from the others by page, object type and seq."""
+    sides = ("x0", "top", "x1", "bottom")
+    keys = [*PAGE, *(k for k in ("object_type", "seq") if k in df.columns)]
+    b = on_grid(boxes.select(*PAGE, *(F.col(c).alias(f"b_{c}") for c in sides)), tuple(f"b_{c}" for c in sides))
+    near = on_grid(df.select(*keys, *sides)).join(b, [*PAGE, "__gx", "__gy"])
+    hits = near.filter(overlap(tuple(f"b_{c}" for c in sides))).select(*keys).distinct()
+    on = [df[k].eqNullSafe(hits[k]) if k not in PAGE else df[k] == hits[k] for k in keys]
+    return df.join(hits, on, "left_semi" if inside else "left_anti")
 
 
 def bounding_box(df: DataFrame, by: list = PAGE) -> DataFrame:
@@ -105,12 +126,13 @@ def slice_rows(df: DataFrame, start: int | None = None, stop: int | None = None,
 
 def dedupe(chars: DataFrame, tolerance: float = 1, extra_attrs: tuple = ("fontname", "size")) -> DataFrame:
     """Characters without those that repeat another's text and attributes within the tolerance, down and then across;
-    the first by (doctop, x0) of each cluster stays."""
+    the first by (doctop, x0) of each cluster stays. Only keys and places go through the sorts."""
     keys = [*PAGE, "upright", "text", *(a for a in extra_attrs if a in chars.columns)]
-    df = with_cluster(chars, "doctop", tolerance, keys, "__down")
+    df = chars.select(*keys, "doctop", "x0", "seq").repartition(*PAGE)
+    df = with_cluster(df, "doctop", tolerance, keys, "__down")
     df = with_cluster(df, "x0", tolerance, [*keys, "__down"], "__across")
-    first = F.row_number().over(Window.partitionBy(*keys, "__down", "__across").orderBy("doctop", "x0", "seq"))
-    return df.withColumn("__first", first).filter("__first = 1").drop("__down", "__across", "__first")
+    first = df.groupBy(*keys, "__down", "__across").agg(F.min(F.struct("doctop", "x0", "seq"))["seq"].alias("seq"))
+    return chars.join(first.select(*PAGE, "seq"), [*PAGE, "seq"], "left_semi")
 
 
 def doctop_offsets(pages: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import holds_midpoint
 from ..schema import PAGE
+from .boxes import GRID, on_grid
 from .cluster import with_cluster
 from .edges import filter_edges, line_edges, merge_edges, object_edges, page_edges, words_to_edges_h, words_to_edges_v
 from .words import WordOptions, extract_words
@@ -154,7 +155,9 @@ def find_cells(edges: np.ndarray, x_tolerance: float, y_tolerance: float) -> lis
     left, right = np.array([a for _, a, _ in levels]), np.array([b for _, _, b in levels])
     points: dict[tuple, tuple[set, set]] = defaultdict(lambda: (set(), set()))
     for i, (x, top, bottom) in enumerate(uprights):
-        for j in np.flatnonzero((ys >= top - y_tolerance) & (ys <= bottom + y_tolerance) & (left - x_tolerance <= x) & (x <= right + x_tolerance)).tolist():
+        low, high = np.searchsorted(ys, top - y_tolerance, "left"), np.searchsorted(ys, bottom + y_tolerance, "right")
+        near = slice(low, high)  # levels are in the order of their heights
+        for j in (np.flatnonzero((left[near] - x_tolerance <= x) & (x <= right[near] + x_tolerance)) + low).tolist():
             v, h = points[x, levels[j][0]]
             v.add(i)
             h.add(j)
@@ -250,10 +253,12 @@ def axis_groups(cells: DataFrame, axis: str = "row") -> DataFrame:
 
 
 def chars_in_cells(chars: DataFrame, cells: DataFrame) -> DataFrame:
-    """Characters with the cell that holds their middle: a join on the page with the box as residual."""
-    c = cells.select(*PAGE, "table_id", *(F.col(k).alias(f"c_{k}") for k in ("x0", "top", "x1", "bottom")))
-    on = [chars[k] == c[k] for k in PAGE] + [holds_midpoint(tuple(c[f"c_{k}"] for k in ("x0", "top", "x1", "bottom")))]
-    return chars.join(c, on).drop(c["doc_id"], c["page_number"])
+    """Characters with the cell that holds their middle: a join on the page and the square of the grid that the middle is
+    in, with the box as residual."""
+    sides = tuple(f"c_{k}" for k in ("x0", "top", "x1", "bottom"))
+    c = on_grid(cells.select(*PAGE, "table_id", *(F.col(k).alias(f"c_{k}") for k in ("x0", "top", "x1", "bottom"))), sides)
+    middle = {"__gx": F.floor((F.col("x0") + F.col("x1")) / 2 / GRID), "__gy": F.floor((F.col("top") + F.col("bottom")) / 2 / GRID)}
+    return chars.withColumns(middle).join(c, [*PAGE, "__gx", "__gy"]).filter(holds_midpoint(tuple(F.col(k) for k in sides))).drop("__gx", "__gy")
 
 
 def cell_texts(chars: DataFrame, cells: DataFrame, o: WordOptions = WordOptions()) -> DataFrame:

@@ -268,7 +268,7 @@ def a11_columns(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import decoding  # noqa: F401  the queries on PDF files
+    from . import decoding, made_files, made_pages  # noqa: F401  the queries on PDF files, and on irregular pages
 
     return dict(_CATALOGUE)
 

@@ -4,47 +4,25 @@ from __future__ import annotations
 
 import re
 
-CHARS = """
-lns AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS ln FROM documents),
-cs AS (SELECT doc_id, ln, unnest(string_split(line, '')) AS text, generate_subscripts(string_split(line, ''), 1) - 1 AS ci FROM lns WHERE line <> ''),
-chars AS (SELECT doc_id, ln, ci, text, x0, x0 + 6.0 AS x1, ln * 12.0::DOUBLE AS top, ln * 12.0::DOUBLE + 10 AS bottom
-  FROM (SELECT *, ci * 6.0::DOUBLE + CASE WHEN (doc_id * 31 + ln * 7 + ci) % 97 = 0 THEN 4 ELSE 0 END AS x0 FROM cs))"""
-BLANK = "[\\t\\n\\x0B\\f\\r \\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]"
+from .made_sql import MADE
+from .pages_base import CELLS, CHARS, SUMS, WORDS, words
+from .pages_sql import PAGES
 
-
-def words(x_tolerance: str = "3", punctuation: bool = False, source: str = CHARS) -> str:
-    """CTEs up to words(doc_id, ln, w, text, x0, x1, top, bottom)."""
-    alone = "text IN ('!','\"','#','$','%','&','''','(',')','*','+',',','-','.','/',':',';','<','=','>','?','@','[','\\','\\\\',']','^','_','`','{','|','}','~')" if punctuation else "false"
-    return f"""{source},
-flags AS (SELECT *, regexp_matches(text, '^{BLANK}$') AS blank, {alone} AS alone FROM chars),
-prevs AS (SELECT *, lag(blank) OVER l AS pb, lag(alone) OVER l AS pa, lag(x0) OVER l AS px0, lag(x1) OVER l AS px1 FROM flags WINDOW l AS (PARTITION BY doc_id, ln ORDER BY x0, ci)),
-marks AS (SELECT *, CASE WHEN coalesce(pb, true) OR alone OR pa OR x0 < px0 OR x0 > px1 + {x_tolerance} THEN 1 ELSE 0 END AS new FROM prevs),
-nums AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, ln ORDER BY x0, ci) AS w FROM marks),
-words AS (SELECT doc_id, ln, w, string_agg(text, '' ORDER BY x0, ci) AS text, min(x0) AS x0, max(x1) AS x1, min(top) AS top, max(bottom) AS bottom FROM nums WHERE NOT blank GROUP BY ALL)"""
-
-
-_SUMS = "count(*) AS n, sum(x0) AS x0, sum(x1) AS x1, sum(top) AS top, sum(bottom) AS bottom"
-_WORDS = f"SELECT doc_id, {_SUMS}, md5(string_agg(text, ' ' ORDER BY ln, w)) AS words FROM words GROUP BY doc_id"
 BOX = (60.0, 12.0, 600.0, 118.0)
 _OVERLAP = "least(x1, 600) >= greatest(x0, 60) AND least(bottom, 118) >= greatest(top, 12) AND least(bottom, 118) - greatest(top, 12) + least(x1, 600) - greatest(x0, 60) > 0"
-CELLS = """
-lines AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_suppkey) - 1 AS r,
-  [l_partkey::VARCHAR, l_quantity::INT::VARCHAR, l_returnflag, l_linestatus] AS v FROM lineitem),
-pages AS (SELECT doc_id, count(*) AS n FROM lines GROUP BY doc_id)"""
-
 QUERIES = {
     "p2_crop": f"""WITH {CHARS}, k AS (SELECT doc_id, greatest(x0, 60) AS x0, least(x1, 600) AS x1, greatest(top, 12) AS top, least(bottom, 118) AS bottom, top AS was, bottom AS wasb FROM chars WHERE {_OVERLAP})
-SELECT doc_id, {_SUMS}, sum(x1 - x0) AS width, sum(bottom - top) AS height, sum(top) AS doctop, sum(100000 - wasb - (bottom - wasb)) AS y0, sum(100000 - was - (top - was)) AS y1 FROM k GROUP BY doc_id""",
-    "p3_within": f"WITH {CHARS} SELECT doc_id, {_SUMS} FROM chars WHERE x0 >= 60 AND x1 <= 600 AND top >= 12 AND bottom <= 118 GROUP BY doc_id",
-    "p4_outside": f"WITH {CHARS} SELECT doc_id, {_SUMS} FROM chars WHERE NOT ({_OVERLAP}) GROUP BY doc_id",
+SELECT doc_id, {SUMS}, sum(x1 - x0) AS width, sum(bottom - top) AS height, sum(top) AS doctop, sum(100000 - wasb - (bottom - wasb)) AS y0, sum(100000 - was - (top - was)) AS y1 FROM k GROUP BY doc_id""",
+    "p3_within": f"WITH {CHARS} SELECT doc_id, {SUMS} FROM chars WHERE x0 >= 60 AND x1 <= 600 AND top >= 12 AND bottom <= 118 GROUP BY doc_id",
+    "p4_outside": f"WITH {CHARS} SELECT doc_id, {SUMS} FROM chars WHERE NOT ({_OVERLAP}) GROUP BY doc_id",
     "p10_slice": f"WITH {words()}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ln DESC, w DESC) AS back FROM words) SELECT doc_id, count(*) AS n, string_agg(text, ' ' ORDER BY ln, w) AS words FROM o WHERE back <= 5 GROUP BY doc_id",
-    "t4_words": f"WITH {words()} {_WORDS}",
-    "t4_punct": f"WITH {words(punctuation=True)} {_WORDS}",
-    "t4_ratio": f"WITH {words('4.5')} {_WORDS}",
+    "t4_words": f"WITH {words()} {WORDS}",
+    "t4_punct": f"WITH {words(punctuation=True)} {WORDS}",
+    "t4_ratio": f"WITH {words('4.5')} {WORDS}",
     "t10_text": f"WITH {words()}, l AS (SELECT doc_id, ln, string_agg(text, ' ' ORDER BY w) AS t FROM words GROUP BY ALL) SELECT doc_id, string_agg(t, chr(10) ORDER BY ln) AS text FROM l GROUP BY doc_id",
     "t13_text_lines": f"WITH {words()} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ln) - 1 AS line_seq, string_agg(text, ' ' ORDER BY w) AS text, min(x0) AS x0, min(top) AS top, max(x1) AS x1, max(bottom) AS bottom FROM words GROUP BY doc_id, ln",
     "t14_search": f"WITH {words()} SELECT doc_id, sum((length(text) - length(replace(text, 'the', ''))) // 3)::BIGINT AS n FROM words GROUP BY doc_id HAVING sum((length(text) - length(replace(text, 'the', ''))) // 3) > 0",
-    "a12_dedupe": f"WITH {CHARS} SELECT doc_id, {_SUMS} FROM chars GROUP BY doc_id",
+    "a12_dedupe": f"WITH {CHARS} SELECT doc_id, {SUMS} FROM chars GROUP BY doc_id",
     "a13_bounding_box": f"WITH {CHARS} SELECT doc_id, min(x0) AS x0, min(top) AS top, max(x1) AS x1, max(bottom) AS bottom FROM chars GROUP BY doc_id",
     "a7_text_edges_h": f"WITH {words()} SELECT doc_id, 2 * count(DISTINCT ln) AS n, min(x0) AS x0, max(x1) AS x1, (SELECT sum(y) FROM (SELECT unnest([min(q.top), max(q.bottom)]) AS y FROM words q WHERE q.doc_id = w.doc_id GROUP BY q.ln)) AS top FROM words w GROUP BY doc_id",
     "a1_cluster": """WITH f AS (SELECT l_partkey, l_quantity AS x, CASE WHEN l_quantity > lag(l_quantity) OVER (PARTITION BY l_partkey ORDER BY l_quantity) + 2 THEN 1 ELSE 0 END AS new FROM lineitem),
@@ -76,9 +54,9 @@ UNION ALL SELECT doc_id, 'v', 5, 20.0 * n * 5, 600.0 FROM pages""",
     "f7_alpha": """WITH RECURSIVE a AS (SELECT o_orderkey AS doc_id, o_orderkey AS rest, '' AS s FROM orders UNION ALL SELECT doc_id, (rest - 1) // 26, chr((97 + (rest - 1) % 26)::INT) || s FROM a WHERE rest > 0) SELECT doc_id, s AS alpha FROM a WHERE rest = 0""",
     "f6_roman": """SELECT o_orderkey AS doc_id, ['', 'm', 'mm', 'mmm'][k // 1000 + 1] || ['', 'c', 'cc', 'ccc', 'cd', 'd', 'dc', 'dcc', 'dccc', 'cm'][k // 100 % 10 + 1] || ['', 'x', 'xx', 'xxx', 'xl', 'l', 'lx', 'lxx', 'lxxx', 'xc'][k // 10 % 10 + 1] || ['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'][k % 10 + 1] AS roman
 FROM (SELECT o_orderkey, o_orderkey % 3999 + 1 AS k FROM orders)""",
-    "p1_filter": f"WITH {CHARS} SELECT doc_id, {_SUMS} FROM chars WHERE text BETWEEN 'A' AND 'Z' GROUP BY doc_id",
+    "p1_filter": f"WITH {CHARS} SELECT doc_id, {SUMS} FROM chars WHERE text BETWEEN 'A' AND 'Z' GROUP BY doc_id",
     "p11_resize": f"""WITH {CELLS}, m AS (SELECT doc_id, c * 60.0 + 7 AS x0, c * 60.0 + 72 AS x1, r * 20.0 + 1 AS top, r * 20.0 + 23 AS bottom FROM lines, (SELECT unnest([0, 1, 2, 3]) AS c))
-SELECT doc_id, {_SUMS}, sum(x1 - x0) AS width, sum(bottom - top) AS height, sum(top) AS doctop, sum(100000 - bottom) AS y0, sum(100000 - top) AS y1 FROM m GROUP BY doc_id""",
+SELECT doc_id, {SUMS}, sum(x1 - x0) AS width, sum(bottom - top) AS height, sum(top) AS doctop, sum(100000 - bottom) AS y0, sum(100000 - top) AS y1 FROM m GROUP BY doc_id""",
     "j9_outside_boxes": f"WITH {CELLS} SELECT doc_id, sum(length(v[1]) + length(v[2]) + length(v[3]) + length(v[4]))::BIGINT AS n FROM lines WHERE r > 0 GROUP BY doc_id",
     "t8_ligatures": f"WITH {words()} SELECT doc_id, count(*) AS n, md5(string_agg(replace(text, 'q', 'fi'), ' ' ORDER BY ln, w)) AS words FROM words GROUP BY doc_id",
     "t14_regex": f"WITH {words()}, d AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS m FROM words) SELECT doc_id, count(*) AS n, sum(length(m))::BIGINT AS digits FROM d GROUP BY doc_id",
@@ -92,5 +70,6 @@ UNION ALL SELECT s_suppkey, 'line', false, true, 10.0, 290.0, 90.0, 290.0, 10.0,
 SELECT doc_id, length(replace(t, chr(10), ''))::BIGINT AS n, 1 + ((length(t) - length(replace(t, chr(10), ''))) // 60) AS pages FROM t""",
 }
 
+QUERIES |= MADE | PAGES
 #: Numbers such as 60.0 are meant as doubles, not decimals.
 QUERIES = {k: re.sub(r"\b(\d+)\.0\b", r"\1e0", v) for k, v in QUERIES.items()}
