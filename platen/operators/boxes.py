@@ -126,7 +126,8 @@ def slice_rows(df: DataFrame, start: int | None = None, stop: int | None = None,
 
 def dedupe(chars: DataFrame, tolerance: float = 1, extra_attrs: tuple = ("fontname", "size")) -> DataFrame:
     """Characters without those that repeat another's text and attributes within the tolerance, down and then across;
-    the first by (doctop, x0) of each cluster stays. Only keys and places go through the sorts."""
+    the first by (doctop, x0) of each cluster stays. Only keys and places go through the sorts; a page's seq numbers are
+    unique."""
     keys = [*PAGE, "upright", "text", *(a for a in extra_attrs if a in chars.columns)]
     df = chars.select(*keys, "doctop", "x0", "seq").repartition(*PAGE)
     df = with_cluster(df, "doctop", tolerance, keys, "__down")

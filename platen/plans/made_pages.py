@@ -121,7 +121,7 @@ def a12_far_copies(spark, sf_dir):
     chars = _even_chars(spark, sf_dir)
 
     def again(every: int, by: float, font: str) -> DataFrame:
-        moved = {c: F.col(c) + by for c in ("x0", "x1")} | {"seq": F.col("seq") + 2**61 + every, "fontname": F.lit(font)}
+        moved = {c: F.col(c) + by for c in ("x0", "x1")} | {"seq": F.col("seq") + every * 2**58, "fontname": F.lit(font)}
         return chars.filter(f"seq % {every} = 0").withColumns(moved)
 
     every = chars.unionByName(again(7, 0.9, "F")).unionByName(again(11, 2.5, "F")).unionByName(again(13, 0.0, "G"))

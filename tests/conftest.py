@@ -20,16 +20,23 @@ def spark():
     session.stop()
 
 
-@pytest.fixture(scope="session")
-def duck():
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def database(folder):
     import duckdb
 
     con = duckdb.connect()
-    for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     return con
 
 
+@pytest.fixture(scope="session")
+def duck():
+    return database(DATA)
+
+
 def plain(value):
     """A value in a form that both engines share."""
     if value is None or value != value:
@@ -49,8 +56,8 @@ def rows_of(frame):
 def same(spark, duck):
     """Compares a query with its SQL."""
 
-    def check(query, sql):
-        got, expected = query(spark, DATA).toPandas(), duck.execute(sql).fetchdf()
+    def check(query, sql, folder=DATA):
+        got, expected = query(spark, folder).toPandas(), (duck if folder == DATA else database(folder)).execute(sql).fetchdf()
         assert sorted(got.columns) == sorted(expected.columns)
         assert rows_of(got) == rows_of(expected)
 

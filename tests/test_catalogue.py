@@ -28,3 +28,9 @@ def test_queries_are_listed_without_a_session():
 def test_flow_covers_all_characters(spark):
     out = queries.queries()["l4_flow"](spark, "/root/testdata/sf0.001").filter("object_type = 'textlinehorizontal'")
     assert out.count() == 200
+
+
+@pytest.mark.parametrize("name", ["a1_cluster", "a4_snap", "a5_join_edges"])
+def test_ties_at_the_next_scale(name, same):
+    """Ties decide more there."""
+    same(queries.queries()[name], sql.QUERIES[name], "/root/testdata/sf0.01")

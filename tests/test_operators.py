@@ -183,3 +183,29 @@ def test_lines_of_any_length_keep_their_characters(spark, tmp_path):
     assert got == {0: "P: " + "a" * 65_540, 1: "P: bc", 2: "", 3: "P: d"}
     chars = bridge.text_chars(bridge.table(spark, str(tmp_path), "documents")).orderBy("seq").select("text", "top").collect()
     assert "".join(c.text for c in chars) == text.replace("\n", "") and [c.top for c in chars] == sorted(c.top for c in chars)
+
+
+def test_page_operators_on_dense_pages(spark):
+    """Hundreds of boxes on one page, against plain loops."""
+    import random
+
+    r = random.Random(5)
+    some = lambda n, size: [(0, 1, i, x := r.randrange(0, 4000) / 8, t := r.randrange(-800, 4000) / 8, x + r.randrange(0, size) / 8, t + r.randrange(0, size) / 8) for i in range(n)]
+    schema = "doc_id long, page_number int, seq int, x0 double, top double, x1 double, bottom double"
+    rows, others = some(400, 200), some(60, 900)
+    overlaps = lambda a, b: (w := min(a[5], b[5]) - max(a[3], b[3])) >= 0 and (h := min(a[6], b[6]) - max(a[4], b[4])) >= 0 and w + h > 0
+    df, by = spark.createDataFrame(rows, schema), spark.createDataFrame(others, schema)
+    expected = {a[2] for a in rows if any(overlaps(a, b) for b in others)}
+    assert {x.seq for x in boxes.within_any(df, by).collect()} == expected and 0 < len(expected) < 400
+    assert {x.seq for x in boxes.within_any(df, by, False).collect()} == set(range(400)) - expected
+    cells = by.withColumn("table_id", F.lit(0))
+    held = {(a[2], b[3], b[4]) for a in rows for b in others if b[3] <= (a[3] + a[5]) / 2 < b[5] and b[4] <= (a[4] + a[6]) / 2 < b[6]}
+    assert {(x.seq, x.c_x0, x.c_top) for x in tables.chars_in_cells(df, cells).collect()} == held
+
+
+def test_lines_by_words_equal_lines_by_search(spark):
+    c = chars(spark, [(t, 6.0 * i, 6.0 * i + 6, 12.0 * k) for k, line in enumerate(["one two ", "", " three", "fi ve  six"]) for i, t in enumerate(line)])
+    found = text.search(c, re.compile(r" *([^\n]+?) *(?:\n|\Z)"), main_group=1).orderBy("match_seq").collect()
+    lines = text.extract_text_lines(c, return_chars=True).orderBy("line_seq").collect()
+    assert [(x.text, x.x0, x.top, x.x1, x.bottom) for x in lines] == [(x.text, x.x0, x.top, x.x1, x.bottom) for x in found]
+    assert [x.text for x in lines] == ["one two", "three", "fi ve six"] and [len(x.char_seqs) for x in lines] == [6, 5, 7]
