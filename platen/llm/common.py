@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import shutil
 import tempfile
 import uuid
 
@@ -31,7 +33,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not where:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="platen-")
+        folder = tempfile.mkdtemp(prefix="platen-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        where = "file://" + folder
         spark.sparkContext.setCheckpointDir(where)
     return where
 
