@@ -21,8 +21,7 @@ def _spread(df: DataFrame, edges: Column) -> DataFrame:
     return out.select(*PAGE, "seq", "part", "object_type", "orientation", *(clean(c).alias(c) for c in ("x0", "x1", "top", "bottom", "doctop", "width", "height")))
 
 
-def rect_edges(rects: DataFrame) -> DataFrame:
-    """Top, bottom, left and right of each rectangle."""
+def _rect() -> Column:
     kind, zero = F.lit("rect_edge"), F.lit(0.0)
     x0, x1, top, bottom, doctop, width, height = (F.col(c) for c in ("x0", "x1", "top", "bottom", "doctop", "width", "height"))
     down = top + height
@@ -30,21 +29,18 @@ def rect_edges(rects: DataFrame) -> DataFrame:
     def make(orientation, x0, x1, top, bottom, doctop, width, height):
         return _edge(object_type=kind, orientation=F.lit(orientation), x0=x0, x1=x1, top=top, bottom=bottom, doctop=doctop, width=width, height=height)
 
-    return _spread(rects, F.array(
+    return F.array(
         make("h", x0, x1, top, top, doctop, width, zero), make("h", x0, x1, down, bottom, doctop + height, width, zero),
         make("v", x0, x0, top, bottom, doctop, zero, height), make("v", x1, x1, top, bottom, doctop, zero, height),
-    ))
+    )
 
 
-def curve_edges(curves: DataFrame) -> DataFrame:
-    """One edge between each two points that follow each other, and back to the first of a closed curve. Slanted edges
-    have no orientation."""
+def _curve() -> Column:
     n = F.size("pts")
     first, last = F.get("pts", F.lit(0)), F.get("pts", n - 1)
     open_end = F.col("closepath") & ((n == 1) | ((n > 1) & ((first["x"] != last["x"]) | (first["y"] != last["y"]))))
     points = F.when(F.coalesce(open_end, F.lit(False)), F.concat(F.col("pts"), F.slice("pts", 1, 1))).otherwise(F.col("pts"))
-    df = curves.filter("size(pts) > 0").withColumn("__p", points)
-    pairs = F.arrays_zip(F.slice("__p", F.lit(1), F.size("__p") - 1).alias("a"), F.slice("__p", F.lit(2), F.size("__p") - 1).alias("b"))
+    pairs = F.arrays_zip(F.slice(points, F.lit(1), F.size(points) - 1).alias("a"), F.slice(points, F.lit(2), F.size(points) - 1).alias("b"))
 
     def one(p):
         a, b = p["a"], p["b"]
@@ -52,30 +48,49 @@ def curve_edges(curves: DataFrame) -> DataFrame:
         way = F.when(a["x"] == b["x"], "v").when(a["y"] == b["y"], "h")
         return _edge(object_type=F.lit("curve_edge"), orientation=way, x0=x0, x1=x1, top=top, bottom=bottom, doctop=top + (F.col("doctop") - F.col("top")), width=x1 - x0, height=bottom - top)
 
-    return _spread(df, F.transform(pairs, one))
+    return F.when(n > 0, F.transform(pairs, one))
+
+
+def _own(orientation: Column) -> Column:
+    """The row itself as an edge."""
+    return F.array(_edge(object_type=F.col("object_type"), orientation=orientation, **{c: F.col(c) for c in ("x0", "x1", "top", "bottom", "doctop", "width", "height")}))
+
+
+def _line() -> Column:
+    return _own(F.when(F.col("top") == F.col("bottom"), "h").otherwise("v"))
+
+
+def rect_edges(rects: DataFrame) -> DataFrame:
+    """Top, bottom, left and right of each rectangle."""
+    return _spread(rects, _rect())
+
+
+def curve_edges(curves: DataFrame) -> DataFrame:
+    """One edge between each two points that follow each other, and back to the first of a closed curve. Slanted edges
+    have no orientation."""
+    return _spread(curves, _curve())
 
 
 def line_edges(lines: DataFrame) -> DataFrame:
     """Each line as an edge: level ones h, all others v; the object type stays."""
-    way = F.when(F.col("top") == F.col("bottom"), "h").otherwise("v")
-    return _spread(lines, F.array(_edge(object_type=F.col("object_type"), orientation=way, **{c: F.col(c) for c in ("x0", "x1", "top", "bottom", "doctop", "width", "height")})))
+    return _spread(lines, _line())
 
 
 def object_edges(objects: DataFrame) -> DataFrame:
     """Edges of rect, curve and line rows, with an ``edge`` number by page: rectangles, curves, lines, and then rows that
-    are edges already (of an object type with ``edge`` in it), as they are."""
-    of = lambda kind: objects.filter(F.col("object_type") == kind)
-    parts = [rect_edges(of("rect")), line_edges(of("line"))]
+    are edges already (of an object type with ``edge`` in it), as they are. One pass over the rows."""
+    kind = F.col("object_type")
+    made = F.when(kind == "rect", _rect()).when(kind == "line", _line())
+    number = F.when(kind == "rect", 0).when(kind == "curve", 1).when(kind == "line", 2).otherwise(3)
     if "pts" in objects.columns:
-        parts.insert(1, curve_edges(of("curve")))
+        made = made.when(kind == "curve", _curve())
     if "orientation" in objects.columns:
-        made = objects.filter(F.col("object_type").contains("edge"))
-        part = F.col("part") if "part" in objects.columns else F.lit(0)
-        parts.append(made.select(*PAGE, "seq", part.alias("part"), *EDGE[4:]))
-    every = parts[0].withColumn("kind", F.lit(0))
-    for k, p in enumerate(parts[1:], 1):
-        every = every.unionByName(p.withColumn("kind", F.lit(k)))
-    return every.withColumn("edge", F.row_number().over(Window.partitionBy(*PAGE).orderBy("kind", "seq", "part")) - 1).drop("kind")
+        made = made.when(kind.contains("edge"), _own(F.col("orientation")))
+    part = F.col("part") if "part" in objects.columns else F.lit(0)
+    rows = objects.withColumns({"__kind": number, "__part": part})
+    out = rows.select(*PAGE, "seq", "__kind", "__part", F.posexplode(made).alias("part", "e")).select(*PAGE, "seq", "__kind", "__part", "part", "e.*")
+    out = out.select(*PAGE, "seq", "__kind", F.when(F.col("__kind") == 3, F.col("__part")).otherwise(F.col("part")).alias("part"), "object_type", "orientation", *(clean(c).alias(c) for c in ("x0", "x1", "top", "bottom", "doctop", "width", "height")))
+    return out.withColumn("edge", F.row_number().over(Window.partitionBy(*PAGE).orderBy("__kind", "seq", "part")) - 1).drop("__kind")
 
 
 def page_edges(vectors: DataFrame) -> DataFrame:
@@ -120,7 +135,8 @@ def join_edges(edges: DataFrame, x_tolerance: float = 3, y_tolerance: float = 3)
 
 
 def merge_edges(edges: DataFrame, snap: tuple[float, float] = (3, 3), join: tuple[float, float] = (3, 3)) -> DataFrame:
-    """Snapped and then joined edges; tolerances as (x, y)."""
+    """Snapped and then joined edges; tolerances as (x, y). Dealt by page once: all that follows keeps to that."""
+    edges = edges.repartition(*PAGE)
     snapped = snap_edges(edges, *snap) if max(snap) > 0 else edges
     return join_edges(snapped, *join)
 

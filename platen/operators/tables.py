@@ -7,7 +7,7 @@ from collections import defaultdict
 from dataclasses import dataclass, field, fields
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,16 +110,16 @@ def table_edges(vectors: DataFrame, chars: DataFrame | None = None, pages: DataF
     words = None
     if "text" in (s.vertical_strategy, s.horizontal_strategy):
         words = extract_words(chars, s.text)
-    parts = []
-    for way, strategy, explicit in (("v", s.vertical_strategy, s.explicit_vertical_lines), ("h", s.horizontal_strategy, s.explicit_horizontal_lines)):
+    parts, ways = [], (("v", s.vertical_strategy, s.explicit_vertical_lines), ("h", s.horizontal_strategy, s.explicit_horizontal_lines))
+    if usual := [way for way, strategy, _ in ways if strategy == "lines"]:  # both ways in one pass
+        parts.append(filter_edges(page_edges(vectors), None, None, s.edge_min_length_prefilter).filter(F.col("orientation").isin(usual)).select(*_EDGE))
+    for way, strategy, explicit in ways:
         base = None
-        if strategy == "lines":
-            base = filter_edges(page_edges(vectors), way, None, s.edge_min_length_prefilter)
-        elif strategy == "lines_strict":
-            base = filter_edges(line_edges(vectors.filter("object_type = 'line'")), way, "line", s.edge_min_length_prefilter)
-        elif strategy == "text":
+        if strategy == "text":
             base = words_to_edges_v(words, s.min_words_vertical) if way == "v" else words_to_edges_h(words, s.min_words_horizontal)
             base = base.withColumn("seq", F.lit(0)).withColumn("part", F.lit(0))
+        elif strategy == "lines_strict":
+            base = filter_edges(line_edges(vectors.filter("object_type = 'line'")), way, "line", s.edge_min_length_prefilter)
         if base is not None:
             parts.append(base.select(*_EDGE))
         if isinstance(explicit, DataFrame):
@@ -198,36 +198,26 @@ def group_cells(cells: list[tuple]) -> list[list[tuple]]:
 
 
 def cells_of_pages(edges: DataFrame, s: TableSettings = TableSettings()) -> DataFrame:
-    """cells(doc_id, page_number, table_id, x0, top, x1, bottom). Pages are dealt to partitions and worked through in
-    batches, one page's edges at once."""
-    rows = edges.select(*PAGE, (F.col("orientation") == "v").alias("upright"), "x0", "x1", "top", "bottom")
+    """cells(doc_id, page_number, table_id, x0, top, x1, bottom). A page's edges are gathered, in the partitioning by page
+    that merge_edges began with, and pages are worked through one at a time."""
+    rows = edges.select(*PAGE, F.struct((F.col("orientation") == "v").cast("double").alias("upright"), "x0", "x1", "top", "bottom").alias("e"))
     x, y = s.intersection_x_tolerance, s.intersection_y_tolerance
+    names = ["doc_id", "page_number", "table_id", "x0", "top", "x1", "bottom"]
 
     def run(batches):
-        open_page, kept = None, []
-
-        def finish():
-            made = group_cells(find_cells(np.concatenate(kept), x, y))
-            return [(*open_page, k, *c) for k, group in enumerate(made) for c in group]
-
-        names = ["doc_id", "page_number", "table_id", "x0", "top", "x1", "bottom"]
-        for pdf in batches:
+        for batch in batches:
+            lists = batch.column("all")
+            values = np.stack([c.to_numpy(zero_copy_only=False) for c in lists.flatten().flatten()], axis=1)
+            ends = np.cumsum([0, *lists.value_lengths().to_pylist()])
             out = []
-            values = pdf[["upright", "x0", "x1", "top", "bottom"]].to_numpy(dtype=float)
-            docs, numbers = pdf["doc_id"].to_numpy(), pdf["page_number"].to_numpy()
-            cuts = np.flatnonzero((np.diff(docs) != 0) | (np.diff(numbers) != 0)) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(pdf)]):
-                page = (int(docs[a]), int(numbers[a]))
-                if page != open_page and kept:
-                    out += finish()
-                    kept = []
-                open_page = page
-                kept.append(values[a:b])
-            yield pd.DataFrame(out, columns=names)
-        if kept:
-            yield pd.DataFrame(finish(), columns=names)
-
-    return rows.repartition(*PAGE).sortWithinPartitions(*PAGE).mapInPandas(run, "doc_id long, page_number int, table_id int, x0 double, top double, x1 double, bottom double")
+            for doc, number, a, b in zip(batch.column("doc_id").to_pylist(), batch.column("page_number").to_pylist(), ends, ends[1:]):
+                for k, group in enumerate(group_cells(find_cells(values[a:b], x, y))):
+                    out += [(doc, number, k, *c) for c in group]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), *[pa.float64()] * 4))], names=names)
+
+    pages = rows.groupBy(*PAGE).agg(F.collect_list("e").alias("all"))
+    return pages.mapInArrow(run, "doc_id long, page_number int, table_id int, x0 double, top double, x1 double, bottom double")
 
 
 def find_tables(vectors: DataFrame, chars: DataFrame | None = None, pages: DataFrame | None = None, s: TableSettings = TableSettings()) -> DataFrame:

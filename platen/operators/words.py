@@ -86,7 +86,7 @@ def word_chars(chars: DataFrame, o: WordOptions = WordOptions()) -> DataFrame:
     by = [*PAGE, "run"]
     if o.use_text_flow:
         df = df.withColumn("line", F.lit(0))
-        order: list = [F.col("seq")]
+        order: list = ["seq"]
         ways = (o.char_dir, o.char_dir)
     else:
         key = _either(line_key(o.lines(True)), line_key(o.lines(False)))
@@ -94,7 +94,9 @@ def word_chars(chars: DataFrame, o: WordOptions = WordOptions()) -> DataFrame:
         df = with_cluster(df, key, _either(F.lit(slack[0]), F.lit(slack[1])), by, "line")
         ways = (o.chars(True), o.chars(False))
         keys = [char_key(w) for w in ways]
-        order = [_either(keys[0][k], keys[1][k]) for k in range(2)] + [F.col("seq")]
+        # as columns, so that all windows name the same ones and share one sort
+        df = df.withColumns({f"__o{k}": _either(keys[0][k], keys[1][k]) for k in range(2)})
+        order = ["__o0", "__o1", "seq"]
     over = Window.partitionBy(*by, "line").orderBy(*order)
     size = F.lag("size").over(over)
     x = F.lit(float(o.x_tolerance)) if o.x_tolerance_ratio is None else o.x_tolerance_ratio * size
@@ -111,7 +113,7 @@ def word_chars(chars: DataFrame, o: WordOptions = WordOptions()) -> DataFrame:
     page = Window.partitionBy(*PAGE).orderBy("run", "line", *order).rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("word_seq", F.sum("__new").over(page) - 1).filter("NOT __blank")
     direction = _either(F.lit(o.chars(True)), F.lit(o.chars(False)))
-    return df.withColumn("direction", direction).drop("__blank", "__alone", "__new")
+    return df.withColumn("direction", direction).drop("__blank", "__alone", "__new", "__o0", "__o1")
 
 
 def extract_words(chars: DataFrame, o: WordOptions = WordOptions(), return_chars: bool = False, limit: int | None = None, slice: tuple | None = None) -> DataFrame:

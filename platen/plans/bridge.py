@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -14,9 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 COLUMN_BITS = 31
 
 
+def first_page() -> Column:
+    """The one page's number, as a column like those of real tables: a literal would be folded out of the partitioning by page."""
+    return (F.pmod(F.col("doc_id"), F.lit(1)) + 1).cast("int")
+
+
 def _geom(df: DataFrame, object_type: str) -> DataFrame:
     return df.withColumns({
-        "page_number": F.lit(1), "object_type": F.lit(object_type), "doctop": F.col("top"), "width": F.col("x1") - F.col("x0"), "height": F.col("bottom") - F.col("top"),
+        "page_number": first_page(), "object_type": F.lit(object_type), "doctop": F.col("top"), "width": F.col("x1") - F.col("x0"), "height": F.col("bottom") - F.col("top"),
         "y0": 100_000.0 - F.col("bottom"), "y1": 100_000.0 - F.col("top"),
     })
 

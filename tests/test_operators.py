@@ -209,3 +209,84 @@ def test_lines_by_words_equal_lines_by_search(spark):
     lines = text.extract_text_lines(c, return_chars=True).orderBy("line_seq").collect()
     assert [(x.text, x.x0, x.top, x.x1, x.bottom) for x in lines] == [(x.text, x.x0, x.top, x.x1, x.bottom) for x in found]
     assert [x.text for x in lines] == ["one two", "three", "fi ve six"] and [len(x.char_seqs) for x in lines] == [6, 5, 7]
+
+
+def plain_order(boxes_, flow):
+    """Reading order by joining, each time, the closest pair that is left: a plain version with lists."""
+    area = lambda b: (b[2] - b[0]) * (b[3] - b[1])
+    around = lambda a, b: (min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]))
+    nodes, tree, alive = dict(enumerate(boxes_)), {}, list(range(len(boxes_)))
+    pairs = [(False, area(around(nodes[i], nodes[j])) - area(nodes[i]) - area(nodes[j]), i, j) for i in alive for j in alive if i < j]
+    while pairs:
+        late, far, i, j = pairs.pop(pairs.index(min(pairs)))
+        if i not in alive or j not in alive:
+            continue
+        box = around(nodes[i], nodes[j])
+        others = [k for k in alive if k not in (i, j)]
+        if not late and any(nodes[k][2] >= box[0] and nodes[k][0] <= box[2] and nodes[k][3] >= box[1] and nodes[k][1] <= box[3] for k in others):
+            pairs.append((True, far, i, j))
+            continue
+        new = len(nodes)
+        nodes[new], tree[new], alive = box, (i, j), [*others, new]
+        pairs += [(False, area(around(box, nodes[k])) - area(box) - area(nodes[k]), new, k) for k in others]
+
+    def walk(k):
+        if k not in tree:
+            return [k]
+        key = lambda n: (1 - flow) * nodes[n][0] - (1 + flow) * (nodes[n][1] + nodes[n][3])
+        return [x for child in sorted(tree[k], key=key) for x in walk(child)]
+
+    return walk(alive[0]) if alive else []
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_reading_order_equals_a_plain_version(seed):
+    import random
+
+    r = random.Random(seed)
+    made = [(x := r.randrange(80) / 2, y := r.randrange(120) / 2, x + r.randrange(1, 30), y + r.randrange(1, 9)) for _ in range(r.randrange(1, 16))]
+    flow = r.choice([-1.0, -0.3, 0.0, 0.5, 1.0])
+    got = layout.order_boxes([layout.Area(*b, False, str(i)) for i, b in enumerate(made)], layout.LayoutParams(boxes_flow=flow))
+    assert [int(b.text) for b in got] == plain_order(made, flow)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_lines_and_boxes_equal_a_plain_version(seed):
+    """Level text: a character joins the one before it if both overlap by half a height and are less than two widths
+    apart; a line's box takes all lines near it, and those of their boxes so far."""
+    import random
+
+    r, p = random.Random(seed), layout.LayoutParams()
+    glyphs, x, y = [], 0.0, 500.0
+    for _ in range(80):
+        x, y = (x + r.choice([5, 5, 5, 6, 9, 30]), y + r.choice([0, 0, 0, 1])) if r.random() < 0.85 else (float(r.randrange(0, 60)), y - r.choice([8, 11, 14, 40]))
+        glyphs.append((x, y, x + 5, y + r.choice([9, 10]), r.choice("ab ")))
+    runs, now = [], []
+    for k, g in enumerate(glyphs):  # a character after a break is seen with its successor only
+        if now:
+            h = glyphs[k - 1]
+            level = h[1] <= g[3] and g[1] <= h[3] and min(abs(h[1] - g[3]), abs(h[3] - g[1])) > 0.5 * min(h[3] - h[1], g[3] - g[1])
+            far = 0.0 if h[0] <= g[2] and g[0] <= h[2] else min(abs(h[0] - g[2]), abs(h[2] - g[0]))
+            if level and far < 2 * max(h[2] - h[0], g[2] - g[0]):
+                now.append(g)
+                continue
+            runs.append(now)
+        now = [g]
+    runs.append(now)
+    spaced = lambda run: "".join((" " if k and run[k - 1][2] < g[0] - 0.1 * max(g[2] - g[0], g[3] - g[1]) else "") + g[4] for k, g in enumerate(run)) + "\n"
+    lines = layout.lines_of([layout.Area(*g[:4], False, g[4]) for g in glyphs], p)
+    assert [x.text for x in lines] == [spaced(run) for run in runs]
+    some = [x for x in lines if x.text.strip()]
+    box = {}
+    for i, a in enumerate(some):
+        h, members = a.y1 - a.y0, {i: None}
+        for j, b in enumerate(some):
+            close = b.y0 <= a.y1 + h / 2 and b.y1 >= a.y0 - h / 2 and b.x0 <= a.x1 and b.x1 >= a.x0 and abs(b.y1 - b.y0 - h) <= h / 2
+            if close and min(abs(b.x0 - a.x0), abs(b.x1 - a.x1), abs(b.x0 + b.x1 - a.x0 - a.x1) / 2) <= h / 2:
+                members |= {j: None} | {k: None for k in box.get(j, ())}
+        box |= dict.fromkeys(members, tuple(members))
+    expected = []
+    for i in range(len(some)):
+        if box[i] not in expected:
+            expected.append(box[i])
+    assert [sorted(id(x) for x in b.parts) for b in layout.boxes_of(some, p)] == [sorted(id(some[k]) for k in m) for m in expected]
