@@ -215,6 +215,16 @@ def test_near_duplicates_of_odd_rows(spark):
     assert minhash.keep_one(df).columns == df.columns and minhash.keep_one(df).filter("doc_id IS NOT NULL").count() == 1
 
 
+def test_near_duplicates_of_long_texts_and_many_copies(spark):
+    long = [f"w{k * k % 9973}x{k}" for k in range(60_000)]
+    texts = [" ".join(long), " ".join(long[:-900] + ["new"] * 5), " ".join(long[::-1])] + ["one copy of many, again and again in this table"] * 300 + ["One copy of many, again and again in this table"]
+    rows = minhash.near_duplicates(docs(spark, texts)).orderBy("doc_id").collect()
+    assert [r.component_id for r in rows] == [0, 0, 2] + [3] * 301
+    assert [r.n_shingles for r in rows[:3]] == [len(shingles(t)) for t in texts[:3]]
+    both = docs(spark, texts[3:]).union(docs(spark, texts[:3]))  # each of the first ids has two texts
+    assert {(r.doc_id, r.component_id) for r in minhash.near_duplicates(both).collect()} == {(i, 0) for i in range(301)}
+
+
 def test_vectors_equal_brute_force(spark):
     r = np.random.default_rng(2)
     x = r.normal(size=(120, 16))
