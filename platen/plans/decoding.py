@@ -33,7 +33,9 @@ def s1_decode(spark, sf_dir):
 @_query
 def l4_flow(spark, sf_dir):
     chars = bridge.text_chars(bridge.table(spark, sf_dir, "documents"))
-    return layout.analyse(chars).groupBy("doc_id", "object_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+    made = layout.analyse(chars)
+    in_order = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "")
+    return made.groupBy("doc_id", "object_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"), F.md5(in_order).alias("text"))
 
 
 def _report(keys: pd.Series, names: pd.Series, nations: pd.Series) -> pd.Series:

@@ -65,6 +65,12 @@ SELECT doc_id, {SUMS} FROM chars c WHERE EXISTS (SELECT 1 FROM b WHERE b.doc_id
     # every cell's text is a line and a box of its own
     "l3_boxes": f"""WITH {CELLS}, s AS (SELECT doc_id, sum(length(v[1]) + length(v[2]) + length(v[3]) + length(v[4]) + 4)::BIGINT AS chars, 4 * count(*) AS n, count(*) * (4 * 2 + 360.0) AS x0, sum(4 * (100000 - (20.0 * r + 5))) AS y1 FROM lines GROUP BY doc_id)
 SELECT doc_id, unnest(['textlinehorizontal', 'textboxhorizontal']) AS object_type, n, chars, x0, y1 FROM s""",
+    # a shifted character has a space before it; lines without a blank or missing one between them are a box; blank lines come last
+    "l4_flow": f"""WITH {CHARS}, t AS (SELECT doc_id, ln, string_agg(CASE WHEN ci > 0 AND x0 > ci * 6 THEN ' ' || text ELSE text END, '' ORDER BY ci) || chr(10) AS t FROM chars GROUP BY ALL),
+l AS (SELECT *, regexp_matches(t, '^{BLANK}*$') AS blank FROM t),
+b AS (SELECT *, ln > coalesce(lag(ln) OVER (PARTITION BY doc_id ORDER BY ln), -9) + 1 AS opens FROM l WHERE NOT blank)
+SELECT doc_id, 'textlinehorizontal' AS object_type, count(*) AS n, sum(length(t))::BIGINT AS chars, md5(string_agg(t, '' ORDER BY blank, ln)) AS text FROM l GROUP BY doc_id
+UNION ALL SELECT doc_id, 'textboxhorizontal', count(*) FILTER (opens), sum(length(t))::BIGINT, md5(string_agg(t, '' ORDER BY ln)) FROM b GROUP BY doc_id""",
     "l4_without_flow": f"WITH {CELLS} SELECT doc_id, string_agg(array_to_string(v, chr(10) || chr(10)) || chr(10) || chr(10), '' ORDER BY r) || chr(12) AS text FROM lines GROUP BY doc_id",
     # characters 4 wide and 2 apart: a space between any two
     "l2_word_gaps": f"WITH {CELLS} SELECT doc_id, count(*) AS n, sum(2 * length(v[1]))::BIGINT AS chars FROM lines GROUP BY doc_id",
