@@ -60,7 +60,7 @@ def outside(df: DataFrame, box) -> DataFrame:
 
 
 #: Side of the squares of the grid that brings boxes of a page together.
-GRID = 50.0
+GRID = 100.0
 
 
 def _squares(low, high) -> Column:
@@ -124,16 +124,27 @@ def slice_rows(df: DataFrame, start: int | None = None, stop: int | None = None,
     return df.filter(keep).drop("__i", "__n")
 
 
+#: Rows of more columns than this don't go through the sorts of de-duplication themselves.
+NARROW = 20
+
+
 def dedupe(chars: DataFrame, tolerance: float = 1, extra_attrs: tuple = ("fontname", "size")) -> DataFrame:
     """Characters without those that repeat another's text and attributes within the tolerance, down and then across;
-    the first by (doctop, x0) of each cluster stays. Only keys and places go through the sorts; a page's seq numbers are
-    unique."""
+    the first by (doctop, x0) of each cluster stays.
+
+    Three sorts find the repeats. Narrow rows go through them as they are. Of wide ones only keys and places do, and the
+    repeats, which are few, are taken out by an anti join on page and seq, which is unique there.
+    """
     keys = [*PAGE, "upright", "text", *(a for a in extra_attrs if a in chars.columns)]
-    df = chars.select(*keys, "doctop", "x0", "seq").repartition(*PAGE)
+    wide = len(chars.columns) > NARROW
+    df = chars.select(*keys, "doctop", "x0", "seq") if wide else chars
     df = with_cluster(df, "doctop", tolerance, keys, "__down")
     df = with_cluster(df, "x0", tolerance, [*keys, "__down"], "__across")
-    first = df.groupBy(*keys, "__down", "__across").agg(F.min(F.struct("doctop", "x0", "seq"))["seq"].alias("seq"))
-    return chars.join(first.select(*PAGE, "seq"), [*PAGE, "seq"], "left_semi")
+    place = F.row_number().over(Window.partitionBy(*keys, "__down", "__across").orderBy("doctop", "x0", "seq"))
+    df = df.withColumn("__place", place)
+    if wide:
+        return chars.join(df.filter("__place > 1").select(*PAGE, "seq"), [*PAGE, "seq"], "left_anti")
+    return df.filter("__place = 1").drop("__down", "__across", "__place")
 
 
 def doctop_offsets(pages: DataFrame) -> DataFrame:

@@ -253,7 +253,7 @@ def chars_in_cells(chars: DataFrame, cells: DataFrame) -> DataFrame:
 
 def cell_texts(chars: DataFrame, cells: DataFrame, o: WordOptions = WordOptions()) -> DataFrame:
     """Cells with their text: words, in clusters of lines, joined by spaces and newlines; '' where a cell has no character."""
-    placed = with_axes(cells)
+    placed = with_axes(cells.repartition(*PAGE))  # both uses of the cells share this exchange, and all their windows keep to it
     key = F.row_number().over(Window.partitionBy(*PAGE).orderBy("table_id", "row", "col"))
     placed = placed.withColumn("cell", key)
     held = chars_in_cells(chars, placed.withColumn("table_id", F.col("cell")))

@@ -290,3 +290,13 @@ def test_lines_and_boxes_equal_a_plain_version(seed):
         if box[i] not in expected:
             expected.append(box[i])
     assert [sorted(id(x) for x in b.parts) for b in layout.boxes_of(some, p)] == [sorted(id(some[k]) for k in m) for m in expected]
+
+
+def test_wide_rows_are_deduplicated_like_narrow_ones(spark):
+    import random
+
+    r = random.Random(4)
+    c = chars(spark, [(r.choice("ab"), x := r.randrange(0, 400) / 10, x + 5, r.randrange(0, 30) / 10) for _ in range(300)])
+    wide = c.withColumns({f"more_{k}": F.lit(k) for k in range(boxes.NARROW)})
+    few, many = boxes.dedupe(c), boxes.dedupe(wide)
+    assert sorted(x.seq for x in few.collect()) == sorted(x.seq for x in many.collect()) and 10 < few.count() < 200 and many.columns == wide.columns
