@@ -35,6 +35,8 @@ SIZE = 4096
 #: Costs, in ids of padding, of a cut at a sentence end and of one anywhere else.
 AT_SENTENCE, ANYWHERE = 8, 96
 RUN = 1 << 20
+#: Bytes of text encoded at once; the words of a part are in memory together.
+PART = 1 << 20
 
 
 def best_cuts(places: np.ndarray, costs: np.ndarray, size: int = SIZE) -> list[int]:
@@ -177,7 +179,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int = END, size: int = SIZE) -> D
                 yield pa.RecordBatch.from_arrays([*x.columns, pa.array(np.full(x.num_rows, part, np.int64))], names=[*x.schema.names, "part"])
 
         for batch in batches:
-            for x in bounded(batch, "text"):
+            for x in bounded(batch, "text", PART):
                 yield from tagged(packer.add(x.column("doc_id").to_pylist(), *words.encode(x.column("text"), end)))
         yield from tagged(packer.end())
         release()
