@@ -100,9 +100,13 @@ class WordPieces:
         self.slots.update(zip(words, range(n, n + m)))
 
     def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if self.split and _PLAIN.fullmatch(w) and not any(x in w.lower() for x in self.special)]
+        plain = [w for w in words if _PLAIN.fullmatch(w)] if self.split else []
+        joined = " ".join(plain).lower()
+        if any(x in joined for x in self.special):
+            plain = [w for w in plain if not any(x in w.lower() for x in self.special)]
+            joined = " ".join(plain).lower()
         if plain:
-            low = " ".join(plain).lower().split(" ")
+            low = joined.split(" ")
             counts = np.ones(len(low), np.int64)
             for i in [i for i, w in enumerate(low) if not w.isalpha()]:  # letters alone are never split
                 parts = self.split.findall(low[i])
