@@ -13,7 +13,7 @@ import os
 import re
 import urllib.error
 import urllib.request
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -34,11 +34,12 @@ ROWS = 20_000
 PART_BYTES, PART_FILES = 64 << 20, 512
 
 
-def decode_file(doc_id: int, path: str, data: bytes, kinds: tuple, pages: set[int] | None = None, password: str = "", unicode_norm: str | None = None, failfast: bool = False) -> Iterator[tuple[str, dict]]:
-    """(kind, row) of the kinds asked for of one file, page by page; the document's own row comes last."""
+def decode_file(doc_id: int, path: str, data: bytes, kinds: tuple, pages: set[int] | None = None, password: str = "", unicode_norm: str | None = None, failfast: bool = False, arrays: bool = False) -> Iterator[tuple[str, dict]]:
+    """(kind, row) of the kinds asked for of one file, page by page; the document's own row comes last. With ``arrays``
+    characters come as ``Glyphs``, many in one."""
     count, metadata, problems, error = 0, [], [], None
     try:
-        made = Document(data, password, unicode_norm)
+        made = Document(data, password, unicode_norm, arrays)
         count = len(made.pages)
         if "documents" in kinds:
             metadata = list(made.metadata().items())
@@ -53,7 +54,9 @@ def decode_file(doc_id: int, path: str, data: bytes, kinds: tuple, pages: set[in
                 if "pages" in kinds:
                     yield "pages", {"doc_id": doc_id} | page
                 for kind in run:
-                    if kind in kinds:
+                    if arrays and kind == "chars":
+                        yield from ((kind, g) for g in objects[kind])
+                    elif kind in kinds:
                         for seq, r in enumerate(objects[kind]):
                             yield kind, {"doc_id": doc_id, "seq": seq} | r
         problems += made.problems
@@ -89,6 +92,24 @@ def decode_kinds(files: DataFrame, kinds: tuple = tuple(SCHEMAS), pages: list[in
     return files.select("doc_id", "path", "content").mapInArrow(run, shape)
 
 
+def decode_arrays(files: DataFrame, f: Callable[[Iterator[tuple[str, dict]]], tuple | None], schema: str, kinds: tuple = ("pages", "chars"), pages: list[int] | None = None, password: str = "", unicode_norm: str | None = None, mode: str = "PERMISSIVE") -> DataFrame:
+    """A row for each file: its doc_id and what ``f`` makes from its (kind, row) pairs, unless that is None. Characters come
+    as ``Glyphs``: they are decoded and used in one task, and no row for a character is made."""
+    wanted, failfast = None if pages is None else set(pages), mode.upper() == "FAILFAST"
+    to = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for doc_id, path, content in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if (made := f(decode_file(doc_id, path, content or b"", kinds, wanted, password, unicode_norm, failfast, True))) is not None:
+                    out.append((doc_id, *made))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(zip(*out), to)], schema=to)
+
+    return files.select("doc_id", "path", "content").mapInArrow(run, schema)
+
+
 def _fields(columns: str) -> str:
     """The columns of a schema as the fields of a struct."""
     return ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in _parse_datatype_string(columns))
